@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from .langid import op5_language_id
+from .licenses import op9_license_scan
 from .mpegts import op4_media_columns
 from .simhash import op6_simhash
+from .toxicity import op1_toxicity
 from .warc import op10_warc
 
 
 def queries() -> dict:
-    found = (op4_media_columns, op6_simhash, op10_warc)
+    found = (op1_toxicity, op4_media_columns, op5_language_id, op6_simhash, op9_license_scan, op10_warc)
     return {f.__name__: f for f in found}
 
 

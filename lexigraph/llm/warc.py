@@ -197,7 +197,8 @@ def read_warc(spark: SparkSession, files: DataFrame, split_bytes: int = 8 << 20,
                     yield pa.RecordBatch.from_pylist(rows, schema)
 
     assert names == schema.names
-    return splits.repartition(F.col("path"), F.col("start")).mapInArrow(read, RECORDS)
+    n = files.agg(F.sum(F.ceil(F.col("n_bytes") / split_bytes))).first()[0] or 1
+    return splits.repartition(min(int(n), 10_000), "path", "start").mapInArrow(read, RECORDS)
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
