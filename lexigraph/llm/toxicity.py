@@ -74,17 +74,18 @@ class Voters:
         return sorted(on), hits
 
 
-def learn_lexicon(rows: list[tuple[str, int]], least: int = 3, odds: float = 3.0, most: int = 400) -> list[str]:
+def learn_lexicon(rows: list[tuple[str, int]], least: int = 5, odds: float = 2.5, most: int = 400) -> list[str]:
     """Word beginnings whose smoothed log odds between toxic and clean rows are at least `odds`, each supported by `least` toxic rows. A longer one is kept only
     if its shorter forms are not as clear."""
     toxic, clean, n = Counter(), Counter(), [0, 0]
     for text, label in rows:
         n[label] += 1
         (toxic if label else clean).update(beginnings(text))
+    least = max(2, min(least, n[1] // 20))
     score = {}
     for w, a in toxic.items():
         s = np.log((a + 0.1) / (n[1] + 1)) - np.log((clean[w] + 0.5) / (n[0] + 1))
-        if a >= least and s >= odds and clean[w] <= 0.1 * a:
+        if a >= least and s >= odds and clean[w] <= 0.3 * a:
             score[w] = (a, s)
     kept = [w for w in score if not any(w[:m] in score and score[w[:m]][1] >= score[w][1] - 0.5 for m in LENGTHS if m < len(w.rstrip("$")) or (w.endswith("$") and m == len(w) - 1))]
     return sorted(kept, key=lambda w: (-score[w][0], w))[:most]
@@ -117,7 +118,7 @@ def features(voters: Voters, text: str | None) -> tuple[list[int], float]:
     return on, np.log1p(hits)
 
 
-def fit_linear(x: np.ndarray, post: np.ndarray, l2: float = 1e-3, steps: int = 400) -> tuple[np.ndarray, float]:
+def fit_linear(x: np.ndarray, post: np.ndarray, l2: float = 3e-4, steps: int = 1000) -> tuple[np.ndarray, float]:
     """Logistic regression on soft labels by Nesterov steps; deterministic."""
     w, b = np.zeros(x.shape[1]), 0.0
     vw, vb = w.copy(), b
@@ -131,6 +132,17 @@ def fit_linear(x: np.ndarray, post: np.ndarray, l2: float = 1e-3, steps: int = 4
     return w, b
 
 
+def best_shift(logit: np.ndarray, labels: np.ndarray) -> float:
+    """What to add to the logits so that THRESHOLD cuts the labelled rows with the best F1; the cut lies midway between neighbouring rows."""
+    order = np.argsort(-logit, kind="stable")
+    hit = np.cumsum(labels[order])
+    f1 = 2 * hit / (np.arange(1, len(order) + 1) + labels.sum())
+    f1[:-1][logit[order][:-1] == logit[order][1:]] = -1  # equal scores are not cut apart
+    k = int(f1.argmax())
+    low = logit[order[k + 1]] if k + 1 < len(order) else logit[order[k]] - 2
+    return float(np.log(THRESHOLD / (1 - THRESHOLD)) - (logit[order[k]] + low) / 2)
+
+
 class Model:
     def __init__(self, rows: list[tuple[str, int]]):
         labels = np.array([y for _, y in rows], int)
@@ -145,8 +157,10 @@ class Model:
             on, dense[i] = features(self.voters, text)
             votes[i, on] = True
         post, self.rates, self.mass = label_model(votes, labels)
-        self.w, self.b = fit_linear(np.c_[votes / self.mass, dense], post)
-        self.w[:n] /= self.mass
+        x = np.c_[votes / np.sqrt(self.mass), dense]
+        self.w, self.b = fit_linear(x, post)
+        self.b += best_shift(x @ self.w + self.b, labels)
+        self.w[:n] /= np.sqrt(self.mass)
 
     def score(self, text: str | None) -> float:
         on, dense = features(self.voters, text)
