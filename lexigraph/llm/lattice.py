@@ -37,10 +37,12 @@ class Vocabulary:
         self.size = sp.get_piece_size()
         self.pieces = [sp.id_to_piece(i) for i in range(self.size)]
         self.byte_ids = np.zeros(256, np.int64)
+        self.raw = [p.replace(MARK, " ").encode() for p in self.pieces]
         usable = {}
         for i, p in enumerate(self.pieces):
             if sp.is_byte(i):
                 self.byte_ids[int(p[3:5], 16)] = i
+                self.raw[i] = bytes([int(p[3:5], 16)])
             elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)) and MARK not in p[1:]:
                 usable[p] = i
         prefixes: dict[str, int] = {}
@@ -68,18 +70,7 @@ class Vocabulary:
 
     def decode(self, ids) -> str:
         """The text of piece ids (byte pieces included)."""
-        raw, out = bytearray(), []
-        for p in map(self.pieces.__getitem__, ids):
-            if len(p) == 6 and p.startswith("<0x"):
-                raw.append(int(p[3:5], 16))
-                continue
-            if raw:
-                out.append(raw.decode("utf-8", "surrogatepass").replace(MARK, STAND_IN))
-                raw.clear()
-            out.append(p)
-        if raw:
-            out.append(raw.decode("utf-8", "surrogatepass").replace(MARK, STAND_IN))
-        return "".join(out)[1:].replace(MARK, " ").replace(STAND_IN, MARK)
+        return b"".join(map(self.raw.__getitem__, ids))[1:].decode("utf-8", "surrogatepass")
 
     def plain(self, ids: np.ndarray) -> np.ndarray:
         """Byte edges replaced by their byte pieces."""
