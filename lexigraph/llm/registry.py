@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+from .decontaminate import op3_decontamination
 from .langid import op5_language_id
 from .licenses import op9_license_scan
 from .mpegts import op4_media_columns
+from .segsample import op2_sentencepiece
 from .simhash import op6_simhash
+from .suffixes import op8_suffix_dedup
 from .toxicity import op1_toxicity
 from .warc import op10_warc
+from .wavelet import op7_token_ids
 
 
 def queries() -> dict:
-    found = (op1_toxicity, op4_media_columns, op5_language_id, op6_simhash, op9_license_scan, op10_warc)
+    found = (
+        op1_toxicity, op2_sentencepiece, op3_decontamination, op4_media_columns, op5_language_id, op6_simhash, op7_token_ids, op8_suffix_dedup,
+        op9_license_scan, op10_warc,
+    )
     return {f.__name__: f for f in found}
 
 

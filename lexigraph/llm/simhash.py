@@ -205,8 +205,85 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def sketch(text: str | None, width: int, cut_every: int = 16, seed: int = 42, block: int = 1 << 15) -> tuple[int, list[int], np.ndarray, bytes]:
+    """(fingerprint of the whole, distinct fingerprints of its segments, sorted distinct shingle hashes, hash of the words). A segment ends at a shingle whose hash
+    is a multiple of cut_every, so an edit changes the one or two segments around it and no others."""
+    words = utf8(text).lower().split()
+    joined = b" ".join(words)
+    if not words:
+        return 0, [0], np.zeros(0, np.uint32), xxhash.xxh3_128_digest(joined)
+    shingles = list(map(b" ".join, zip(*(words[i:] for i in range(width))))) if len(words) >= width else [joined]
+    raw = np.frombuffer(b"".join(map(xxhash.xxh64_digest, shingles, repeat(seed))), np.uint8).reshape(-1, 8)
+    counts, segments = np.zeros(64, np.int64), set()
+    for at in range(0, len(raw), block):
+        part = raw[at : at + block]
+        bits = np.unpackbits(part, axis=1)
+        starts = np.flatnonzero(np.r_[True, part[:-1, 7] % cut_every == 0])
+        sums = np.add.reduceat(bits, starts, axis=0, dtype=np.int64)
+        counts += sums.sum(axis=0)
+        sizes = np.diff(np.r_[starts, len(part)])
+        segments.update(np.packbits(sums * 2 > sizes[:, None], axis=1).view(">i8").ravel().tolist())
+    whole = int.from_bytes(np.packbits(counts * 2 > len(raw)).tobytes(), "big")
+    return whole, sorted(segments), np.unique(np.ascontiguousarray(raw[:, :4]).view("<u4")), xxhash.xxh3_128_digest(joined)
+
+
+def similar(pairs: DataFrame, docs: DataFrame, width: int, least: float) -> DataFrame:
+    """The pairs (a, b) whose texts' word shingles have a Jaccard similarity of at least `least`; docs(doc_id, text)."""
+    def shingles(batches):
+        for b in in_blocks(batches):
+            rows = [sketch(x, width)[2].astype("<u4").tobytes() for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.binary())], ["doc_id", "shingles"])
+
+    def compare(batches):
+        for b in batches:
+            keep = []
+            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                x, y = np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= least * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    some = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    sets = cut(docs.join(some, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(shingles, "doc_id long, shingles binary").groupBy("doc_id").agg(F.first("shingles").alias("shingles")), "shingles")
+    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
+    return both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
+
+
+def near_classes(docs: DataFrame, width: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text", far: int = 20) -> DataFrame:
+    """(doc_id, component_id) of one row for each different sequence of words: classes of texts whose word shingles are at least `least` similar.
+
+    At that similarity whole fingerprints differ in about ten bits, past what an index of 64 bits can search. The candidates therefore are pairs linked by
+    the index over whole fingerprints, and pairs that share a segment of equal fingerprint (a text that similar keeps most of its segments) and differ in at most `far` bits as
+    a whole. In a group that shares a segment each text is paired with the group's first and last id, so pairs stay linear. Every pair is then checked on the
+    exact shingle sets. Copies of one sequence of words are one entry with the smallest id."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
+
+    def run(batches):
+        for b in in_blocks(batches):
+            made = [sketch(x, width) for x in b.column(1).to_pylist()]
+            fps = np.array([m[0] for m in made], np.uint64).view(np.int64)
+            cols = [b.column(0), pa.array([m[3] for m in made], pa.binary()), pa.array(fps), pa.array([len(m[2]) for m in made], pa.int64()), pa.array([m[1] for m in made], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "words", "fp", "n", "segments"])
+
+    made = rows.mapInArrow(run, "doc_id long, words binary, fp long, n long, segments array<long>")
+    nodes = cut(made.groupBy("words").agg(F.min("doc_id").alias("doc_id"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("segments").alias("segments")), "sketches")
+    each = nodes.select(F.explode("segments").alias("segment"), "doc_id", "fp", "n")
+    me = F.struct("doc_id", "fp", "n")
+    groups = each.groupBy("segment").agg(F.min(me).alias("low"), F.max(me).alias("high")).where("low.doc_id < high.doc_id")
+    shared = each.join(groups, "segment").select("doc_id", "fp", "n", F.explode(F.array("low", "high")).alias("o")).where("o.doc_id != doc_id")
+    near = (F.bit_count(F.col("fp").bitwiseXOR(F.col("o.fp"))) <= far) & (F.least("n", "o.n") >= least * F.greatest("n", "o.n"))
+    pairs = shared.where(near).select(F.least("doc_id", "o.doc_id").alias("a"), F.greatest("doc_id", "o.doc_id").alias("b"))
+    prints = nodes.groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
+    same = nodes.join(prints.withColumnRenamed("doc_id", "first"), "fp").where("doc_id != first").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
+    found = index_links(prints).select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"))
+    pairs = cut(pairs.union(same).union(found).distinct(), "pairs")
+    links = similar(pairs, rows, width, least)
+    stars = connected_components(links, "a", "b")
+    return nodes.select("doc_id").join(stars.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("component_id"))
+
+
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each class the rows with its smallest id; rows without an id stay."""
-    kept = classes(docs, width=5).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    whole = docs.where("doc_id is not null").join(kept, F.col("doc_id") == F.col("_kept"), "left_semi")
+    """Keeps of each class of near-duplicates the rows with its smallest id; rows without an id stay. Repeated ids stand or fall together."""
+    kept = near_classes(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_kept"))
+    whole = docs.join(kept, docs["doc_id"] == kept["_kept"], "left_semi")
     return whole.union(docs.where("doc_id is null")).select(*docs.columns)

@@ -174,16 +174,19 @@ def repeated_windows(runs: list[tuple[int, int, bytes]], length: int = 100) -> l
 
 KINDS = "kind int, seq long, start long, windows int, anchor long"
 GONE, SHARD, WIDE = 0, 1, 2
+SEQ = "__lexigraph_seq"
 
 
-def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(seq, doc_id, text): seq is the order's key; the id where ids are unique and not null."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    if rows.where("doc_id is null").limit(1).count() or rows.groupBy("doc_id").count().where("count > 1").limit(1).count():
-        last = F.col("doc_id").asc_nulls_last()
-        dealt = rows.repartitionByRange(last, "text").sortWithinPartitions(last, "text")
-        return cut(dealt.select(F.monotonically_increasing_id().alias("seq"), "doc_id", "text"), "numbered")
-    return rows.select(F.col("doc_id").alias("seq"), "doc_id", "text")
+def numbered(docs: DataFrame, id_col: str, text_col: str, keep: bool = False) -> DataFrame:
+    """(seq, doc_id, text), or seq with all columns: seq is the order's key; the id where ids are unique and not null."""
+    i = F.col(id_col).cast("long")
+    cols = list(docs.columns) if keep else [i.alias("doc_id"), F.col(text_col).alias("text")]
+    ids = docs.select(i.alias("i"))
+    if ids.where("i is null").limit(1).count() or ids.groupBy("i").count().where("count > 1").limit(1).count():
+        last = i.asc_nulls_last()
+        dealt = docs.repartitionByRange(last, F.col(text_col)).sortWithinPartitions(last, F.col(text_col))
+        return cut(dealt.select(F.monotonically_increasing_id().alias("seq" if not keep else SEQ), *cols), "numbered")
+    return docs.select(i.alias("seq" if not keep else SEQ), *cols)
 
 
 def anchor_rows(rows: DataFrame, length: int) -> DataFrame:
@@ -363,3 +366,34 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeats(table(spark, sf_dir, "documents"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents without repeated strings, with n_chars of what is left; every row stays, also where nothing is left. Characters of which only some bytes go,
+    go whole. Repeated and null ids are ordered as above."""
+    names, n = list(docs.columns), len(docs.columns)
+    keyed = numbered(docs, "doc_id", "text", keep=True)
+    found = gone_windows(keyed.select(F.col(SEQ).alias("seq"), "text"), 100, 20_000)
+    found = found.select(F.col("seq").alias(SEQ), F.col("starts").alias(SEQ + "_starts"), F.col("windows").alias(SEQ + "_windows"))
+    text, chars = names.index("text"), names.index("n_chars") if "n_chars" in names else None
+
+    def run(batches):
+        for b in batches:
+            texts, sizes = b.column(text).to_pylist(), b.column(chars).to_pylist() if chars is not None else None
+            starts, windows = b.column(n).to_pylist(), b.column(n + 1).to_pylist()
+            for k, at in enumerate(starts):
+                if at:
+                    raw, kept, last = utf8(texts[k]), [], 0
+                    for a, e in spans(at, windows[k], 100):
+                        kept.append(raw[last:a])
+                        last = e
+                    texts[k] = "".join(x.decode("utf-8", "ignore") for x in (*kept, raw[last:]))
+                    if sizes is not None:
+                        sizes[k] = len(texts[k])
+            cols = [b.column(k) for k in range(n)]
+            cols[text] = pa.array(texts, cols[text].type)
+            if sizes is not None:
+                cols[chars] = pa.array(sizes, cols[chars].type)
+            yield pa.RecordBatch.from_arrays(cols, names)
+
+    return keyed.join(found, SEQ, "left").drop(SEQ).mapInArrow(run, docs.schema)
