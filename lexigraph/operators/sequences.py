@@ -39,9 +39,10 @@ def attention_windows(e: DataFrame, theta: list[float], inclusive: bool = True,
 def label_runs(df: DataFrame, group: str, order: str, label: str) -> DataFrame:
     """(group, order, label, window): how many following rows have the row's own label without a break. Linear: run ends, no pairs."""
     w = W.partitionBy(group).orderBy(order)
-    changed = df.select(group, order, label, F.coalesce((~F.col(label).eqNullSafe(F.lag(label).over(w))).cast("int"), F.lit(1)).alias("c"), F.row_number().over(w).cast("long").alias("pos"))
-    runs = changed.withColumn("run", F.sum("c").over(w))
-    return runs.select(group, order, label, (F.max("pos").over(W.partitionBy(group, "run")) - F.col("pos")).alias("window"))
+    change = F.coalesce((~F.col(label).eqNullSafe(F.lag(label).over(w))).cast("int"), F.lit(1))
+    changed = df.select(group, order, label, change.alias("__change"), F.row_number().over(w).cast("long").alias("__pos"))
+    runs = changed.withColumn("__run", F.sum("__change").over(w))
+    return runs.select(group, order, label, (F.max("__pos").over(W.partitionBy(group, "__run")) - F.col("__pos")).alias("window"))
 
 
 def adjacent(e: DataFrame, extra: list[str] | None = None) -> DataFrame:
