@@ -75,17 +75,21 @@ class Voters:
 
 
 def learn_lexicon(rows: list[tuple[str, int]], least: int = 5, odds: float = 2.5, most: int = 400) -> list[str]:
-    """Word beginnings whose smoothed log odds between toxic and clean rows are at least `odds`, each supported by `least` toxic rows. A longer one is kept only
-    if its shorter forms are not as clear."""
+    """Word beginnings whose smoothed log odds between toxic and clean rows are at least `odds`, each supported by `least` toxic rows
+    and too many to be chance among all beginnings seen. A longer one is kept only if its shorter forms are not as clear."""
     toxic, clean, n = Counter(), Counter(), [0, 0]
     for text, label in rows:
         n[label] += 1
         (toxic if label else clean).update(beginnings(text))
     least = max(2, min(least, n[1] // 20))
+    share = n[1] / max(1, n[0] + n[1])
+    chance = np.log(20 * max(1, len(toxic)))  # about one in twenty lexicons then has a word by chance
     score = {}
     for w, a in toxic.items():
         s = np.log((a + 0.1) / (n[1] + 1)) - np.log((clean[w] + 0.5) / (n[0] + 1))
-        if a >= least and s >= odds and clean[w] <= 0.3 * a:
+        rate = a / (a + clean[w])
+        evidence = a * np.log(rate / share) + (clean[w] * np.log((1 - rate) / (1 - share)) if clean[w] else 0)
+        if a >= least and s >= odds and clean[w] <= 0.3 * a and evidence >= chance:
             score[w] = (a, s)
     kept = [w for w in score if not any(w[:m] in score and score[w[:m]][1] >= score[w][1] - 0.5 for m in LENGTHS if m < len(w.rstrip("$")) or (w.endswith("$") and m == len(w) - 1))]
     return sorted(kept, key=lambda w: (-score[w][0], w))[:most]
