@@ -77,6 +77,10 @@ class Vocabulary:
         odd = np.flatnonzero(ids >= self.size)
         if not len(odd):
             return ids
+        ids = ids.copy()
+        short = odd[ids[odd] < self.size + 128]
+        ids[short] = self.byte_ids[ids[short] - self.size]
+        odd = odd[ids[odd] >= self.size]
         out, at = [], 0
         for k in odd.tolist():
             out += [ids[at:k], self.bytes_of(int(ids[k]) - self.size)]

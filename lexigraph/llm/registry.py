@@ -22,5 +22,11 @@ def queries() -> dict:
     return {f.__name__: f for f in found}
 
 
+#: Base32 of the SHA-1 is spelled out from the digest's bits.
+WARC_SQL = """with b as (select page_id, strlen(html) n, array_to_string(list_transform(string_split(sha1(html), ''), lambda h: lpad(bin(('0x' || h)::integer), 4, '0')), '') bits from (select page_id, coalesce(html, '') html from pages)),
+    d as (select page_id, n, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (16 * substr(bits, 5 * i + 1, 1)::integer + 8 * substr(bits, 5 * i + 2, 1)::integer + 4 * substr(bits, 5 * i + 3, 1)::integer + 2 * substr(bits, 5 * i + 4, 1)::integer + substr(bits, 5 * i + 5, 1)::integer + 1)::bigint, 1)), '') digest from b)
+    select page_id, n payload_bytes, digest payload_digest, case when page_id = min(page_id) over (partition by digest) then 'response' else 'revisit' end record_type, case when page_id <> min(page_id) over (partition by digest) then min(page_id) over (partition by digest) end refers_to, true sound from d"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_warc": WARC_SQL}

@@ -51,9 +51,9 @@ def gram_hashes(raw: np.ndarray, k: int = GRAM) -> np.ndarray:
 
 
 def window_runs(raw: np.ndarray, ends: np.ndarray, length: int = 100, k: int = GRAM):
-    """(start, number of windows, anchor hash) of each run in texts that end at `ends`; places are those of raw."""
+    """(start, number of windows, anchor hash, anchor's place) of each run in texts that end at `ends`; places are those of raw."""
     if len(raw) < length:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U64), np.zeros(0, np.int64)
     h = gram_hashes(raw, k)
     bits = U64(max(1, int(len(h)).bit_length()))
     least = (h >> bits << bits) | np.arange(len(h), dtype=U64)
@@ -68,7 +68,7 @@ def window_runs(raw: np.ndarray, ends: np.ndarray, length: int = 100, k: int = G
     good = np.arange(n) + length <= end
     first = np.flatnonzero(good & np.r_[True, (at[1:] != at[:-1]) | ~good[:-1]])
     last = np.flatnonzero(good & np.r_[(at[1:] != at[:-1]) | ~good[1:], True])
-    return first, last - first + 1, h[at[first]]
+    return first, last - first + 1, h[at[first]], at[first]
 
 
 def suffix_array(s: list[int], sigma: int) -> list[int]:
@@ -172,6 +172,30 @@ def repeated_windows(runs: list[tuple[int, int, bytes]], length: int = 100) -> l
     return out
 
 
+def may_repeat(anchors: list[int], raws: list[bytes], length: int = 100, k: int = GRAM, bins: int = 8) -> list[int]:
+    """Which runs can share a window with another one of their anchor. A window spends length - k bytes left and right of its anchor; for each of `bins` ranges of the left
+    share, two runs with a common window agree on the bytes that any window of the range has. The rest need no sorting."""
+    ends = np.cumsum([len(r) for r in raws])
+    whole = b"".join(raws)
+    first, _, _, at = window_runs(np.frombuffer(whole, np.uint8), ends, length, k)
+    run = np.searchsorted(ends, first, side="right")
+    place = np.zeros(len(raws), np.int64)
+    place[run] = at - np.r_[0, ends[:-1]][run]
+    free, keep = length - k, set()
+    step = -(-(free + 1) // bins)
+    for low in range(0, free + 1, step):
+        high = min(low + step - 1, free)
+        seen: dict[tuple[int, bytes], int] = {}
+        for i, (a, r, p) in enumerate(zip(anchors, raws, place.tolist(), strict=True)):
+            lo, hi = p - low, p + k + free - high
+            if lo >= 0 and hi <= len(r):
+                other = seen.setdefault((a, r[lo:hi]), i)
+                if other != i:
+                    keep.add(i)
+                    keep.add(other)
+    return sorted(keep)
+
+
 KINDS = "kind int, seq long, start long, windows int, anchor long"
 GONE, SHARD, WIDE = 0, 1, 2
 SEQ = "__lexigraph_seq"
@@ -200,7 +224,7 @@ def anchor_rows(rows: DataFrame, length: int) -> DataFrame:
             sizes = np.array([len(raws[k]) for k in keep])
             ends = np.cumsum(sizes)
             whole = b"".join(raws[k] for k in keep)
-            first, windows, anchor = window_runs(np.frombuffer(whole, np.uint8), ends, length)
+            first, windows, anchor, _ = window_runs(np.frombuffer(whole, np.uint8), ends, length)
             view = memoryview(whole)
             content = np.fromiter((xxhash.xxh64_intdigest(view[a : a + w + length - 1]) for a, w in zip(first.tolist(), windows.tolist(), strict=True)), U64, len(first))
             doc = np.searchsorted(ends, first, side="right")
@@ -283,13 +307,14 @@ def with_bytes(open_runs: DataFrame, rows: DataFrame, length: int) -> DataFrame:
     return rows.select("seq", "text").join(each, "seq").select("seq", "text", "runs").mapInArrow(run, KINDS + ", bytes binary")
 
 
-def sort_shards(runs: DataFrame, length: int, batch: int = 1 << 20) -> DataFrame:
+def sort_shards(runs: DataFrame, length: int, batch: int = 4 << 20) -> DataFrame:
     """(seq, start, windows) that suffix sorting finds gone; anchors stay whole and are sorted together in shards of about `batch` bytes."""
     def run(batches):
         held, total, anchor = [], 0, None
 
         def flush():
-            found = repeated_windows(held, length)
+            some = [held[i][:3] for i in may_repeat([r[3] for r in held], [r[2] for r in held], length)]
+            found = repeated_windows(some, length) if some else []
             return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64()), pa.array([x[2] for x in found], pa.int32())], ["seq", "start", "windows"])
 
         for b in batches:
@@ -297,7 +322,7 @@ def sort_shards(runs: DataFrame, length: int, batch: int = 1 << 20) -> DataFrame
                 if a != anchor and total >= batch:
                     yield flush()
                     held, total = [], 0
-                held.append((seq, start, raw))
+                held.append((seq, start, raw, a))
                 total, anchor = total + len(raw), a
         if held:
             yield flush()

@@ -26,6 +26,7 @@ from .common import cut, in_blocks, new_path, store, table
 
 MAGIC = b"WVM1"
 END, SEP = 0, "\ud800"
+U64, BASE, LONG = np.uint64, 0x9E3779B97F4A7C15, 200
 
 
 def default_tokenizer() -> str:
@@ -48,9 +49,9 @@ def classes() -> np.ndarray:
 
 class Encoder:
     """ids of many texts at once. Texts are cut where the tokenizer's own pre-tokenizer cuts; each distinct piece of text goes through the library once
-    (up to `most` kept). Texts with rare scripts or a special token's string go through it whole."""
+    (up to `most` kept, found by a 64-bit hash). Texts with rare scripts, very long pieces or a special token's string go through it whole."""
 
-    def __init__(self, path: str, most: int = 250_000):
+    def __init__(self, path: str, most: int = 600_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -59,12 +60,25 @@ class Encoder:
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.kind = classes()
+        self.powers = self.inverse = np.zeros(0, U64)
         self.reset()
 
     def reset(self):
-        self.index = {SEP: 0}
-        self.size, self.flat = np.ones(1, np.int64), np.full(1, END, np.uint32)
-        self.start = np.zeros(1, np.int64)
+        self.hash, self.row = np.zeros(0, U64), np.zeros(0, np.int64)  # sorted by hash
+        self.size, self.start, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def hashes(self, codes: np.ndarray, at: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """A hash of each piece, from running sums of a polynomial."""
+        if len(self.powers) < len(codes) + 1:
+            n = len(codes) * 5 // 4 + 1
+            self.powers, self.inverse = (np.cumprod(np.r_[U64(1), np.full(n, U64(b))]) for b in (BASE, pow(BASE, -1, 1 << 64)))
+        with np.errstate(over="ignore"):
+            x = codes.astype(U64) + U64(1)
+            x = (x ^ (x << U64(21))) * U64(0xD6E8FEB86659FD93)
+            sums = np.r_[U64(0), np.cumsum((x ^ (x >> U64(32))) * self.powers[: len(codes)])]
+            h = (sums[ends] - sums[at]) * self.inverse[at] + (ends - at).astype(U64)
+            h = (h ^ (h >> U64(32))) * U64(0x9E3779B97F4A7C15)
+            return h ^ (h >> U64(29))
 
     def cuts(self, codes: np.ndarray, kind: np.ndarray) -> np.ndarray:
         """Where pieces begin, for texts that each end in SEP."""
@@ -111,19 +125,35 @@ class Encoder:
         if not plain:
             return out
         at = self.cuts(codes, kind)
-        marks = at.tolist()
-        pieces = [cat[a:b] for a, b in zip(marks, marks[1:] + [len(cat)], strict=True)]
-        if len(self.index) > self.most:
+        ends = np.r_[at[1:], len(codes)]
+        if (ends - at > LONG).any():
+            stops = np.flatnonzero(kind == 5)
+            odd = set(np.searchsorted(stops, at[ends - at > LONG]).tolist())
+            for k in odd:
+                out[plain[k]] = self.whole(texts[plain[k]])
+            rest = [i for k, i in enumerate(plain) if k not in odd]
+            for i, x in zip(rest, self.encode([texts[i] for i in rest]), strict=True):
+                out[i] = x
+            return out
+        found, first, back = np.unique(self.hashes(codes, at, ends), return_index=True, return_inverse=True)
+        if len(self.hash) > self.most:
             self.reset()
-        new = [w for w in set(pieces) if w not in self.index]
-        if new:
-            ids = [x.ids for x in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+        place = np.searchsorted(self.hash, found)
+        old = np.zeros(len(found), bool)
+        inside = place < len(self.hash)
+        old[inside] = self.hash[place[inside]] == found[inside]
+        if not old.all():
+            new = first[~old]
+            strings = [cat[a:b] for a, b in zip(at[new].tolist(), ends[new].tolist(), strict=True)]
+            ids = [[END] if w == SEP else x.ids for w, x in zip(strings, self.tokenizer.encode_batch_fast([w if w != SEP else "" for w in strings], add_special_tokens=False), strict=True)]
             size = np.fromiter(map(len, ids), np.int64, len(ids))
-            self.index.update(zip(new, range(len(self.index), len(self.index) + len(new)), strict=True))
             self.start = np.r_[self.start, len(self.flat) + np.cumsum(size) - size]
+            rows = len(self.size) + np.arange(len(ids))
             self.size = np.r_[self.size, size]
             self.flat = np.r_[self.flat, np.fromiter((t for x in ids for t in x), np.uint32, int(size.sum()))]
-        rows = np.fromiter(map(self.index.__getitem__, pieces), np.int64, len(pieces))
+            self.hash, self.row = np.insert(self.hash, place[~old], found[~old]), np.insert(self.row, place[~old], rows)
+            place = np.searchsorted(self.hash, found)
+        rows = self.row[place][back]
         size = self.size[rows]
         total = np.cumsum(size)
         flat = self.flat[np.repeat(self.start[rows] - (total - size), size) + np.arange(total[-1])]
