@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import graphs, learning, relational, sources, stats, streams, texts, vectors  # noqa: F401
+from . import functions, graphs, learning, relational, sources, stats, streams, texts, vectors  # noqa: F401
 from .base import QUERIES, SQL
 
 
