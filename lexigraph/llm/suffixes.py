@@ -35,19 +35,19 @@ MULTIPLIER = 0x9E3779B97F4A7C15
 def gram_hashes(raw: np.ndarray, k: int = GRAM) -> np.ndarray:
     """Hash of the k bytes from each place."""
     with np.errstate(over="ignore"):
-        powers, width, total, used = {1: TABLE[raw]}, 1, None, 0
-        while width * 2 <= k:
-            h = powers[width]
-            powers[width * 2] = h[:-width] * U64(pow(MULTIPLIER, width, 1 << 64)) + h[width:]
+        n, h, width, total, used = len(raw) - k + 1, TABLE[raw], 1, None, 0
+        while width <= k:  # the hash over k bytes is put together from those over its powers of two, smallest first
+            if k & width:
+                part = h[used : used + n]
+                total = part.copy() if total is None else total * U64(pow(MULTIPLIER, width, 1 << 64)) + part
+                used += width
+            if width * 2 <= k:
+                h = h[:-width] * U64(pow(MULTIPLIER, width, 1 << 64)) + h[width:]
             width *= 2
-        n = len(raw) - k + 1
-        for w in sorted(powers, reverse=True):
-            if used + w <= k:
-                part = powers[w][used : used + n]
-                total = part if total is None else total * U64(pow(MULTIPLIER, w, 1 << 64)) + part
-                used += w
-        total = (total ^ (total >> U64(32))) * U64(0xD6E8FEB86659FD93)
-        return total ^ (total >> U64(29))
+        total ^= total >> U64(32)
+        total *= U64(0xD6E8FEB86659FD93)
+        total ^= total >> U64(29)
+        return total
 
 
 def window_runs(raw: np.ndarray, ends: np.ndarray, length: int = 100, k: int = GRAM):
@@ -71,59 +71,116 @@ def window_runs(raw: np.ndarray, ends: np.ndarray, length: int = 100, k: int = G
     return first, last - first + 1, h[at[first]], at[first]
 
 
-def suffix_array(s: list[int], sigma: int) -> list[int]:
-    """Suffixes of s in order, by induced sorting; s ends in a 0 that stands nowhere else."""
+def deal(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """For each value its place among equals, in order, on top of at[value]."""
+    order = np.argsort(values, kind="stable")
+    v = values[order]
+    first = np.flatnonzero(np.r_[True, v[1:] != v[:-1]])
+    place = np.empty(len(v), np.int64)
+    place[order] = np.arange(len(v)) - np.repeat(first, np.diff(np.r_[first, len(v)]))
+    return at[values] + place
+
+
+def induce(s: np.ndarray, small: np.ndarray, seeds: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Suffixes in order, induced from the leftmost-smaller ones (seeds) in theirs. Buckets are scanned as in the linear algorithm, a stretch of known
+    entries at a time."""
+    ends = np.cumsum(counts)
+    starts = ends - counts
+    sa = np.full(len(s), -1)
+    seed_counts = np.bincount(s[seeds], minlength=len(counts))
+    sa[deal(s[seeds], ends - seed_counts)] = seeds
+    present = np.flatnonzero(counts).tolist()
+    heads = starts.copy()
+
+    def forward(batch):
+        j = batch - 1
+        j = j[j >= 0]
+        j = j[~small[j]]
+        if len(j):
+            c = s[j]
+            sa[deal(c, heads)] = j
+            np.add.at(heads, c, 1)
+
+    for c in present:
+        at = int(starts[c])
+        while at < heads[c]:
+            to = int(heads[c])
+            forward(sa[at:to])
+            at = to
+        forward(sa[ends[c] - seed_counts[c] : ends[c]])
+    tails = ends.copy()
+
+    def backward(batch):
+        j = batch[::-1] - 1
+        j = j[j >= 0]
+        j = j[small[j]]
+        if len(j):
+            c = s[j]
+            sa[2 * tails[c] - 1 - deal(c, tails)] = j
+            np.subtract.at(tails, c, 1)
+
+    for c in reversed(present):
+        at = int(ends[c])
+        while at > tails[c]:
+            to = int(tails[c])
+            backward(sa[to:at])
+            at = to
+        backward(sa[starts[c] : heads[c]])
+    if small[-1]:
+        sa[0] = len(s) - 1  # the end mark has no right neighbour to be induced from
+    return sa
+
+
+def doubled(names: np.ndarray) -> np.ndarray:
+    """Order of the suffixes of a reduced string, whose alphabet is about as large as the string: ranks by doubling."""
+    rank, step = names.astype(np.int64), 1
+    while True:
+        nxt = np.r_[rank[step:] + 1, np.zeros(min(step, len(rank)), np.int64)][: len(rank)]
+        key = rank * (int(rank.max()) + 2) + nxt
+        order = np.argsort(key, kind="stable")
+        k = key[order]
+        new = np.r_[0, np.cumsum(k[1:] != k[:-1])]
+        rank = np.empty_like(rank)
+        rank[order] = new
+        if new[-1] == len(rank) - 1 or step > len(rank):
+            return order
+        step *= 2
+
+
+def suffix_array(s, sigma: int) -> np.ndarray:
+    """Suffixes of s in order, by induced sorting; s ends in a 0 that stands nowhere else. The leftmost-smaller substrings are ordered by a first induction and
+    named; the string of names is sorted in turn, and its order induces that of all suffixes."""
+    s = np.asarray(s, np.int64)
     n = len(s)
     if n == 1:
-        return [0]
-    small = bytearray(n)  # 1: smaller than its right neighbour's suffix
-    small[n - 1] = 1
-    for i in range(n - 2, -1, -1):
-        small[i] = s[i] < s[i + 1] or (s[i] == s[i + 1] and small[i + 1])
-    lms = [i for i in range(1, n) if small[i] and not small[i - 1]]
+        return np.zeros(1, np.int64)
+    differ = np.flatnonzero(s[1:] != s[:-1])  # a suffix is smaller than its neighbour if the next different symbol is larger
+    nxt = np.searchsorted(differ, np.arange(n - 1))
+    at = differ[np.minimum(nxt, len(differ) - 1)]
+    small = np.r_[s[at] < s[at + 1], True]
+    lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
     counts = np.bincount(s, minlength=sigma)
-    tails0 = np.cumsum(counts).tolist()
-    heads0 = [0, *tails0[:-1]]
-
-    def induce(seeds: list[int]) -> list[int]:
-        sa = [-1] * n
-        tails = tails0.copy()
-        for i in reversed(seeds):
-            c = s[i]
-            tails[c] -= 1
-            sa[tails[c]] = i
-        heads = heads0.copy()
-        for i in sa:  # entries appended ahead are read in turn
-            if i > 0 and not small[i - 1]:
-                c = s[i - 1]
-                sa[heads[c]] = i - 1
-                heads[c] += 1
-        tails = tails0.copy()
-        for k in range(n - 1, -1, -1):
-            i = sa[k]
-            if i > 0 and small[i - 1]:
-                c = s[i - 1]
-                tails[c] -= 1
-                sa[tails[c]] = i - 1
-        return sa
-
     if len(lms) == 1:
-        return induce(lms)
-    sa = induce(lms)
-    following = dict(zip(lms, [*lms[1:], n - 1], strict=True))
-    names, name, last = {}, -1, None
-    for i in sa:
-        if i in following:
-            piece = s[i : following[i] + 1]
-            if piece != last:
-                name, last = name + 1, piece
-            names[i] = name
-    if name + 1 < len(lms):
-        order = suffix_array([names[i] for i in lms], name + 1)
-        seeds = [lms[k] for k in order]
-    else:
-        seeds = sorted(lms, key=names.__getitem__)
-    return induce(seeds)
+        return induce(s, small, lms, counts)
+    by_name = induce(s, small, lms, counts)
+    is_lms = np.zeros(n, bool)
+    is_lms[lms] = True
+    by_name = by_name[is_lms[by_name]]
+    following = np.full(n, n)
+    following[lms] = np.r_[lms[1:] + 1, n]
+    with np.errstate(over="ignore"):
+        power = np.cumprod(np.r_[U64(1), np.full(n, U64(MULTIPLIER))])
+        x = s.astype(U64) + U64(1)
+        x = (x ^ (x << U64(29))) * U64(0xD6E8FEB86659FD93)
+        sums = np.r_[U64(0), np.cumsum((x ^ (x >> U64(32))) * power[:n])]
+        a, b = by_name, following[by_name]
+        h = (sums[b] - sums[a])
+        # equal substrings have hashes that differ by the power of their distance
+        same = (b[1:] - a[1:] == b[:-1] - a[:-1]) & (h[1:] * power[np.maximum(0, a[:-1] - a[1:])] == h[:-1] * power[np.maximum(0, a[1:] - a[:-1])])
+    name = np.zeros(n, np.int64)
+    name[by_name] = np.r_[0, np.cumsum(~same)]
+    names = name[lms]
+    return induce(s, small, lms[doubled(names)], counts)
 
 
 def common_prefixes(raw: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
@@ -145,7 +202,7 @@ def common_prefixes(raw: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
 def repeated_windows(runs: list[tuple[int, int, bytes]], length: int = 100) -> list[tuple[int, int, int]]:
     """runs: (id, start, bytes). (id, start, windows) of the stretches of windows whose equals start earlier in another run given."""
     body = np.concatenate([np.r_[np.frombuffer(r, np.uint8).astype(np.int32) + 2, np.int32(1)] for _, _, r in runs] + [np.zeros(1, np.int32)])
-    sa = np.array(suffix_array(body.tolist(), 258))
+    sa = suffix_array(body, 258)
     shared = common_prefixes(body, sa, length)[sa] >= length
     size = np.array([len(r) for _, _, r in runs])
     offset = np.cumsum(size + 1) - size - 1
@@ -216,7 +273,7 @@ def numbered(docs: DataFrame, id_col: str, text_col: str, keep: bool = False) ->
 def anchor_rows(rows: DataFrame, length: int) -> DataFrame:
     """Runs of windows, equal ones of a block combined: later ones are marked as gone at once."""
     def run(batches):
-        for b in in_blocks(batches, 8 << 20, most=1 << 16):
+        for b in in_blocks(batches, 3 << 20, most=1 << 16):
             seqs, raws = b.column(0).to_numpy(), [utf8(x) for x in b.column(1).to_pylist()]
             keep = [k for k, r in enumerate(raws) if len(r) >= length]
             if not keep:
@@ -307,7 +364,7 @@ def with_bytes(open_runs: DataFrame, rows: DataFrame, length: int) -> DataFrame:
     return rows.select("seq", "text").join(each, "seq").select("seq", "text", "runs").mapInArrow(run, KINDS + ", bytes binary")
 
 
-def sort_shards(runs: DataFrame, length: int, batch: int = 4 << 20) -> DataFrame:
+def sort_shards(runs: DataFrame, length: int, batch: int = 2 << 20) -> DataFrame:
     """(seq, start, windows) that suffix sorting finds gone; anchors stay whole and are sorted together in shards of about `batch` bytes."""
     def run(batches):
         held, total, anchor = [], 0, None
@@ -372,7 +429,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, most: int = 20_000, id_co
     found = gone_windows(rows, length, most)
 
     def run(batches):
-        for b in in_blocks(batches, 8 << 20):
+        for b in in_blocks(batches):
             n, cuts, kept = [], [], []
             for text, starts, windows in zip(*(b.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
                 raw = utf8(text)
