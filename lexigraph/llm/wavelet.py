@@ -51,7 +51,7 @@ class Encoder:
     """ids of many texts at once. Texts are cut where the tokenizer's own pre-tokenizer cuts; each distinct piece of text goes through the library once
     (up to `most` kept, found by a 64-bit hash). Texts with rare scripts, very long pieces or a special token's string go through it whole."""
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 1_500_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
