@@ -14,6 +14,7 @@ they link to (null if there are none). Repeated ids share a row's class if any o
 
 from __future__ import annotations
 
+import math
 from itertools import repeat
 
 import numpy as np
@@ -211,7 +212,7 @@ def sketch(text: str | None, width: int, cut_every: int = 16, seed: int = 42, bl
     words = utf8(text).lower().split()
     joined = b" ".join(words)
     if not words:
-        return 0, [0], np.zeros(0, np.uint32), xxhash.xxh3_128_digest(joined)
+        return 0, [0], np.zeros(0, np.uint64), xxhash.xxh3_128_digest(joined)
     shingles = list(map(b" ".join, zip(*(words[i:] for i in range(width))))) if len(words) >= width else [joined]
     raw = np.frombuffer(b"".join(map(xxhash.xxh64_digest, shingles, repeat(seed))), np.uint8).reshape(-1, 8)
     counts, segments = np.zeros(64, np.int64), set()
@@ -224,14 +225,14 @@ def sketch(text: str | None, width: int, cut_every: int = 16, seed: int = 42, bl
         sizes = np.diff(np.r_[starts, len(part)])
         segments.update(np.packbits(sums * 2 > sizes[:, None], axis=1).view(">i8").ravel().tolist())
     whole = int.from_bytes(np.packbits(counts * 2 > len(raw)).tobytes(), "big")
-    return whole, sorted(segments), np.unique(np.ascontiguousarray(raw[:, :4]).view("<u4")), xxhash.xxh3_128_digest(joined)
+    return whole, sorted(segments), np.unique(raw.view("<u8").ravel()), xxhash.xxh3_128_digest(joined)
 
 
 def similar(pairs: DataFrame, docs: DataFrame, width: int, least: float) -> DataFrame:
     """The pairs (a, b) whose texts' word shingles have a Jaccard similarity of at least `least`; docs(doc_id, text)."""
     def shingles(batches):
         for b in in_blocks(batches):
-            rows = [sketch(x, width)[2].astype("<u4").tobytes() for x in b.column(1).to_pylist()]
+            rows = [np.unique(sketch(x, width)[2].astype("<u4")).tobytes() for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.binary())], ["doc_id", "shingles"])
 
     def compare(batches):
@@ -249,24 +250,93 @@ def similar(pairs: DataFrame, docs: DataFrame, width: int, least: float) -> Data
     return both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
 
 
+def frequent(rows: DataFrame, width: int, about: int = 4000, most: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted hashes, counts) of the shingles that stand in three or more of a sample of about so many rows(doc_id, text). It only sets the order of shingles, which any
+    choice leaves exact; a shingle it misses makes a larger group."""
+    def run(batches):
+        for b in in_blocks(batches):
+            made = [sketch(x, width)[2] for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(made).astype(np.uint64).view(np.int64))], ["shingle"])
+
+    cells = 1 << 20
+    share = int(min(1.0, about / max(1, rows.count())) * cells)
+    some = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(cells)) < share).mapInArrow(run, "shingle long")
+    found = some.groupBy("shingle").count().where("count >= 3").orderBy(F.desc("count"), "shingle").limit(most).collect()
+    keys = np.array([r["shingle"] for r in found], np.int64).view(np.uint64)
+    order = np.argsort(keys)
+    return keys[order], np.array([r["count"] for r in found], np.int64)[order]
+
+
+def prefix(shingles: np.ndarray, least: float, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The first of the sorted shingles in one order for all texts, rarest first and then by hash: so many that two texts of similarity `least` share one of theirs."""
+    n = len(shingles)
+    if not n:
+        return shingles
+    often = np.zeros(n, np.int64)
+    if len(keys):
+        at = np.minimum(np.searchsorted(keys, shingles), len(keys) - 1)
+        often = np.where(keys[at] == shingles, counts[at], 0)
+    return shingles[np.argsort(often, kind="stable")[: n - math.ceil(least * n - 1e-9) + 1]]
+
+
+def bitmap(shingles: np.ndarray) -> bytes:
+    """A bit by each shingle's low bits, in twice as many bits at least."""
+    bits = np.zeros(1 << max(6, (2 * len(shingles) - 1).bit_length()), np.uint8)
+    bits[shingles & np.uint64(len(bits) - 1)] = 1
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def at_most(x: bytes, y: bytes, n: int, m: int) -> int:
+    """A bound of the shingles that sets of n and m share: a bit that only one bitmap has is a shingle that the other lacks. The longer bitmap is folded."""
+    a, b = sorted((np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")), key=len)
+    if len(x) > len(y):
+        n, m = m, n
+    while len(b) > len(a):
+        b = b[: len(b) // 2] | b[len(b) // 2 :]
+    return min(n - int(np.bitwise_count(a & ~b).sum()), m - int(np.bitwise_count(b & ~a).sum()))
+
+
+def near_pairs(nodes: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) of different components that can have a similarity of `least`; nodes(doc_id, n, prefix, bits, component). Exact: such texts share a shingle of their
+    prefixes, and at the first that they share enough shingles are left in both; then their bitmaps must allow it. A shingle in very many prefixes is split by the skew join."""
+    each = nodes.select("doc_id", "n", "component", F.posexplode("prefix").alias("at", "shingle"))
+    each = each.select("shingle", "doc_id", "n", "component", (F.col("n") - F.col("at")).alias("left"))
+    other = each.select("shingle", *(F.col(c).alias(f"o_{c}") for c in each.columns[1:]))
+    sizes = F.least("n", "o_n") >= least * F.greatest("n", "o_n") - 1e-6
+    enough = (1 + least) * F.least("left", "o_left") >= least * (F.col("n") + F.col("o_n")) - 1e-6
+    met = each.join(other, "shingle").where((F.col("doc_id") < F.col("o_doc_id")) & (F.col("component") != F.col("o_component")) & sizes & enough)
+    pairs = met.select(F.col("doc_id").alias("a"), F.col("o_doc_id").alias("b")).distinct()
+    both = pairs.join(nodes.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("bits").alias("x")), "a").join(nodes.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("y")), "b")
+
+    def run(batches):
+        for b in batches:
+            keep = [(1 + least) * at_most(x, y, n, m) >= least * (n + m) - 1e-6 for x, y, n, m in zip(*(b.column(k).to_pylist() for k in range(2, 6)), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return both.select("a", "b", "x", "y", "na", "nb").mapInArrow(run, "a long, b long")
+
+
 def near_classes(docs: DataFrame, width: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text", far: int = 20) -> DataFrame:
-    """(doc_id, component_id) of one row for each different sequence of words: classes of texts whose word shingles are at least `least` similar.
+    """(doc_id, component_id) of one row for each different sequence of words: classes of texts whose word shingles are at least `least` similar, and of chains of those.
 
-    At that similarity whole fingerprints differ in about ten bits, past what an index of 64 bits can search. The candidates therefore are pairs linked by
-    the index over whole fingerprints, and pairs that share a segment of equal fingerprint (a text that similar keeps most of its segments) and differ in at most `far` bits as
-    a whole. In a group that shares a segment each text is paired with the group's first and last id, so pairs stay linear. Every pair is then checked on the
-    exact shingle sets. Copies of one sequence of words are one entry with the smallest id."""
+    At that similarity whole fingerprints differ in about ten bits, past what an index of 64 bits can search. A first round joins what is cheap to find, so that large groups
+    of near copies are one component before pairs are made: pairs linked by the index over whole fingerprints, and texts that share a segment of equal fingerprint, each with
+    its group's first and last id, and differ in at most `far` bits as a whole. A second round is exact: all pairs of different components that the prefix filter leaves
+    (near_pairs). Every pair of both is checked on the shingle sets. Copies of one sequence of words are one entry with the smallest id."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
+    often = rows.sparkSession.sparkContext.broadcast(frequent(rows, width))
 
     def run(batches):
         for b in in_blocks(batches):
             made = [sketch(x, width) for x in b.column(1).to_pylist()]
             fps = np.array([m[0] for m in made], np.uint64).view(np.int64)
-            cols = [b.column(0), pa.array([m[3] for m in made], pa.binary()), pa.array(fps), pa.array([len(m[2]) for m in made], pa.int64()), pa.array([m[1] for m in made], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "words", "fp", "n", "segments"])
+            first = [prefix(m[2], least, *often.value).view(np.int64) for m in made]
+            cols = [b.column(0), pa.array([m[3] for m in made], pa.binary()), pa.array(fps), pa.array([len(m[2]) for m in made], pa.int64())]
+            cols += [pa.array([m[1] for m in made], pa.list_(pa.int64())), pa.array(first, pa.list_(pa.int64())), pa.array([bitmap(m[2]) for m in made], pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "words", "fp", "n", "segments", "prefix", "bits"])
 
-    made = rows.mapInArrow(run, "doc_id long, words binary, fp long, n long, segments array<long>")
-    nodes = cut(made.groupBy("words").agg(F.min("doc_id").alias("doc_id"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("segments").alias("segments")), "sketches")
+    made = rows.mapInArrow(run, "doc_id long, words binary, fp long, n long, segments array<long>, prefix array<long>, bits binary")
+    nodes = cut(made.groupBy("words").agg(F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in ("fp", "n", "segments", "prefix", "bits"))), "sketches")
     each = nodes.select(F.explode("segments").alias("segment"), "doc_id", "fp", "n")
     me = F.struct("doc_id", "fp", "n")
     groups = each.groupBy("segment").agg(F.min(me).alias("low"), F.max(me).alias("high")).where("low.doc_id < high.doc_id")
@@ -277,8 +347,10 @@ def near_classes(docs: DataFrame, width: int = 5, least: float = 0.8, id_col: st
     same = nodes.join(prints.withColumnRenamed("doc_id", "first"), "fp").where("doc_id != first").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
     found = index_links(prints).select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"))
     pairs = cut(pairs.union(same).union(found).distinct(), "pairs")
-    links = similar(pairs, rows, width, least)
-    stars = connected_components(links, "a", "b")
+    stars = cut(connected_components(similar(pairs, rows, width, least), "a", "b"), "first")
+    of = nodes.select("doc_id", "n", "prefix", "bits").join(stars.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    more = similar(cut(near_pairs(of, least), "pairs"), rows, width, least)
+    stars = connected_components(stars.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more), "a", "b")
     return nodes.select("doc_id").join(stars.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("component_id"))
 
 

@@ -125,6 +125,45 @@ def test_near_duplicates_are_found_and_others_kept(spark):
     assert kept == sorted({100 * g for g in range(12)} | {5000 + k for k in range(20)})
 
 
+def brute_near(texts, width=5, least=0.8):
+    """Classes of {id: text}, as id -> smallest id, by comparing all pairs."""
+    sets = {}
+    for i, t in texts.items():
+        w = t.split()
+        sets[i] = {tuple(w[k : k + width]) for k in range(len(w) - width + 1)} or {tuple(w)}
+    root = {i: i for i in texts}
+    ids = sorted(texts)
+    for x in ids:
+        for y in ids:
+            both = len(sets[x] & sets[y])
+            if x < y and root[x] != root[y] and both >= least * (len(sets[x]) + len(sets[y]) - both):
+                lo, hi = sorted((root[x], root[y]))
+                root = {k: lo if v == hi else v for k, v in root.items()}
+    return root
+
+
+def near_of(spark, texts):
+    return {r["doc_id"]: r["component_id"] for r in simhash.near_classes(spark.createDataFrame(sorted(texts.items()), "doc_id long, text string")).collect()}
+
+
+def test_near_duplicates_of_short_texts_and_around_a_passage(spark):
+    r = random.Random(8)
+    fresh = lambda n: ["".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(n)]
+    passage, texts = fresh(60), {}
+    for n in range(10, 61, 5):
+        for _ in range(8):
+            w = fresh(n)
+            texts[len(texts)] = " ".join(w)
+            texts[len(texts)] = " ".join(w + fresh(1))
+            texts[len(texts)] = " ".join(w[:-1] + fresh(1))
+    for k in range(60):  # unlike texts around one passage, and edited copies of some
+        w = fresh(4 + k % 9) + passage + fresh(4 + k % 7)
+        texts[len(texts)] = " ".join(w)
+        if k % 3 == 0:
+            texts[len(texts)] = " ".join(w[:-1] + fresh(1))
+    assert near_of(spark, texts) == brute_near(texts)
+
+
 def test_licenses(docs, empty):
     rows = licenses.scan(docs).collect()
     r = by_id(rows)[4][0]
