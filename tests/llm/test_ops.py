@@ -164,6 +164,20 @@ def test_near_duplicates_of_short_texts_and_around_a_passage(spark):
     assert near_of(spark, texts) == brute_near(texts)
 
 
+def test_near_duplicates_of_one_fingerprint(spark):
+    r = random.Random(9)
+    fresh = lambda n: ["".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(n)]
+    texts = {}
+    for _ in range(20):  # the repeated words set the fingerprint; the first and last text are unlike the two between
+        base, tail = fresh(11) * 40, fresh(12)
+        for end in (fresh(12), tail, tail[:-1] + fresh(1), fresh(12)):
+            texts[len(texts)] = " ".join(base + end)
+    prints = {i: simhash.fingerprint(t, 5) for i, t in texts.items()}
+    assert sum(prints[4 * g] == prints[4 * g + 1] == prints[4 * g + 2] for g in range(20)) >= 5
+    got = near_of(spark, texts)
+    assert got == brute_near(texts) and all(got[4 * g + 2] == 4 * g + 1 for g in range(20))
+
+
 def test_licenses(docs, empty):
     rows = licenses.scan(docs).collect()
     r = by_id(rows)[4][0]
