@@ -1,12 +1,15 @@
 """Benchmark decontamination: rare n-gram seeds, then local alignment.
 
 Seeds are the word trigrams of the test items, with their document frequencies over all documents. A document is a candidate for an item if it has a
-rare seed of the item (in at most `rare` of the documents) or at least three different seeds of any frequency, so that items repeated very
-often are found too. The words around a candidate's hits are aligned with the item by Smith-Waterman (match 2, mismatch -1, gap -1); the score is the
+rare seed of the item (in at most `rare` of the documents) or at least three different seeds of any frequency. Besides, every document that can reach `threshold`
+is one, by pairs of words: in an alignment of m matches, a step from match to match over (i, d) words of item and document costs max(i, d) - 1, so with a steps of cost 0 and b of
+cost 1 the score is at most 2 + 2a + b. A document therefore is a candidate if its neighbouring words (of distance 1 or 2 in both) allow 2 + 2a + b from
+the threshold on; items so short that one match is enough have single words as seeds. Nothing that reaches the threshold is missed, whatever its
+frequency; scores below it are those of the candidates. The words around a candidate's hits are aligned with the item by Smith-Waterman (match 2, mismatch -1, gap -1); the score is the
 best local alignment over twice the item's words, 1 for a whole verbatim copy. A document is contaminated from `threshold` on.
 
 Test items are broadcast in blocks of at most `block_chars` characters, whatever their number; each block is one pass over the
-documents, without a shuffle of texts. Words are runs of letters and digits after lower-casing. Null and empty texts, and items of fewer than three
+documents, without a shuffle of texts. Words are runs of letters and digits after lower-casing. Null and empty texts, and items without
 words, have no seeds: score 0. Ties go to the smallest item id. Repeated rows get repeated results; hits are never capped.
 """
 
@@ -45,15 +48,16 @@ def align(item: np.ndarray, window: np.ndarray, match: int = 2, mismatch: int =
 
 
 class Seeds:
-    """Trigrams of a block of items over their own word numbers."""
+    """Trigrams and pairs of words of a block of items over their own word numbers."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], threshold: float = THRESHOLD):
+        self.threshold = threshold
         self.vocabulary: dict[bytes, int] = {}
         number = self.vocabulary.setdefault
         self.items = []
         for i, text in sorted(items, key=lambda x: x[0]):
             words = [number(w, len(self.vocabulary)) for w in words_of(text)]
-            if len(words) >= N:
+            if words:
                 self.items.append((i, np.array(words)))
         if len(self.vocabulary) >= 1 << 21:
             raise ValueError("a block of items has too many words; lower block_chars")
@@ -63,6 +67,67 @@ class Seeds:
                 owners[key].add(k)
         self.key = np.array(sorted(owners), np.int64)
         self.owners = [sorted(owners[k]) for k in self.key.tolist()]
+        sizes = np.array([len(words) for _, words in self.items], np.int64)
+        flat = np.concatenate([np.zeros(0, np.int64), *(words for _, words in self.items)])
+        self.item_of = np.repeat(np.arange(len(sizes)), sizes)  # of each place in flat
+        self.need = 2 * threshold * sizes - 2 - 1e-9  # of 2a + b
+        self.by_pair = [self.postings(*self.pairs(flat, d, self.item_of)) for d in (1, 2)]
+        short = np.flatnonzero(self.need[self.item_of] <= 0)
+        self.by_word = self.postings(flat[short], short)
+
+    @staticmethod
+    def pairs(words: np.ndarray, distance: int, item: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers of the pairs of known words so far apart, places of their first words)."""
+        a, b = words[:-distance], words[distance:]
+        at = np.flatnonzero((a >= 0) & (b >= 0) if item is None else item[:-distance] == item[distance:])
+        return a[at] << 21 | b[at], at
+
+    @staticmethod
+    def postings(keys: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(distinct keys, starts, places by key)."""
+        order = np.argsort(keys, kind="stable")
+        distinct, starts = np.unique(keys[order], return_index=True)
+        return distinct, np.r_[starts, len(keys)], at[order]
+
+    @staticmethod
+    def look_up(postings, keys: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places in the items, places in the document) of all that agree."""
+        distinct, starts, places = postings
+        if not len(distinct) or not len(keys):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        k = np.minimum(np.searchsorted(distinct, keys), len(distinct) - 1)
+        same = distinct[k] == keys
+        k, at = k[same], at[same]
+        n = starts[k + 1] - starts[k]
+        inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        return places[np.repeat(starts[k], n) + inner], np.repeat(at, n)
+
+    def near(self, words: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Items that the pairs or words of a document allow to reach the threshold: sorted places of the hits, their places in the items, and what they add to 2a + b."""
+        found = []
+        for d in (1, 2):
+            keys, at = self.pairs(words, d)
+            for i in (1, 2):
+                g, p = self.look_up(self.by_pair[i - 1], keys, at)
+                found.append((g, p, np.full(len(g), 2 if i == d == 1 else 1)))
+        known = np.flatnonzero(words >= 0)
+        g, p = self.look_up(self.by_word, words[known], known)
+        found.append((g, p, np.zeros(len(g), np.int64)))
+        g, p, v = (np.concatenate(x) for x in zip(*found, strict=True))
+        if not len(g):
+            return {}
+        best = np.unique(g * 4 + v)
+        last = np.r_[best[1:] >> 2 != best[:-1] >> 2, True]  # the most at each place
+        items, total = self.item_of[best[last] >> 2], best[last] & 3
+        start = np.flatnonzero(np.r_[True, items[1:] != items[:-1]])
+        some = items[start][np.add.reduceat(total, start) >= self.need[items[start]]]
+        if not len(some):
+            return {}
+        of = self.item_of[g]
+        hit = np.flatnonzero(np.isin(of, some))
+        order = hit[np.lexsort((p[hit], of[hit]))]
+        ends = np.flatnonzero(np.r_[of[order][1:] != of[order][:-1], True]) + 1
+        return {int(of[part[0]]): (p[part], g[part], v[part]) for part in np.split(order, ends[:-1])}
 
     @staticmethod
     def keys(words: np.ndarray) -> np.ndarray:
@@ -86,6 +151,30 @@ class Seeds:
         same = self.key[k] == keys[at]
         return at[same], k[same]
 
+    @staticmethod
+    def stretches(places: list[int], reach: int) -> list[tuple[int, int]]:
+        """(first, last) of the runs of sorted places without a gap over reach."""
+        out = []
+        for p in places:
+            if out and p - out[-1][1] <= reach:
+                out[-1] = (out[-1][0], p)
+            else:
+                out.append((p, p))
+        return out
+
+    def promising(self, k: int, near: dict, reach: int) -> list[tuple[int, int]]:
+        """The stretches of an item's hits that by themselves allow the threshold."""
+        if k not in near:
+            return []
+        p, g, v = near[k]
+        out = []
+        for a, b in self.stretches(p.tolist(), reach):
+            i, j = np.searchsorted(p, a), np.searchsorted(p, b, side="right")
+            best = np.unique(g[i:j] * 4 + v[i:j])
+            if (best & 3)[np.r_[best[1:] >> 2 != best[:-1] >> 2, True]].sum() >= self.need[k]:
+                out.append((a, b))
+        return out
+
     def best(self, words: np.ndarray, common: np.ndarray) -> tuple[int | None, float]:
         """Item of the best alignment and its score; common: which seeds are too frequent to count alone."""
         places, seeds = self.hits(words)
@@ -93,22 +182,17 @@ class Seeds:
         for p, s in zip(places.tolist(), seeds.tolist(), strict=True):
             for k in self.owners[s]:
                 by_item[k].append((p, s))
+        found = {}
+        for k, hits in by_item.items():
+            seen = {s for _, s in hits}
+            if len(seen) >= 3 or not common[list(seen)].all():
+                found[k] = [p for p, _ in hits]
+        near = self.near(words)
         best, which = 0.0, None
-        for k, found in sorted(by_item.items()):
-            seen = {s for _, s in found}
-            if len(seen) < 3 and common[list(seen)].all():
-                continue
+        for k in sorted(found.keys() | near.keys()):
             item_id, item = self.items[k]
-            reach = 2 * len(item)
-            lo = found[0][0]
-            stretches, last = [], lo
-            for p, _ in found[1:]:
-                if p - last > reach:
-                    stretches.append((lo, last))
-                    lo = p
-                last = p
-            stretches.append((lo, last))
-            for a, b in stretches:
+            reach = (2 if self.threshold > 1 / 3 else 3) * len(item)  # no alignment that reaches the threshold goes further without a cheap step
+            for a, b in self.stretches(found.get(k, []), reach) + self.promising(k, near, reach):
                 score = align(item, words[max(0, a - reach) : b + N + reach]) / (2 * len(item))
                 if score > best:
                     best, which = score, item_id
@@ -136,10 +220,10 @@ def frequencies(docs: DataFrame, shared) -> tuple[np.ndarray, int]:
     return out, total
 
 
-def score_block(docs: DataFrame, items: list[tuple[int, str]], rare: float) -> DataFrame:
+def score_block(docs: DataFrame, items: list[tuple[int, str]], rare: float, threshold: float) -> DataFrame:
     """docs(doc_id, text, item_id, score): the better of what stands there and this block's best."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(Seeds(items))
+    shared = spark.sparkContext.broadcast(Seeds(items, threshold))
     df, n = frequencies(docs, shared)
     common = df > max(1.0, rare * n)
 
@@ -163,7 +247,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, rare: float = 0.001, bl
     out = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.lit(None).cast("long").alias("item_id"), F.lit(0.0).alias("score"))
     for k in range(blocks):
         some = items.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == k) if blocks > 1 else items
-        out = score_block(out, [(r["i"], r["t"]) for r in some.toLocalIterator()], rare)
+        out = score_block(out, [(r["i"], r["t"]) for r in some.toLocalIterator()], rare, threshold)
     return out.select("doc_id", "item_id", "score", (F.col("score") >= threshold).alias("contaminated"))
 
 

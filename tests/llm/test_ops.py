@@ -210,6 +210,27 @@ def test_decontamination(spark, benchmark):
     assert decontaminate.contamination(docs, benchmark.where("false")).where("contaminated").count() == 0
 
 
+def test_contamination_matches_smith_waterman_on_all_pairs(spark):
+    r = random.Random(4)
+    common = [f"c{k}" for k in range(30)]
+    items = [(k, " ".join(r.choice(common) if r.random() < 0.5 else f"w{r.randrange(2000)}" for _ in range(n))) for k, n in enumerate([1, 2, 3, 4, 5, 7, 10, 15, 15, 30, 40])]
+    texts = []
+    for _, t in items * 12:
+        w, every = t.split(), r.choice([2, 3, 4, 9])
+        w = [x if (k + 1) % every else r.choice([f"z{k}", "", f"{x} y{k}"]) for k, x in enumerate(w)]
+        texts.append(" ".join(["a"] * 5 + w + [r.choice(common) for _ in range(r.randrange(80))]))
+    texts += [t for _, t in items for _ in range(3)]  # verbatim copies make all seeds common
+    words = items[7][1].split()
+    texts.append(" ".join(f"q{k}" if k in (2, 5, 8, 11) else w for k, w in enumerate(words)))
+    got = decontaminate.contamination(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    number = {}
+    coded = lambda t: np.array([number.setdefault(w, len(number)) for w in decontaminate.words_of(t)])
+    for g in got:
+        want = max(decontaminate.align(coded(t), coded(texts[g["doc_id"]])) / (2 * len(t.split())) for _, t in items)
+        assert g["contaminated"] == (want >= decontaminate.THRESHOLD), (g, want, texts[g["doc_id"]])
+        assert g["score"] == want or want < decontaminate.THRESHOLD
+
+
 def test_alignment_matches_plain_smith_waterman():
     r = random.Random(1)
     for _ in range(60):
