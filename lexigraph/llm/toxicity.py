@@ -6,7 +6,7 @@ EM how often each voter fires in either class (its accuracy) and, from what is l
 correlation of each pair; a voter's evidence is divided by its correlated mass, so that beginnings of one word do not count several times. The
 posterior labels train a linear classifier (logistic regression on which voters fire and how densely), which scores every text whole.
 
-Training takes a bounded sample of labelled rows (`most` rows, parameter); without a toxic row or without a clean one the fixed words alone
+Training takes a bounded sample of labelled rows (`most` rows, parameter) with both classes in the table's proportion; without a toxic row or without a clean one the fixed words alone
 decide. Null and empty texts fire no voter and get the model's score for that. Repeated rows get repeated scores.
 """
 
@@ -172,12 +172,12 @@ class Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = 8000, longest: int = 20_000) -> Model:
-    """Fits on at most `most` labelled rows outside the held-out fold, those of smallest id hash, up to half of them toxic; rows over `longest` characters are not fitted on."""
+    """Fits on at most `most` labelled rows outside the held-out fold, those of smallest id hash, at one rate for both classes, so that lexicon, prior and cut see the share of toxic rows that
+    the table has; rows over `longest` characters are not fitted on."""
     known = labels.select(F.col("doc_id").cast("long").alias("i"), F.col("toxic").cast("int").alias("y")).where("i is not null and y in (0, 1)").where(fold_col(F.col("i"), 4) != 2)
     known = known.groupBy("i").agg(F.max("y").alias("y"))
-    n = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
     cells = 1 << 20
-    share = F.when(F.col("y") == 1, int(min(1.0, most / 2 / max(1, n.get(1, 0))) * cells)).otherwise(int(min(1.0, most / 2 / max(1, n.get(0, 0))) * cells))
+    share = int(min(1.0, most / max(1, known.count())) * cells)
     some = known.where(F.pmod(F.xxhash64("i", F.lit(11)), F.lit(cells)) < share)
     texts = docs.select(F.col("doc_id").cast("long").alias("i"), F.col("text").alias("t")).where(F.col("t").isNotNull() & (F.length("t") <= longest))
     rows = texts.join(F.broadcast(some), "i").limit(2 * most)  # some has about `most` rows of two integers

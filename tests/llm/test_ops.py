@@ -355,3 +355,10 @@ def test_toxicity(docs, empty, spark):
     m = toxicity.train(d, d.select("doc_id", "toxic"))
     held = [(y, m.score(t) >= toxicity.THRESHOLD) for i, t, y in made if zlib.crc32(str(i).encode()) % 4 == 2]
     assert sum(y == p for y, p in held) / len(held) > 0.95
+
+
+def test_toxicity_is_fitted_on_the_share_of_toxic_rows(spark, monkeypatch):
+    docs = spark.range(9000).select(F.col("id").alias("doc_id"), F.lit("some text").alias("text"), (F.col("id") % 10 == 0).cast("int").alias("toxic"))
+    monkeypatch.setattr(toxicity, "Model", lambda rows: [y for _, y in rows])
+    fitted = toxicity.train(docs, docs.select("doc_id", "toxic"), most=1500)
+    assert 1200 < len(fitted) < 1800 and 0.08 < sum(fitted) / len(fitted) < 0.12
