@@ -4,7 +4,7 @@ A byte goes when it is covered by a string of `length` bytes that also starts ea
 the input. Every window of that length is owned by one anchor, the smallest of its k-gram hashes; equal windows own equal anchors, so they
 meet under the anchor's hash. A run of windows with one anchor travels as one row (anchor, hash of the run's bytes): equal runs need nothing else,
 and an anchor whose runs are all equal is done. What is left, anchors with different runs around them, forms the shards: their bytes go
-through suffix sorting (suffixes classified, leftmost-smaller substrings sorted recursively, the rest induced), common prefixes in text order tell
+through suffix sorting (suffixes classified, leftmost-smaller substrings named by 64-bit hashes and sorted by prefix doubling, the rest induced), common prefixes in text order tell
 neighbours that share a window, and in each class of equal windows all but the earliest go.
 
 Rows equal within a block of input are combined before the shuffle, so a passage in a third of all documents sends a row a block. An anchor with more
