@@ -8,9 +8,11 @@ the threshold on; items so short that one match is enough have single words as s
 frequency; scores below it are those of the candidates. The words around a candidate's hits are aligned with the item by Smith-Waterman (match 2, mismatch -1, gap -1); the score is the
 best local alignment over twice the item's words, 1 for a whole verbatim copy. A document is contaminated from `threshold` on.
 
-Test items are broadcast in blocks of at most `block_chars` characters, whatever their number; each block is one pass over the
-documents, without a shuffle of texts. Words are runs of letters and digits after lower-casing. Null and empty texts, and items without
-words, have no seeds: score 0. Ties go to the smallest item id. Repeated rows get repeated results; hits are never capped.
+Test items are read in order of their ids and broadcast in blocks of at most `block_chars` characters and 2**21 - 1 words (an item over that stands alone; one of more than
+2,097,151 different words raises an error). A block costs one pass over the documents for the frequencies and one for the scores, without a shuffle of texts; with several blocks the
+scores so far are written between them, so that neither passes nor memory add up. Words are runs of letters and digits after lower-casing. Null and empty texts, and items without words,
+have no seeds: score 0. Ties go to the smallest item id. Repeated rows and ids get each its own result; a null id is like any other. An empty table gives an empty result, no items the
+score 0. Hits are never capped, long texts are read whole. Only the columns named are read, so others may have any name.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import in_blocks, table, utf8
+from .common import cut, in_blocks, new_path, remove, table, utf8
 
 SPLIT = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 N = 3
@@ -60,7 +62,7 @@ class Seeds:
             if words:
                 self.items.append((i, np.array(words)))
         if len(self.vocabulary) >= 1 << 21:
-            raise ValueError("a block of items has too many words; lower block_chars")
+            raise ValueError("a test item has over two million different words")
         owners = defaultdict(set)
         for k, (_, words) in enumerate(self.items):
             for key in self.keys(words).tolist():
@@ -220,18 +222,36 @@ def frequencies(docs: DataFrame, shared) -> tuple[np.ndarray, int]:
     return out, total
 
 
-def score_block(docs: DataFrame, items: list[tuple[int, str]], rare: float, threshold: float) -> DataFrame:
-    """docs(doc_id, text, item_id, score): the better of what stands there and this block's best."""
+def blocks(benchmark: DataFrame, block_chars: int):
+    """Lists of (item id, text); only one is held at a time."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("i"), F.col("text").alias("t")).where("i is not null and t is not null")
+    held, chars, words = [], 0, 0
+    for r in items.orderBy("i", "t").toLocalIterator():
+        n = len(words_of(r["t"]))
+        if held and (chars + len(r["t"]) > block_chars or words + n >= 1 << 21):
+            yield held
+            held, chars, words = [], 0, 0
+        held.append((r["i"], r["t"]))
+        chars, words = chars + len(r["t"]), words + n
+    if held:
+        yield held
+
+
+def prepared(docs: DataFrame, items: list[tuple[int, str]], rare: float, threshold: float):
+    """Broadcasts of a block's seeds and of which are common in docs(text)."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(Seeds(items, threshold))
     df, n = frequencies(docs, shared)
-    common = df > max(1.0, rare * n)
+    return shared, spark.sparkContext.broadcast(df > max(1.0, rare * n))
+
 
+def score_block(docs: DataFrame, shared, common) -> DataFrame:
+    """docs(doc_id, text, item_id, score): the better of what stands there and this block's best."""
     def run(batches):
         for b in in_blocks(batches):
             which, score = b.column(2).to_pylist(), b.column(3).to_pylist()
             for k, text in enumerate(b.column(1).to_pylist()):
-                i, s = shared.value.best(shared.value.number(words_of(text)), common)
+                i, s = shared.value.best(shared.value.number(words_of(text)), common.value)
                 if s > score[k] or (s == score[k] and i is not None and (which[k] is None or i < which[k])):
                     which[k], score[k] = i, s
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(which, pa.int64()), pa.array(score, pa.float64())], ["doc_id", "text", "item_id", "score"])
@@ -241,13 +261,15 @@ def score_block(docs: DataFrame, items: list[tuple[int, str]], rare: float, thre
 
 def contamination(docs: DataFrame, benchmark: DataFrame, rare: float = 0.001, block_chars: int = 16 << 20, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, score, contaminated) per row of docs; item_id is null where nothing aligns."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("i"), F.col("text").alias("t")).where("i is not null and t is not null")
-    chars = items.agg(F.sum(F.length("t"))).first()[0] or 0
-    blocks = -(-chars // block_chars)
-    out = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.lit(None).cast("long").alias("item_id"), F.lit(0.0).alias("score"))
-    for k in range(blocks):
-        some = items.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == k) if blocks > 1 else items
-        out = score_block(out, [(r["i"], r["t"]) for r in some.toLocalIterator()], rare, threshold)
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    out, path = source.select("doc_id", "text", F.lit(None).cast("long").alias("item_id"), F.lit(0.0).alias("score")), None
+    for k, items in enumerate(blocks(benchmark, block_chars)):
+        if k:
+            last, path = path, new_path(docs.sparkSession, "scores")
+            out = cut(out, "scores", path)
+            if last:
+                remove(docs.sparkSession, last)
+        out = score_block(out, *prepared(source.select("text"), items, rare, threshold))
     return out.select("doc_id", "item_id", "score", (F.col("score") >= threshold).alias("contaminated"))
 
 
@@ -255,8 +277,26 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def clean_rows(docs: DataFrame, benchmark: DataFrame, rare: float = 0.001, block_chars: int = 16 << 20, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+    """The rows whose text is not contaminated, with their columns as they are; ids play no part."""
+    out, path, at = docs, None, docs.columns.index(text_col)
+    for k, items in enumerate(blocks(benchmark, block_chars)):
+        if k:
+            last, path = path, new_path(docs.sparkSession, "clean")
+            out = cut(out, "clean", path)
+            if last:
+                remove(docs.sparkSession, last)
+        shared, common = prepared(docs.select(F.col(text_col).alias("text")), items, rare, threshold)
+
+        def run(batches, shared=shared, common=common):
+            for b in in_blocks(batches, text=text_col):
+                keep = [shared.value.best(shared.value.number(words_of(x)), common.value)[1] < threshold for x in b.column(at).to_pylist()]
+                yield b.filter(pa.array(keep, pa.bool_()))
+
+        out = out.mapInArrow(run, docs.schema)
+    return out
+
+
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops contaminated rows; all others stay as they are."""
-    benchmark = table(spark, sf_dir, "benchmark")
-    bad = contamination(docs.where("doc_id is not null"), benchmark).where("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"] == bad["_bad"], "left_anti")
+    """Drops contaminated rows; all others stay as they are, also those without an id or with the id of a dropped one."""
+    return clean_rows(docs, table(spark, sf_dir, "benchmark"))
