@@ -2,9 +2,10 @@
 
 Muxer: a PAT, a PMT with one private stream, then the payload cut into access units, each a PES packet with a
 90 kHz presentation time stamp; every GOP-th unit is a random-access point with a PCR. Adaptation fields stuff the last packet
-of a unit. Demuxer: reads the tables (their CRC-32/MPEG-2 is checked), follows the program's stream, checks continuity
+of a unit. Demuxer: reads the tables (sections may span packets; their CRC-32/MPEG-2 is checked, and the first sound one counts), follows the program's stream, checks continuity
 counters, strips the PES headers and returns payload, time stamps and random-access points. Packets are handled as
-matrices of 188 columns. Null and empty texts carry 64 zero bytes; a stream of any length is handled unit by unit.
+matrices of 188 columns. Damaged packets, headers and tables are counted as lost, never raised. Null and empty texts carry 64 zero bytes; a stream of any length is handled unit by
+unit. Repeated rows and ids get each its own, equal result; an empty table gives an empty one. Only the columns named are read, so others may have any name.
 """
 
 from __future__ import annotations
@@ -96,35 +97,54 @@ def mux(payload: bytes) -> bytes:
     return np.concatenate(out).tobytes()
 
 
+def sections(m: np.ndarray, pid: np.ndarray, at: int):
+    """The sections that packets of a PID carry, each until its length is reached."""
+    held = b""
+    for row in m[pid == at]:
+        raw = row.tobytes()
+        lo = 4 + (1 + raw[4] if raw[3] & 0x20 else 0)
+        if not raw[3] & 0x10 or lo >= PACKET:
+            continue
+        if raw[1] & 0x40:  # a section begins after what the pointer skips, which belongs to the one before
+            begin = lo + 1 + raw[lo]
+            yield held + raw[lo + 1 : begin]
+            held = raw[begin:]
+        elif held:
+            held += raw[lo:]
+    yield held
+
+
+def body(m: np.ndarray, pid: np.ndarray, at: int, kind: int) -> tuple[bytes, bool] | None:
+    """What stands in the first sound section of a table, else in the first whole one, and whether its checksum holds."""
+    spare = None
+    for raw in sections(m, pid, at):
+        n = 3 + ((raw[1] & 15) << 8 | raw[2]) if len(raw) >= 3 else 0
+        if n < 12 or len(raw) < n or raw[0] != kind:
+            continue
+        if crc_mpeg(raw[:n]) == 0:
+            return raw[8 : n - 4], True
+        spare = spare or (raw[8 : n - 4], False)
+    return spare
+
+
 def tables(m: np.ndarray, pid: np.ndarray) -> tuple[int | None, int, bool]:
     """The first program's elementary PID, its stream type, and whether both tables' checksums hold."""
-    def body(at: int) -> tuple[bytes, bool] | None:
-        rows = m[(pid == at) & (m[:, 1] & 0x40 > 0)]
-        if not len(rows):
-            return None
-        raw = rows[0].tobytes()
-        lo = 4 + (1 + raw[4] if raw[3] & 0x20 else 0)
-        lo += 1 + raw[lo]
-        n = (raw[lo + 1] & 15) << 8 | raw[lo + 2]
-        whole = raw[lo : lo + 3 + n]
-        return whole[8:-4], crc_mpeg(whole) == 0
-
-    pat = body(0)
-    if not pat:
-        return None, 0, False
-    for k in range(0, len(pat[0]) - 3, 4):
+    pat = body(m, pid, 0, 0)
+    for k in range(0, len(pat[0]) - 3, 4) if pat else ():
         if pat[0][k : k + 2] != b"\x00\x00":
-            pmt = body((pat[0][k + 2] & 31) << 8 | pat[0][k + 3])
-            if pmt and len(pmt[0]) >= 9:
-                at = 4 + ((pmt[0][2] & 15) << 8 | pmt[0][3])
+            pmt = body(m, pid, (pat[0][k + 2] & 31) << 8 | pat[0][k + 3], 2)
+            at = 4 + ((pmt[0][2] & 15) << 8 | pmt[0][3]) if pmt and len(pmt[0]) >= 4 else 0
+            if at and len(pmt[0]) >= at + 5:
                 return (pmt[0][at + 1] & 31) << 8 | pmt[0][at + 2], pmt[0][at], pat[1] and pmt[1]
     return None, 0, False
 
 
 def demux(media: bytes) -> dict:
-    """Payload, time stamps and random-access points (index of the unit) of a transport stream, with what its checks found."""
+    """Payload, time stamps and random-access points (index of the unit) of a transport stream, with what its checks found. A packet without the sync byte is lost, and so is a
+    unit whose header is not whole."""
     m = np.frombuffer(media, np.uint8)[: len(media) // PACKET * PACKET].reshape(-1, PACKET)
-    lost = int((m[:, 0] != SYNC).sum()) if len(m) else 0
+    synced = m[:, 0] == SYNC
+    lost, packets, m = int((~synced).sum()), len(m), m[synced]
     pid = (m[:, 1].astype(np.int32) & 31) << 8 | m[:, 2]
     es, kind, crc_ok = tables(m, pid)
     s = m[pid == es] if es is not None else m[:0]
@@ -132,28 +152,29 @@ def demux(media: bytes) -> dict:
     s, has_field = s[has_data], has_field[has_data]
     counter = s[:, 3] & 15
     jumps = int(((counter[1:] - counter[:-1]) & 15 != 1).sum())
-    skip = np.where(has_field, 5 + s[:, 4].astype(np.int64), 4)
-    body = s[np.arange(PACKET)[None] >= skip[:, None]]
+    skip = np.minimum(np.where(has_field, 5 + s[:, 4].astype(np.int64), 4), PACKET)
+    data = s[np.arange(PACKET)[None] >= skip[:, None]]
     ends = np.cumsum(PACKET - skip)
     starts = np.flatnonzero(s[:, 1] & 0x40)
-    raw, parts, pts, points, pcr = body.tobytes(), [], [], [], []
+    raw, parts, pts, points, pcr = data.tobytes(), [], [], [], []
     at = (ends - (PACKET - skip))[starts].tolist() + [len(raw)]
     for k, row in enumerate(starts.tolist()):
         lo, hi = at[k], at[k + 1]
-        if raw[lo : lo + 3] != b"\x00\x00\x01":
+        if hi - lo < 9 or raw[lo : lo + 3] != b"\x00\x00\x01":
             lost += 1
             continue
-        n = raw[lo + 4] << 8 | raw[lo + 5]
+        n, head = raw[lo + 4] << 8 | raw[lo + 5], raw[lo + 8]
+        lost += n > 0 and hi < lo + 6 + n  # cut short
         hi = min(hi, lo + 6 + n) if n else hi
-        if raw[lo + 7] & 0x80:
+        if raw[lo + 7] & 0x80 and head >= 5 and lo + 14 <= hi:
             p = raw[lo + 9 : lo + 14]
             pts.append((p[0] >> 1 & 7) << 30 | p[1] << 22 | p[2] >> 1 << 15 | p[3] << 7 | p[4] >> 1)
-        parts.append(raw[lo + 9 + raw[lo + 8] : hi])
+        parts.append(raw[lo + 9 + head : hi])
         if has_field[row] and s[row, 4] and s[row, 5] & 0x40:
             points.append(k)
-            if s[row, 5] & 0x10:
+            if s[row, 5] & 0x10 and s[row, 4] >= 7:
                 pcr.append(int.from_bytes(s[row, 6:12].tobytes(), "big") >> 15)
-    return {"payload": b"".join(parts), "pts": pts, "points": points, "pcr": pcr, "packets": len(m), "pid": es or 0, "stream_type": kind, "crc_ok": crc_ok, "jumps": jumps, "lost": lost}
+    return {"payload": b"".join(parts), "pts": pts, "points": points, "pcr": pcr, "packets": packets, "pid": es or 0, "stream_type": kind, "crc_ok": crc_ok, "jumps": jumps, "lost": int(lost)}
 
 
 def padded(text: str | None) -> tuple[int, bytes]:
@@ -205,4 +226,4 @@ def media_features(media: DataFrame) -> DataFrame:
 
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = cut(to_media(table(spark, sf_dir, "documents")), "media")
-    return media_features(stored).drop("pts", "access_points")
+    return media_features(stored)
