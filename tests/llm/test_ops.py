@@ -44,6 +44,8 @@ def test_media(docs, empty):
         for r in by_id(rows)[i]:
             assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]))
             assert "jumps=0;lost=0;tables=ok" in r["feature"] and r["media_bytes"] % 188 == 0
+            units = -(-len(padded) // mpegts.UNIT)
+            assert r["pts"] == [k * mpegts.TICK for k in range(units)] and r["access_points"] == list(range(0, units, mpegts.GOP))
     assert mpegts.media_features(mpegts.to_media(empty)).count() == 0
 
 
@@ -57,6 +59,32 @@ def test_demux_finds_faults():
     assert x["pts"] == [k * mpegts.TICK for k in range(5)] and x["points"] == [0, 4] and x["pcr"] == [0, 4 * mpegts.TICK]
 
 
+def test_demux_survives_damage():
+    r = random.Random(3)
+    whole = mpegts.mux(bytes(range(256)) * 300)
+    for _ in range(3000):
+        media = bytearray(whole[: r.choice([len(whole), 188 * r.randrange(8), r.randrange(len(whole))])])
+        for _ in range(r.randrange(8)):
+            if media:
+                media[r.randrange(min(len(media), r.choice([188 * 4, len(media)])))] = r.randrange(256)
+        x = mpegts.demux(bytes(media))
+        assert len(x["pts"]) <= x["packets"]
+    assert mpegts.demux(b"")["payload"] == b"" and mpegts.demux(b"\x47" * 1000)["pid"] == 0
+    cut = mpegts.demux(whole[: 188 * 20])
+    assert cut["lost"] == 1 and cut["payload"] == (bytes(range(256)) * 300)[: len(cut["payload"])]
+
+
+def test_sections_may_span_packets():
+    m = np.frombuffer(mpegts.mux(b"q" * 640), np.uint8).reshape(-1, 188)
+    programs = b"".join(k.to_bytes(2, "big") + (0xE000 | mpegts.PMT_PID).to_bytes(2, "big") for k in range(1, 61))
+    raw = b"\0" + mpegts.section(0, 1, programs)
+    parts = [raw[:184], raw[184:].ljust(184, b"\xff")]
+    pat = b"".join(bytes([0x47, 0x40 if not k else 0, 0, 0x10 | k]) + x for k, x in enumerate(parts))
+    x = mpegts.demux(pat + m[1:].tobytes())
+    assert x["crc_ok"] and x["payload"] == b"q" * 640
+    assert not mpegts.demux(pat[:188] + m[1:].tobytes())["crc_ok"]
+
+
 def brute_print(t, width=3):
     w = bytes(t or "", "utf8").lower().split()
     if not w:
@@ -193,6 +221,50 @@ def test_license_notices(spark):
     assert [got[i] for i in range(len(rows))] == list(notices.values())
 
 
+def test_licence_texts(spark):
+    rows = [(k, "head " * 9 + text.replace(" the ", " THE\n").replace(",", ";") + " tail" * 9) for k, (_, text, _) in enumerate(licenses.TEMPLATES)]
+    rows.append((100, "Redistribution and use in source and binary forms, with or without modification, are permitted"))
+    rows.append((101, "redistribution and use in binary forms"))
+    got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, (label, _, _) in enumerate(licenses.TEMPLATES):
+        assert label in got[k]["labels"].split(",") and got[k]["score"] == 1.0
+    assert got[100]["labels"] == "bsd" and got[101]["labels"] == ""
+
+
+def test_license_scan_matches_brute_force(spark):
+    r = random.Random(7)
+    bits = ["MIT", "License", "license", "cc", "by", "CC-BY", "apache", "Gnu", "general", "public", "mit license", ",", "é", "the", "_", "under", "4", "0", "\n"]
+    texts = [" ".join(r.choice(bits) for _ in range(r.randrange(60))) for _ in range(400)]
+    for _, text, _ in licenses.TEMPLATES * 4:
+        w = ("so it is " + text).split()
+        for _ in range(r.randrange(1 + len(w) // 5)):
+            k = r.randrange(len(w))
+            w[k : k + r.randrange(2)] = [r.choice(bits)] * r.randrange(3)
+        texts.append(" ".join(w))
+    got = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    df = {}
+    for t in texts:
+        for w in set(licenses.words_of(t)):
+            df[w] = df.get(w, 0) + 1
+    index = licenses.Index(df, len(texts))
+    for g in got:
+        w = licenses.words_of(texts[g["doc_id"]])
+        at = [i for i in range(len(w)) for p in licenses.BASE if w[i : i + len(p.split())] == p.encode().split()]
+        assert (g["n_words"], g["n_base"], g["first_word"], g["last_word"]) == (len(w), len(at), min(at, default=None), max(at, default=None))
+        best = {}
+        for k, (label, words, _) in enumerate(index.templates):
+            top = sorted(set(words), key=lambda x: (-index.idf[x], x))[: 4 if len(words) < 30 else 8]
+            slack = index.slack[k]
+            for o in range(-len(words), len(w) + 1):
+                near = {x for x in top for p, y in enumerate(words) if x == y and x in w[max(0, o + p - slack) : max(0, o + p + slack + 1)]}
+                if 2 * len(near) > len(top):
+                    score = index.score(k, w[max(0, o - slack) : max(0, o + len(words) + slack)])
+                    if score >= 0.7:
+                        best[label] = max(best.get(label, 0), score)
+        base = {label for p, label in licenses.BASE.items() if f" {p} ".encode() in b" " + b" ".join(w) + b" "}
+        assert g["base_labels"] == ",".join(sorted(base)) and g["labels"] == ",".join(sorted(base | set(best))) and g["score"] == max(best.values(), default=0.0)
+
+
 @pytest.fixture(scope="module")
 def benchmark(spark):
     return spark.createDataFrame([(1, "Alpha beta gamma delta epsilon zeta eta theta iota kappa."), (2, "one two"), (3, None), (None, "x y z")], "item_id long, text string")
@@ -210,6 +282,22 @@ def test_decontamination(spark, benchmark):
     assert decontaminate.contamination(docs, benchmark.where("false")).where("contaminated").count() == 0
 
 
+def test_decontamination_by_rows_and_in_blocks(spark, benchmark):
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    rows = [(None, item, 1), (None, "clean", 2), (7, item, 3), (7, "clean too", 4), (7, "clean too", 4), (8, None, 5), (9, "", 6), (10, "x " * 20_000 + item + " y" * 20_000, 7)]
+    docs = spark.createDataFrame([(*r, "z") for r in rows], "doc_id long, text string, item_id int, score string")
+    items = spark.createDataFrame([(9, item), (1, item), (4, "lambda mu nu xi omicron pi rho sigma tau upsilon"), (5, "one more item " * 9)], "item_id long, text string")
+    assert [len(x) for x in decontaminate.blocks(items, 60)] == [1, 1, 1, 1] and [len(x) for x in decontaminate.blocks(items, 1 << 20)] == [4]
+    want = [(None, "clean", 2, "z"), (7, "clean too", 4, "z"), (7, "clean too", 4, "z"), (8, None, 5, "z"), (9, "", 6, "z")]
+    for size in (60, 1 << 20):
+        got = decontaminate.clean_rows(docs, items, block_chars=size)
+        assert got.columns == docs.columns and sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+        scored = decontaminate.contamination(docs, items, block_chars=size).collect()
+        assert len(scored) == len(rows) and sum(r["contaminated"] for r in scored) == 3 and {r["item_id"] for r in scored if r["contaminated"]} == {1}
+    assert decontaminate.clean_rows(docs.where("false"), items).count() == 0
+    assert decontaminate.clean_rows(docs, items.where("false")).count() == len(rows)
+
+
 def test_contamination_matches_smith_waterman_on_all_pairs(spark):
     r = random.Random(4)
     common = [f"c{k}" for k in range(30)]
@@ -273,19 +361,52 @@ def test_token_shards(spark, docs, empty):
     for (i, t), g in zip(rows, got, strict=True):
         ids = [*tok.encode(t or "", add_special_tokens=False).ids, 0]
         assert (g["doc_id"], g["start"], g["n_tokens"], g["ids_crc32"]) == (i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        assert (g["first_id"], g["n_end_ids"]) == (ids[0], ids.count(0))
         start += len(ids)
     assert wavelet.read_documents(spark, wavelet.write_shards(empty, wavelet.new_path(spark, "t"))).count() == 0
 
 
-def test_wavelet_access_rank_select():
+def test_encoder_gives_the_librarys_ids(monkeypatch):
+    coder = wavelet.Encoder(wavelet.default_tokenizer(), most=3000)  # so few that they are dropped again and again
+    r = random.Random(6)
+    bits = ["a", "B", "é", "ß", "ñ", "1", "²", "½", " ", "  ", "\n", "\t", "\u00a0", "\u2003", "\u3000", "'", "'s", "'re", "'ll", "'S", "!", "…", "_", "日", "한", "Ж", "α", "ש", "𝒳", "😀", "\u0301", "\u200d", "<|endoftext|>", "-", "x" * 250]
+    weights = [9] * 32 + [1, 9, 1]
+    texts = ["".join(r.choices(bits, weights, k=r.randrange(14))) for _ in range(20_000)]
+    for at in range(0, len(texts), 500):
+        for x, got in zip(texts[at : at + 500], coder.encode(texts[at : at + 500]), strict=True):
+            assert got.tolist() == [*coder.tokenizer.encode(x, add_special_tokens=False).ids, 0], x
+    monkeypatch.setattr(coder, "hashes", lambda codes, at, ends: np.full(len(at), 7, np.uint64))  # all pieces share a hash
+    assert [x.tolist() for x in coder.encode(["one two", "three"])] == [[*coder.tokenizer.encode(x).ids, 0] for x in ("one two", "three")]
+
+
+@pytest.mark.parametrize("n, block", [(3000, 1 << 18), (3000, 512), (1024, 512), (1, 512), (0, 512)])
+def test_wavelet_access_rank_select(n, block):
     r = np.random.default_rng(1)
-    x = (r.pareto(1, 3000) * 10).astype(int) % 50_000
-    m = wavelet.WaveletMatrix.from_bytes(wavelet.WaveletMatrix.build(x, 16).to_bytes())
-    assert (m.all() == x).all() and [m.access(i) for i in range(0, 3000, 37)] == x[::37].tolist()
+    x = (r.pareto(1, n) * 10).astype(int) % 50_000
+    raw = wavelet.WaveletMatrix.pack(x, 16, block)
+    asked = []
+    m = wavelet.WaveletMatrix(lambda at, size: asked.append(size) or raw[at : at + size], most=20)
+    assert (m.all() == x).all() and (m.access(np.arange(0, n, 37)) == x[::37]).all()
     for v in {*x[:40].tolist(), 65_000}:
         at = np.flatnonzero(x == v)
-        assert m.count(v) == len(at) and m.count(v, 100, 900) == ((at >= 100) & (at < 900)).sum()
+        lo, hi = np.array([0, n // 30, n // 2]), np.array([n, n // 3, n])
+        assert m.count(v)[0] == len(at) and m.count(v, lo, hi).tolist() == [((at >= a) & (at < b)).sum() for a, b in zip(lo, hi, strict=True)]
         assert [m.occurrence(v, k) for k in range(len(at) + 1)] == [*at.tolist(), -1]
+    if (n, block) == (3000, 512):
+        m.held.clear()
+        asked.clear()
+        m.access(1500)
+        assert len(asked) == 16 and sum(asked) < len(raw) / 4  # a block a plane
+
+
+def test_damaged_shards_are_refused():
+    raw = wavelet.shard_bytes([5, None], [2, 1], np.array([7, 0, 0]), 16)
+    ids, sizes, m = wavelet.read_shard(lambda at, n: raw[at : at + n])
+    assert ids == [5, None] and sizes.tolist() == [2, 1] and m.all().tolist() == [7, 0, 0]
+    for at in (0, 20, len(raw) - 3):
+        bad = raw[:at] + bytes([raw[at] ^ 1]) + raw[at + 1 :]
+        with pytest.raises(Exception):  # noqa: B017, PT011
+            wavelet.read_shard(lambda at, n, bad=bad: bad[at : at + n])[2].all()
 
 
 def test_warc_round_trip(spark):
@@ -315,6 +436,23 @@ def test_language(docs, empty, spark):
     assert p > 0.97
 
 
+def test_language_of_one_text_a_block_and_of_long_rows(spark):
+    r = random.Random(1)
+    text = lambda words, n: " ".join(r.choice(words) for _ in range(n))
+    en, de = "the house and then some water flows by our street".split(), "das haus und dann noch wasser fliesst durch unsere strasse".split()
+    long = text(en, 600_000)  # over 3 MB: a block of its own
+    rows = [(0, text(en, 50), "en", "x"), (1, long, "en", "x"), (2, text(de, 300_000), "de", "x")]  # the only row of a language is a long one
+    rows += [(3, "½ ² 12 _ !", None, "x"), (4, long + " end", None, "x"), (5, "wasser", None, "x"), (5, "wasser", None, "x"), (None, "water", None, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score string").repartition(len(rows))
+    got = langid.identify(docs, docs, longest=2000).collect()
+    assert sorted((x["doc_id"] is None, x["doc_id"] or 0, x["lang_pred"]) for x in got) == [(False, 0, "en"), (False, 1, "en"), (False, 2, "de"), (False, 3, "und"), (False, 4, "en"), (False, 5, "de"), (False, 5, "de"), (True, 0, "en")]
+    assert len({x["score"] for x in got if x["doc_id"] == 5}) == 1
+    many = spark.range(30).select(F.col("id").alias("doc_id"), F.lit("word").alias("text"), F.col("id").cast("string").alias("lang"))
+    assert len(langid.training_words(many, "doc_id", "text", "lang", 5, 100, 30)) == 30
+    with pytest.raises(ValueError, match="languages"):
+        langid.training_words(many, "doc_id", "text", "lang", 5, 100, 29)
+
+
 def test_word_probability_sums_all_segmentations():
     v = langid.vocabulary(langid.default_model())
     table = -np.arange(v.size, dtype=float)[:, None] / 5000 - 3
@@ -330,10 +468,22 @@ def test_word_probability_sums_all_segmentations():
 
     words = ["▁then", "▁hello", "other", "▁a"]
     lat = v.lattice(words)
-    got = lat.forward(langid.edge_weights(v, table, lat.piece))[lat.end_nodes, 0]
+    got = lat.forward(langid.edge_weights(v, table, lat.piece))[lat.ends, 0]
     assert np.allclose(got, [brute(w) for w in words])
-    back = lat.backward(langid.edge_weights(v, table, lat.piece))[lat.first[:-1], 0]
+    back = lat.backward(langid.edge_weights(v, table, lat.piece))[lat.starts, 0]
     assert np.allclose(got, back)
+    long = ["ab" * 400, "𝒳" * 90, "▁x", "▁" * 70]  # past the range of floats, and not
+    lat = v.lattice(long)
+    weight = langid.edge_weights(v, table, lat.piece)
+    a, b = lat.forward(weight)[lat.ends, 0], lat.backward(weight)[lat.starts, 0]
+    assert np.allclose(a, b) and np.isfinite(a).all() and np.allclose(a[:1], brute(long[0])) and np.allclose(a[3], brute(long[3]))
+
+
+def test_units_keep_runs_of_spaces():
+    v = langid.vocabulary(langid.default_model())
+    assert langid.units(" a  b\n c") == ["▁▁a", "▁▁b", "\n", "▁c"] and langid.units("") == ["▁"] and langid.units("a b") == ["▁a", "▁b"]
+    lat = v.lattice(["▁▁b"])
+    assert any(v.pieces[p] == "▁▁" for p in lat.piece.tolist() if p < v.size) and any(v.pieces[p] == "▁b" for p in lat.piece.tolist() if p < v.size)
 
 
 def test_toxicity(docs, empty, spark):
