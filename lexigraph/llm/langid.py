@@ -4,47 +4,55 @@ Each language has a unigram distribution over the pieces of a fixed public vocab
 of labelled training rows. A word's probability sums those of all its segmentations (forward algorithm); a text's is the product over
 its words, whole text. The prediction is the language of highest posterior, the score that posterior.
 
-`und` with score 0 where the text is null or has no letter, or no training row exists. Ties go to the language that sorts first.
-Repeated rows give repeated results.
+Training rows are cut into stretches of `longest` characters, so that a long row is learned from like any other; about `per_lang` stretches of each language are fitted on, chosen by
+hash. Every language of the training rows is learned; more than `languages` of them raise an error, as the model has a number for each piece and language.
+
+`und` with score 0 where the text is null or has no letter (Unicode category L), or no training row exists, as in an empty table. Ties go to the language that sorts
+first. Repeated rows give repeated results. Long texts are scored whole. Only the columns named are read, so others may have any name.
 """
 
 from __future__ import annotations
 
-import re
+import uuid
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import fold_col, in_blocks, table
-from .lattice import default_model, edge_weights, units, vocabulary
+from .lattice import default_model, edge_weights, numbers, units, vocabulary
 
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
+HELD: dict = {}  # the scores that the tasks of a worker process share, by model
 
 
 class WordScores:
-    """log probability of words by language; keeps up to `most` words."""
+    """log probability of words by language; keeps up to `most` numbers, 20,000 words at least."""
 
-    def __init__(self, path: str, table: np.ndarray, most: int = 300_000):
-        self.v, self.table, self.most = vocabulary(path), table, most
+    def __init__(self, path: str, table: np.ndarray, most: int = 1 << 21):
+        self.v, self.table, self.most = vocabulary(path), table, max(20_000, most // max(1, table.shape[1]))
         self.index: dict[str, int] = {}
         self.scores = np.zeros((0, table.shape[1]))
 
     def rows(self, words: list[str]) -> np.ndarray:
         if len(self.index) > self.most:
-            self.index, self.scores = {}, self.scores[:0]
-        new = [w for w in dict.fromkeys(words) if w not in self.index]
-        if new:
+            self.index = {}
+        out = numbers(self.index, words)
+        missing = np.flatnonzero(out < 0).tolist()
+        if missing:
+            new = list({words[k] for k in missing})  # their order has no effect on results
             base = len(self.index)
             self.index.update(zip(new, range(base, base + len(new)), strict=True))
-            found = []
-            for at in range(0, len(new), 20_000):
-                lat = self.v.lattice(new[at : at + 20_000])
-                found.append(lat.forward(edge_weights(self.v, self.table, lat.piece))[lat.end_nodes])
-            self.scores = np.concatenate([self.scores, *found])
-        return np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+            if base + len(new) > len(self.scores):
+                self.scores = np.concatenate([self.scores[:base], np.zeros((base + 2 * len(new), self.scores.shape[1]))])
+            for at in range(0, len(new), 5000):  # so few that their nodes are ranked by radix
+                lat = self.v.lattice(new[at : at + 5000])
+                self.scores[base + at : base + at + len(lat.ends)] = lat.forward(edge_weights(self.v, self.table, lat.piece))[lat.ends]
+            out[missing] = numbers(self.index, [words[k] for k in missing])
+        return out
 
 
 def fit(counts: dict[str, Counter], path: str, rounds: int = 3, smooth: float = 200.0) -> tuple[list[str], np.ndarray]:
@@ -54,17 +62,16 @@ def fit(counts: dict[str, Counter], path: str, rounds: int = 3, smooth: float =
     words = sorted(set().union(*counts.values()))
     n = np.array([[counts[g][w] for g in langs] for w in words], float)
     blocks = []
-    for at in range(0, len(words), 10_000):
-        lat = v.lattice(words[at : at + 10_000])
-        blocks.append((lat, n[at : at + 10_000][np.searchsorted(lat.first, lat.src, side="right") - 1]))
+    for at in range(0, len(words), 5000):
+        lat = v.lattice(words[at : at + 5000])
+        blocks.append((lat, np.argsort(lat.starts)[lat.rank[lat.src]] + at))
     table = np.full((v.size, len(langs)), -np.log(v.size))
     for _ in range(rounds):
         seen = np.zeros_like(table)
-        for lat, times in blocks:
+        for lat, word in blocks:
             weight = edge_weights(v, table, lat.piece)
             a, b = lat.forward(weight), lat.backward(weight)
-            whole = a[lat.end_nodes][np.searchsorted(lat.first, lat.src, side="right") - 1]
-            post = np.exp(a[lat.src] + weight + b[lat.dst] - whole) * times
+            post = np.exp(a[lat.src] + weight + b[lat.dst] - b[lat.rank[lat.src]]) * n[word]  # a word's first node has its rank
             regular = lat.piece < v.size
             for g in range(len(langs)):
                 seen[:, g] += np.bincount(lat.piece[regular], post[regular, g], v.size)
@@ -78,14 +85,19 @@ def fit(counts: dict[str, Counter], path: str, rounds: int = 3, smooth: float =
 
 
 def training_words(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_lang: int, longest: int, languages: int) -> dict[str, Counter]:
-    """Word counts of about per_lang rows of each language, those of smallest id hash; rows over `longest` characters are not fitted on."""
+    """Word counts of about per_lang stretches of each language, those of smallest hash of id and place."""
     rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("g")).where("t is not null and g is not null")
-    sizes = {r["g"]: r["count"] for r in rows.groupBy("g").count().orderBy(F.desc("count"), "g").limit(languages).collect()}
+    rows = rows.withColumn("n", F.ceil(F.greatest(F.length("t"), F.lit(1)) / longest).cast("int"))
+    sizes = {r["g"]: r["n"] for r in rows.groupBy("g").agg(F.sum("n").alias("n")).limit(languages + 1).collect()}
+    if len(sizes) > languages:
+        raise ValueError(f"more than {languages} languages; pass a larger bound if they are meant")
     if not sizes:
         return {}
     cells = 1 << 20
     share = F.element_at(F.create_map(*(F.lit(x) for g, n in sizes.items() for x in (g, int(min(1.0, per_lang / n) * cells)))), F.col("g"))
-    some = rows.where(F.length("t") <= longest).where(F.pmod(F.xxhash64("i", F.lit(7)), F.lit(cells)) < share).limit(2 * per_lang * len(sizes)).select("t", "g")
+    each = rows.select("i", "t", "g", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("k")).where(F.pmod(F.xxhash64("i", "k", F.lit(7)), F.lit(cells)) < share)
+    # ids that repeat without end could pass the hash together; the limit is far above what else comes
+    some = each.select(F.substring("t", F.col("k") * longest + 1, F.lit(longest)).alias("t"), "g").limit(2 * per_lang * len(sizes) + 1000)
     counts: dict[str, Counter] = {}
     for r in some.toLocalIterator():
         counts.setdefault(r["g"], Counter()).update(units(r["t"]))
@@ -95,13 +107,17 @@ def training_words(docs: DataFrame, id_col: str, text_col: str, lang_col: str, p
 def predict(docs: DataFrame, langs: list[str], weights: np.ndarray, prior: np.ndarray, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, lang_pred, score). The model has pieces x languages numbers; both are bounded by parameters."""
     model = docs.sparkSession.sparkContext.broadcast((langs, weights, prior))
+    name = uuid.uuid4().hex
 
     def run(batches):
         langs, weights, prior = model.value
-        scores = WordScores(path, weights) if langs else None
+        if langs and name not in HELD:
+            HELD.clear()
+            HELD[name] = WordScores(path, weights)
+        scores = HELD.get(name)
         for b in in_blocks(batches, 2 << 20):
             texts = b.column(1).to_pylist()
-            known = [langs is not None and len(langs) > 0 and x is not None and LETTER.search(x) is not None for x in texts]
+            known = [len(langs) > 0 and x is not None and LETTER.search(x) is not None for x in texts]
             words, ends = [], []
             for x, k in zip(texts, known, strict=True):
                 if k:
@@ -110,7 +126,7 @@ def predict(docs: DataFrame, langs: list[str], weights: np.ndarray, prior: np.nd
             lang, score = ["und"] * len(texts), np.zeros(len(texts))
             if ends:
                 rows = scores.rows(words)
-                total = np.add.reduceat(scores.scores[rows], np.r_[0, ends[:-1]]) + prior
+                total = np.add.reduceat(scores.scores[rows], np.array([0, *ends[:-1]])) + prior
                 best = total.argmax(axis=1)
                 top = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
                 at = np.flatnonzero(known)
@@ -122,7 +138,7 @@ def predict(docs: DataFrame, langs: list[str], weights: np.ndarray, prior: np.nd
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
-def identify(train: DataFrame, docs: DataFrame, path: str | None = None, per_lang: int = 300, longest: int = 20_000, languages: int = 64) -> DataFrame:
+def identify(train: DataFrame, docs: DataFrame, path: str | None = None, per_lang: int = 300, longest: int = 20_000, languages: int = 1000) -> DataFrame:
     """Fits on train(doc_id, text, lang) and predicts docs(doc_id, text)."""
     path = path or default_model()
     counts = training_words(train, "doc_id", "text", "lang", per_lang, longest, languages)

@@ -1,18 +1,22 @@
 """Segmentation lattices of words over a fixed public vocabulary, built for many words at once.
 
-A text is one mark (U+2581) and its characters, each space being a mark too; it falls into units that begin at a mark or newline, so a
-lattice path of the text is a path of each unit in turn. Pieces with a mark match at a unit's start only. A character without a piece of its own is
-one edge of byte pieces; a literal U+2581 is one as well, so that decoding gives the text back.
+A text is one mark (U+2581) and its characters, each space being a mark too; it falls into units that begin at a run of marks or at a newline, so a
+lattice path of the text is a path of each unit in turn. Pieces that have a mark after another character never match, all others do. A character without a piece of its
+own is one edge of byte pieces; a literal U+2581 is one as well, so that decoding gives the text back.
 """
 
 from __future__ import annotations
 
+import re
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 
 MARK, STAND_IN = "▁", "\ud800"
 BASE = np.uint64(0x9E3779B97F4A7C15)
+SCALE = 7.0  # nats a character, about what words have: keeps products of probabilities in a float's range
+RUN = re.compile(" +")
 
 
 def default_model() -> str:
@@ -23,8 +27,9 @@ def default_model() -> str:
 
 def units(text: str | None) -> list[str]:
     """The units of a text; their concatenation is the marked text. Null and empty texts have the bare mark."""
-    s = (text or "").replace(MARK, STAND_IN).replace(" ", " " + MARK).replace("\n", " \n ")
-    return [u for u in (MARK + s).split(" ") if u]
+    s = " " + (text or "").replace(MARK, STAND_IN)
+    s = RUN.sub(lambda m: " " + MARK * len(m[0]), s) if "  " in s else s.replace(" ", " " + MARK)
+    return [u for u in s.replace("\n", " \n ").split(" ") if u]
 
 
 class Vocabulary:
@@ -43,7 +48,7 @@ class Vocabulary:
             if sp.is_byte(i):
                 self.byte_ids[int(p[3:5], 16)] = i
                 self.raw[i] = bytes([int(p[3:5], 16)])
-            elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)) and MARK not in p[1:]:
+            elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)) and MARK not in p.lstrip(MARK):
                 usable[p] = i
         prefixes: dict[str, int] = {}
         for p, i in usable.items():
@@ -52,9 +57,17 @@ class Vocabulary:
             prefixes[p] = i
         self.longest = max(map(len, usable))
         keys = np.array([self.hash_of(p) for p in prefixes], np.uint64)
-        order = np.argsort(keys)
-        self.keys, self.ids = keys[order], np.fromiter(prefixes.values(), np.int64, len(prefixes))[order]
         assert len(np.unique(keys)) == len(keys)
+        self.ids = np.fromiter(prefixes.values(), np.int64, len(prefixes))
+        self.bits = (4 * len(keys)).bit_length()
+        self.row = np.full(1 << self.bits, -1, np.int32)  # an open table of the rows of keys
+        self.keys = keys
+        for k, at in enumerate(self.place(keys).tolist()):
+            while self.row[at] >= 0:
+                at = at + 1 & (1 << self.bits) - 1
+            self.row[at] = k
+        self.begin = np.cumsum([0, *map(len, self.raw)])
+        self.width, self.flat = np.diff(self.begin), np.frombuffer(b"".join(self.raw), np.uint8)
 
     @staticmethod
     def hash_of(piece: str) -> int:
@@ -63,14 +76,31 @@ class Vocabulary:
             h = (h * int(BASE) + ord(c) + 1) & 0xFFFFFFFFFFFFFFFF
         return h
 
+    def place(self, h: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return ((h ^ (h >> np.uint64(31))) * BASE >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Rows of hashes, -1 where no piece begins so."""
+        at, out, open_ = self.place(h), np.full(len(h), -1, np.int64), np.arange(len(h))
+        while len(open_):
+            row = self.row[at[open_]]
+            hit = (self.keys[row] == h[open_]) & (row >= 0)
+            out[open_[hit]] = row[hit]
+            open_ = open_[np.flatnonzero(~hit & (row >= 0))]
+            at[open_] = at[open_] + 1 & (1 << self.bits) - 1
+        return out
+
     def bytes_of(self, code: int) -> np.ndarray:
         """Byte pieces of a character."""
         c = MARK if code == 0xD800 else chr(code)
         return self.byte_ids[np.frombuffer(c.encode("utf-8", "surrogatepass"), np.uint8)]
 
-    def decode(self, ids) -> str:
-        """The text of piece ids (byte pieces included)."""
-        return b"".join(map(self.raw.__getitem__, ids))[1:].decode("utf-8", "surrogatepass")
+    def decode(self, ids: np.ndarray) -> bytes:
+        """The text of piece ids (byte pieces included) in UTF-8."""
+        width = self.width[ids]
+        total = np.cumsum(width)
+        return self.flat[np.repeat(self.begin[ids] - (total - width), width) + np.arange(total[-1])].tobytes()[1:]
 
     def plain(self, ids: np.ndarray) -> np.ndarray:
         """Byte edges replaced by their byte pieces."""
@@ -97,65 +127,115 @@ def vocabulary(path: str) -> Vocabulary:
 
 
 class Lattice:
-    """Edges (src, dst, piece) of all words, by source. Nodes of word w run from first[w] to first[w + 1] - 1, the last being its end."""
+    """Edges (src, dst, piece) of all words, by source. Nodes are numbered by their place in the word, then by word, longer words first; so each place is a stretch of nodes, and the
+    edges from it are a stretch of edges. starts and ends are the words' first and last nodes."""
 
     def __init__(self, v: Vocabulary, words: list[str]):
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         chars = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-        self.first = np.r_[0, np.cumsum(sizes + 1)]
-        word = np.repeat(np.arange(len(words)), sizes)
-        ends = np.repeat(np.cumsum(sizes), sizes)
-        node = np.arange(len(chars)) + word
+        longest = np.argsort(-sizes, kind="stable")
+        self.starts = np.empty(len(words), np.int64)
+        self.starts[longest] = np.arange(len(words))
+        per_place = np.searchsorted(-sizes[longest], -np.arange(sizes.max(initial=0) + 1), side="right")
+        offset = np.r_[0, np.cumsum(per_place)]
+        self.n_nodes, self.ends = int(offset[-1]), offset[sizes] + self.starts
+        self.place = np.repeat(np.arange(len(per_place)), per_place)
+        self.rank = np.arange(self.n_nodes) - offset[self.place]  # of a node's word
+        self.size = sizes[longest]
+        stop = np.repeat(np.cumsum(sizes), sizes)
+        word = np.repeat(self.starts, sizes)
         at, h = np.arange(len(chars)), np.zeros(len(chars), np.uint64)
+        place = at - np.repeat(np.cumsum(sizes) - sizes, sizes)
         src, dst, piece, single = [], [], [], np.zeros(len(chars), bool)
         for n in range(1, v.longest + 1):
-            keep = at + n <= ends[at]
+            keep = np.flatnonzero(at + n <= stop[at])
             at, h = at[keep], h[keep]
             if not len(at):
                 break
             h = h * BASE + chars[at + n - 1] + np.uint64(1)
-            k = np.minimum(np.searchsorted(v.keys, h), len(v.keys) - 1)
-            keep = v.keys[k] == h
-            at, h, k = at[keep], h[keep], k[keep]
-            ids = v.ids[k]
-            hit = ids >= 0
-            src.append(node[at[hit]])
-            dst.append(node[at[hit]] + n)
+            k = v.find(h)
+            keep = np.flatnonzero(k >= 0)
+            at, h, ids = at[keep], h[keep], v.ids[k[keep]]
+            hit = np.flatnonzero(ids >= 0)
+            here = at[hit]
+            src.append(offset[place[here]] + word[here])
+            dst.append(offset[place[here] + n] + word[here])
             piece.append(ids[hit])
             if n == 1:
-                single[at[hit]] = True
+                single[here] = True
         bare = np.flatnonzero(~single)
-        src, dst, piece = np.concatenate([*src, node[bare]]), np.concatenate([*dst, node[bare] + 1]), np.concatenate([*piece, chars[bare].astype(np.int64) + v.size])
-        order = np.argsort(src, kind="stable")
+        src.append(offset[place[bare]] + word[bare])
+        dst.append(offset[place[bare] + 1] + word[bare])
+        piece.append(chars[bare].astype(np.int64) + v.size)
+        src, dst, piece = map(np.concatenate, (src, dst, piece))
+        order = ranked(src)
         self.src, self.dst, self.piece = src[order], dst[order], piece[order]
-        self.n_nodes = int(self.first[-1])
-        place = np.arange(self.n_nodes) - np.repeat(self.first[:-1], sizes + 1)
-        self.end_nodes = self.first[1:] - 1
-        self.place = place
-        turn = np.argsort(place[self.src], kind="stable")
-        cuts = np.flatnonzero(np.diff(place[self.src][turn])) + 1
-        #: edges by the place of their source, so that each step reads finished nodes only
-        self.steps = np.split(turn, cuts) if len(turn) else []
+        cuts = np.searchsorted(self.src, offset).tolist()
+        #: the edges from each place, so that each step reads finished nodes only
+        self.steps = [slice(a, b) for a, b in zip(cuts, cuts[1:]) if a < b]
+        self.first = np.flatnonzero(np.r_[True, self.src[1:] != self.src[:-1]]) if len(src) else np.zeros(0, np.int64)  # edge of each node that has any
+
+    def scaled(self, weight: np.ndarray) -> np.ndarray:
+        span = (self.place[self.dst] - self.place[self.src]) * SCALE
+        return np.exp(weight + (span[:, None] if weight.ndim > 1 else span))
+
+    def again(self, x: np.ndarray) -> np.ndarray:
+        """Which edges belong to words whose sums left the range of floats."""
+        bad = ~((x > 1e-250) & (x < 1e250))
+        odd = np.zeros(len(self.size), bool)
+        odd[self.rank[bad.any(axis=1) if x.ndim > 1 else bad]] = True
+        return odd[self.rank[self.src]]
+
+    def logs(self, x: np.ndarray, part: np.ndarray) -> np.ndarray:
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return np.log(x) - SCALE * (part[:, None] if x.ndim > 1 else part)
 
     def forward(self, weight: np.ndarray) -> np.ndarray:
         """log alpha of all nodes; weight has the log weight of each edge in one or more columns."""
-        a = np.full((self.n_nodes, *weight.shape[1:]), -np.inf)
-        a[self.first[:-1]] = 0
-        for e in self.steps:
-            a[self.dst[e]] = np.logaddexp(a[self.dst[e]], a[self.src[e]] + weight[e])
-        return a
+        p, a = self.scaled(weight), np.zeros((self.n_nodes, *weight.shape[1:]))
+        a[self.starts] = 1
+        with np.errstate(over="ignore", invalid="ignore"):
+            for e in self.steps:
+                a[self.dst[e]] += a[self.src[e]] * p[e]
+        out, odd = self.logs(a, self.place), self.again(a)
+        if odd.any():
+            out[self.dst[odd]] = -np.inf
+            for e in self.steps:
+                e = e.start + np.flatnonzero(odd[e])
+                out[self.dst[e]] = np.logaddexp(out[self.dst[e]], out[self.src[e]] + weight[e])
+        return out
 
     def backward(self, weight: np.ndarray) -> np.ndarray:
         """log beta of all nodes."""
-        b = np.full((self.n_nodes, *weight.shape[1:]), -np.inf)
-        b[self.end_nodes] = 0
-        for e in reversed(self.steps):
-            x = b[self.dst[e]] + weight[e]
-            cuts = np.flatnonzero(np.r_[True, np.diff(self.src[e]) != 0])
-            top = np.maximum.reduceat(x, cuts)
-            width = np.diff(np.r_[cuts, len(e)])
-            b[self.src[e[cuts]]] = top + np.log(np.add.reduceat(np.exp(x - np.repeat(top, width, axis=0)), cuts))
-        return b
+        p, b = self.scaled(weight), np.zeros((self.n_nodes, *weight.shape[1:]))
+        b[self.ends] = 1
+        at = np.searchsorted(self.first, [e.start for e in self.steps] + [len(self.src)]).tolist()
+        with np.errstate(over="ignore", invalid="ignore"):
+            for k in range(len(self.steps) - 1, -1, -1):
+                e, cuts = self.steps[k], self.first[at[k] : at[k + 1]]
+                b[self.src[cuts]] = np.add.reduceat(b[self.dst[e]] * p[e], cuts - e.start)
+        out, odd = self.logs(b, self.size[self.rank] - self.place), self.again(b)
+        if odd.any():
+            for e in reversed(self.steps):
+                e = e.start + np.flatnonzero(odd[e])
+                if not len(e):
+                    continue
+                x = out[self.dst[e]] + weight[e]
+                cuts = np.flatnonzero(np.r_[True, np.diff(self.src[e]) != 0])
+                top = np.maximum.reduceat(x, cuts)
+                width = np.diff(np.r_[cuts, len(e)])
+                out[self.src[e[cuts]]] = top + np.log(np.add.reduceat(np.exp(x - np.repeat(top, width, axis=0)), cuts))
+        return out
+
+
+def numbers(index: dict[str, int], words: list[str]) -> np.ndarray:
+    """Of each word, -1 where it has none."""
+    return np.fromiter(map(index.get, words, repeat(-1)), np.int64, len(words))
+
+
+def ranked(x: np.ndarray) -> np.ndarray:
+    """Stable order; of small numbers by radix."""
+    return np.argsort(x.astype(np.uint16) if len(x) and x.max() < 1 << 16 else x, kind="stable")
 
 
 def edge_weights(v: Vocabulary, table: np.ndarray, piece: np.ndarray) -> np.ndarray:
