@@ -8,8 +8,9 @@ their parent, and so on upwards. A search goes down with the differences accumul
 A node with more than `most` fingerprints is split again by three masks over its free bits, which stays exact, so no task holds more than the bits
 that are left allow. A node yields a spanning forest of its links, never all pairs; equal fingerprints are one entry.
 
-Null and empty texts have fingerprint zero and link like any other. Rows without an id keep their fingerprint and take the class of the ids
-they link to (null if there are none). Repeated ids share a row's class if any of their texts link.
+Null and empty texts have fingerprint zero and link like any other; texts are read whole, in blocks of shingles. Rows without an id keep their fingerprint and take the class of
+the ids they link to (null if there are none). Repeated rows have equal results; repeated ids share a row's class if any of their texts link. Ties do not arise: a class is
+named by its smallest id. An empty table gives an empty one. Only the columns named are read, so others may have any name.
 """
 
 from __future__ import annotations
@@ -232,14 +233,14 @@ def similar(pairs: DataFrame, docs: DataFrame, width: int, least: float) -> Data
     """The pairs (a, b) whose texts' word shingles have a Jaccard similarity of at least `least`; docs(doc_id, text)."""
     def shingles(batches):
         for b in in_blocks(batches):
-            rows = [np.unique(sketch(x, width)[2].astype("<u4")).tobytes() for x in b.column(1).to_pylist()]
+            rows = [sketch(x, width)[2].astype("<u8").tobytes() for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.binary())], ["doc_id", "shingles"])
 
     def compare(batches):
         for b in batches:
             keep = []
             for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")
+                x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(both >= least * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
