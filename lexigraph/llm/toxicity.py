@@ -1,18 +1,21 @@
 """Toxicity by weak supervision.
 
-Voters: fixed insult words, learned word beginnings, and surface patterns. Each learned voter is a word beginning whose documents in the
-training rows are toxic far more often than not. Votes are fires or abstentions on a row. A generative label model estimates by
-EM how often each voter fires in either class (its accuracy) and, from what is left of the joint firing within a class, the
-correlation of each pair; a voter's evidence is divided by its correlated mass, so that beginnings of one word do not count several times. The
-posterior labels train a linear classifier (logistic regression on which voters fire and how densely), which scores every text whole.
-
-Training takes a bounded sample of labelled rows (`most` rows, parameter) with both classes in the table's proportion; without a toxic row or without a clean one the fixed words alone
-decide. Null and empty texts fire no voter and get the model's score for that. Repeated rows get repeated scores.
+Voters: fixed insult words, learned word beginnings, and surface patterns, which fire by themselves. A toxic learned voter is a word beginning whose documents in the training rows are
+toxic far more often than not, a clean one a beginning whose documents are hardly ever; texts that share their least word hashes (copies and most near copies) count once there. Votes are
+fires or abstentions on a row. A generative label model estimates by EM, from the votes alone, how often each voter fires in either class (its accuracy, which is taken to be on the side
+that the voter stands for) and, from what is left of the joint firing within a class, the correlation of each pair; a voter's evidence is divided by the correlation it has with all
+voters, itself included, so that beginnings of one word do not count several times. The labels of the training rows choose the learned voters, give the classes' shares and set the cut; they
+do not vote. The posterior labels train a linear classifier (logistic regression on which voters fire and how densely), which scores every text whole, however long.
+
+Training takes a bounded sample of labelled rows (`most` rows, parameter) with both classes in the table's proportion; without a toxic row or without a clean one, as in empty tables, the
+fixed words alone decide. Null and empty texts fire no lexicon voter and get the model's score for that. Repeated rows get repeated scores, whatever their ids; an id with several labels
+counts as toxic if one is. Only the columns named are read, so others may have any name.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -27,6 +30,9 @@ INSULTS = ["clown", "disgusting", "dumb", "idiot", "loser", "moron", "pathetic",
 WORD = re.compile(r"[^\W\d_]+")
 SHOUT = re.compile(r"!{2,}|\b[A-Z]{4,}\b")
 SECOND = re.compile(r"\b(?:you|your|du|dein|vous|votre|usted|tu)\b", re.I)
+STRETCHED = re.compile(r"([^\W\d_])\1{2,}", re.I)
+#: Patterns, each with the class that it votes for.
+PATTERNS = [(lambda x: SHOUT.search(x) is not None, 1), (lambda x: SECOND.search(x) is not None, 1), (lambda x: STRETCHED.search(x) is not None, 1), (lambda x: "!" not in x, 0)]
 LENGTHS = (3, 4, 5, 6, 7)
 THRESHOLD = 0.3
 
@@ -43,20 +49,21 @@ def beginnings(text: str | None) -> set[str]:
 
 
 class Voters:
-    """Which voters fire on a text, as indices. 0 .. len(INSULTS) - 1: fixed words; then learned beginnings; then two patterns."""
+    """Which voters fire on a text, as indices. 0 .. len(INSULTS) - 1: fixed words; then learned beginnings, toxic and clean; then the patterns. side: the class each votes for."""
 
-    def __init__(self, learned: list[str]):
+    def __init__(self, learned: list[str], clean: list[str] = ()):
         self.words = {w: i for i, w in enumerate(INSULTS)}
-        self.learned = {w: len(INSULTS) + i for i, w in enumerate(learned)}
-        self.size = len(INSULTS) + len(learned) + 2
-        self.lengths = sorted({len(w) for w in learned if not w.endswith("$")})
-        self.short = min(self.lengths, default=99)
+        self.learned = {w: len(INSULTS) + i for i, w in enumerate([*learned, *clean])}
+        self.n_toxic = len(INSULTS) + len(learned)
+        self.size = len(INSULTS) + len(self.learned) + len(PATTERNS)
+        self.side = np.array([1] * self.n_toxic + [0] * len(clean) + [c for _, c in PATTERNS])
+        self.lengths = sorted({len(w) for w in self.learned if not w.endswith("$")})
 
     def fires(self, text: str | None) -> tuple[list[int], int]:
-        """Voters that fire, and the number of words any lexicon voter fires on."""
-        words = WORD.findall((text or "").lower())
+        """Voters that fire, and the number of words any toxic lexicon voter fires on."""
+        text = text or ""
         on, hits = set(), 0
-        for w, n in Counter(words).items():
+        for w, n in Counter(WORD.findall(text.lower())).items():
             here = [self.words[w]] if w in self.words else []
             if (k := self.learned.get(w + "$")) is not None:
                 here.append(k)
@@ -65,56 +72,66 @@ class Voters:
                     here.append(k)
             if here:
                 on.update(here)
-                hits += n
-        if hits:
-            if SHOUT.search(text):
-                on.add(self.size - 2)
-            if SECOND.search(text):
-                on.add(self.size - 1)
+                hits += n * (min(here) < self.n_toxic)
+        on.update(self.size - len(PATTERNS) + k for k, (f, _) in enumerate(PATTERNS) if f(text))
         return sorted(on), hits
 
 
-def learn_lexicon(rows: list[tuple[str, int]], least: int = 5, odds: float = 2.5, most: int = 400) -> list[str]:
-    """Word beginnings whose smoothed log odds between toxic and clean rows are at least `odds`, each supported by `least` toxic rows
-    and too many to be chance among all beginnings seen. A longer one is kept only if its shorter forms are not as clear."""
+def group_of(text: str | None) -> tuple:
+    """What copies and most near copies share: the least hashes of a text's words."""
+    return tuple(sorted(zlib.crc32(w.encode()) for w in set(WORD.findall((text or "").lower())))[:3])
+
+
+def learn_lexicon(rows: list[tuple[str, int]], least: int = 5, odds: float = 2.5, most: int = 400) -> tuple[list[str], list[str]]:
+    """Toxic and clean word beginnings. Toxic: the smoothed log odds between toxic and clean rows are at least `odds`, supported by `least` toxic rows
+    and too many to be chance among all beginnings seen. A longer one is kept only if its shorter forms are not as clear. Clean: in hardly any toxic row, and that is no chance either."""
+    one = {(group_of(text), label): text for text, label in rows}
     toxic, clean, n = Counter(), Counter(), [0, 0]
-    for text, label in rows:
+    for (_, label), text in one.items():
         n[label] += 1
         (toxic if label else clean).update(beginnings(text))
     least = max(2, min(least, n[1] // 20))
     share = n[1] / max(1, n[0] + n[1])
     chance = np.log(20 * max(1, len(toxic)))  # about one in twenty lexicons then has a word by chance
+
+    def evidence(a: int, b: int) -> float:
+        rate = a / (a + b)
+        return (a * np.log(rate / share) if a else 0) + (b * np.log((1 - rate) / (1 - share)) if b else 0)
+
     score = {}
     for w, a in toxic.items():
         s = np.log((a + 0.1) / (n[1] + 1)) - np.log((clean[w] + 0.5) / (n[0] + 1))
-        rate = a / (a + clean[w])
-        evidence = a * np.log(rate / share) + (clean[w] * np.log((1 - rate) / (1 - share)) if clean[w] else 0)
-        if a >= least and s >= odds and clean[w] <= 0.3 * a and evidence >= chance:
+        if a >= least and s >= odds and clean[w] <= 0.3 * a and evidence(a, clean[w]) >= chance:
             score[w] = (a, s)
     kept = [w for w in score if not any(w[:m] in score and score[w[:m]][1] >= score[w][1] - 0.5 for m in LENGTHS if m < len(w.rstrip("$")) or (w.endswith("$") and m == len(w) - 1))]
-    return sorted(kept, key=lambda w: (-score[w][0], w))[:most]
-
-
-def label_model(votes: np.ndarray, known: np.ndarray, rounds: int = 15) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(posterior of class 1, fire rates by class, correlated mass of each voter), by EM from votes (rows x voters, bool). Known labels start it and weigh in as one
-    more voter that errs in 5 % of the rows."""
-    post = np.where(known > 0, 0.95, 0.05)
-    v = votes.astype(float)
-    mass = np.ones(v.shape[1])
-    rates = np.zeros((2, v.shape[1]))
-    for _ in range(rounds):
+    calm = [w for w, b in clean.items() if toxic[w] <= 0.2 * share * b and evidence(toxic[w], b) >= chance and w not in INSULTS]
+    return sorted(kept, key=lambda w: (-score[w][0], w))[:most], sorted(calm, key=lambda w: (-clean[w], w))[: most // 8]
+
+
+def label_model(votes: np.ndarray, side: np.ndarray, share: float, rounds: int = 20, floor: float = 0.5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(posterior of class 1, fire rates by class, correlations of the voters), by EM from votes (rows x voters, bool). It starts from the side that more and rarer voters fire for; share is
+    class 1's. At first only voters that nearly always fire together share their evidence, as the others seem correlated until the classes have come apart. Weak correlations
+    count as none: at `floor` or below."""
+    v, toxic = votes.astype(float), side == 1
+    lead = v @ (-np.log((v.sum(axis=0) + 1) / (len(v) + 1)) * np.where(toxic, 1, -1))
+    post = np.full(len(v), share / 4)
+    post[np.argsort(-lead, kind="stable")[: max(1, round(share * len(v)))]] = 0.9
+    sign = np.where(toxic, 1, -1)
+    for k in range(rounds):
         weight = np.stack([1 - post, post])
-        rates = (weight @ v + 0.05) / (weight.sum(axis=1, keepdims=True) + 1)
+        rates = np.clip((weight @ v + 0.05) / (weight.sum(axis=1, keepdims=True) + 1), 1e-6, 1 - 1e-6)
         rest = [(v - rates[c]) * np.sqrt(weight[c])[:, None] for c in (0, 1)]
         cov = sum(r.T @ r for r in rest)
         scale = np.sqrt(np.maximum(np.diag(cov), 1e-9))
-        mass = np.maximum(1, (np.abs(cov / scale / scale[:, None]) > 0.5).sum(axis=1))
-        on = (np.log(rates[1]) - np.log(rates[0])) / mass
-        off = (np.log1p(-rates[1]) - np.log1p(-rates[0])) / mass
-        prior = post.mean()
-        logit = np.log(prior / (1 - prior)) + v @ on + (1 - v) @ off + np.where(known > 0, 1, -1) * np.log(19)
+        correlation = cov / scale / scale[:, None]
+        correlation[np.abs(correlation) <= (floor if k >= rounds // 2 else 0.9)] = 0
+        np.fill_diagonal(correlation, 1)
+        mass = np.abs(correlation).sum(axis=1)
+        on = sign * np.maximum(0, sign * (np.log(rates[1]) - np.log(rates[0]))) / mass
+        off = sign * np.minimum(0, sign * (np.log1p(-rates[1]) - np.log1p(-rates[0]))) / mass
+        logit = np.log(share / (1 - share)) + v @ on + (1 - v) @ off
         post = np.clip(1 / (1 + np.exp(-np.clip(logit, -30, 30))), 1e-3, 1 - 1e-3)
-    return post, rates, mass
+    return post, rates, correlation
 
 
 def features(voters: Voters, text: str | None) -> tuple[list[int], float]:
@@ -151,20 +168,21 @@ class Model:
     def __init__(self, rows: list[tuple[str, int]]):
         labels = np.array([y for _, y in rows], int)
         self.plain = not len(labels) or labels.min() == labels.max()
-        self.voters = Voters([] if self.plain else learn_lexicon(rows))
+        self.voters = Voters(*(([], []) if self.plain else learn_lexicon(rows)))
         n = self.voters.size
         if self.plain:
-            self.w, self.b = np.r_[np.full(len(INSULTS), 2.0), 0.0, 0.0, 1.0], -3.0
+            self.w, self.b = np.r_[np.full(len(INSULTS), 2.0), np.zeros(len(PATTERNS)), 1.0], -3.0
             return
         votes, dense = np.zeros((len(rows), n), bool), np.zeros(len(rows))
         for i, (text, _) in enumerate(rows):
             on, dense[i] = features(self.voters, text)
             votes[i, on] = True
-        post, self.rates, self.mass = label_model(votes, labels)
-        x = np.c_[votes / np.sqrt(self.mass), dense]
-        self.w, self.b = fit_linear(x, post)
+        self.post, self.rates, self.correlation = label_model(votes, self.voters.side, labels.mean())
+        mass = np.maximum(1, np.abs(self.correlation).sum(axis=1))
+        x = np.c_[votes / np.sqrt(mass), dense]
+        self.w, self.b = fit_linear(x, self.post)
         self.b += best_shift(x @ self.w + self.b, labels)
-        self.w[:n] /= np.sqrt(self.mass)
+        self.w[:n] /= np.sqrt(mass)
 
     def score(self, text: str | None) -> float:
         on, dense = features(self.voters, text)
