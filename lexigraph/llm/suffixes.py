@@ -10,8 +10,9 @@ neighbours that share a window, and in each class of equal windows all but the e
 Rows equal within a block of input are combined before the shuffle, so a passage in a third of all documents sends a row a block. An anchor with more
 than `most` different runs is dealt out by window hashes instead, which combine before their shuffle too; its result is the same.
 
-Null texts are empty; texts shorter than `length` lose nothing. Repeated ids are ordered by text and null ids come last; both are numbered anew first.
-Equal rows are copies like any others.
+Null texts are empty; texts shorter than `length` lose nothing; long ones are cut into runs like any others. Repeated ids are ordered by text and null ids come last; both are numbered
+anew first. Equal rows are copies like any others, ties fall to the order of rows. An empty table gives an empty one. Other columns are kept by the stage and may have any name but the
+ones that begin with __lexigraph_seq.
 """
 
 from __future__ import annotations
@@ -183,27 +184,32 @@ def suffix_array(s, sigma: int) -> np.ndarray:
     return induce(s, small, lms[doubled(names)], counts)
 
 
-def common_prefixes(raw: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
-    """In text order (permuted): the common prefix, counted up to most, of each suffix and the one before it in sa."""
-    padded = np.r_[raw, np.zeros(most + 8, raw.dtype)]
-    a, b = sa[1:], sa[:-1]
-    size = np.zeros(len(a), np.int64)
-    live = np.arange(len(a))
-    for k in range(most):
-        live = live[padded[a[live] + k] == padded[b[live] + k]]
-        if not len(live):
-            break
-        size[live] = k + 1
-    out = np.zeros(len(raw), np.int64)
-    out[a] = size
-    return out
+def common_prefixes(raw: np.ndarray, sa: np.ndarray) -> np.ndarray:
+    """In text order (permuted): the common prefix of each suffix and the one before it in sa. Where the symbols before both agree it is one less than at the place before;
+    only the others, the irreducible ones, are compared."""
+    n = len(sa)
+    before = np.full(n, -1)  # by suffix
+    before[sa[1:]] = sa[:-1]
+    follows = np.r_[False, (before[1:] > 0) & (raw[:-1] == raw[before[1:] - 1])]
+    at = np.flatnonzero(~follows & (before >= 0))
+    size = np.zeros(n, np.int64)
+    live, width = at, 16
+    padded = np.r_[raw, np.zeros(1 << 12, raw.dtype)]  # the last symbol stands nowhere else, so no comparison gets past it
+    while len(live):
+        same = padded[(live + size[live])[:, None] + np.arange(width)] == padded[(before[live] + size[live])[:, None] + np.arange(width)]
+        whole = same.all(axis=1)
+        size[live] += np.where(whole, width, same.argmin(axis=1))
+        live = live[whole]
+        width = min(1 << 12, max(16, (1 << 20) // max(1, len(live))))
+    start = np.maximum.accumulate(np.where(follows, 0, np.arange(n)))
+    return size[start] - np.where(follows, np.arange(n) - start, 0)
 
 
 def repeated_windows(runs: list[tuple[int, int, bytes]], length: int = 100) -> list[tuple[int, int, int]]:
     """runs: (id, start, bytes). (id, start, windows) of the stretches of windows whose equals start earlier in another run given."""
     body = np.concatenate([np.r_[np.frombuffer(r, np.uint8).astype(np.int32) + 2, np.int32(1)] for _, _, r in runs] + [np.zeros(1, np.int32)])
     sa = suffix_array(body, 258)
-    shared = common_prefixes(body, sa, length)[sa] >= length
+    shared = common_prefixes(body, sa)[sa] >= length
     size = np.array([len(r) for _, _, r in runs])
     offset = np.cumsum(size + 1) - size - 1
     owner = np.repeat(np.arange(len(runs)), size + 1)

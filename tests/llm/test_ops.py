@@ -507,6 +507,37 @@ def test_toxicity(docs, empty, spark):
     assert sum(y == p for y, p in held) / len(held) > 0.95
 
 
+def test_label_model_recovers_rates_and_correlations_from_votes_alone():
+    r = np.random.default_rng(5)
+    n, share = 6000, 0.2
+    truth = r.random(n) < share
+    rates = np.array([[0.02, 0.03, 0.01, 0.05, 0.6, 0.7], [0.6, 0.5, 0.4, 0.5, 0.1, 0.2]])
+    votes = r.random((n, 6)) < np.where(truth[:, None], rates[1], rates[0])
+    votes = np.c_[votes, votes[:, 0]]  # a copy of the first voter
+    side = np.array([1, 1, 1, 1, 0, 0, 1])
+    post, found, correlation = toxicity.label_model(votes, side, share)
+    assert np.abs(found[:, :6] - rates).max() < 0.04
+    logit = np.log(share / (1 - share)) + np.where(votes[:, :6], np.log(rates[1] / rates[0]), np.log((1 - rates[1]) / (1 - rates[0]))).sum(axis=1)
+    assert np.abs(post - 1 / (1 + np.exp(-logit))).mean() < 0.02  # the posterior under the true rates, as if the copy were not there
+    assert correlation[0, 6] > 0.99 and np.abs(correlation[:6, :6] - np.eye(6)).max() == 0
+    assert ((post > 0.5) == truth).mean() > 0.95
+
+
+def test_patterns_fire_by_themselves():
+    v = toxicity.Voters(["zork"], ["calm"])
+    assert v.size == len(toxicity.INSULTS) + 2 + len(toxicity.PATTERNS) and v.side.tolist() == [1] * 13 + [0] + [1, 1, 1, 0]
+    on, hits = v.fires("YOU ARE SOOO!!!! WRONG you you")
+    assert on == [14, 15, 16] and hits == 0
+    assert v.fires("calmly zorkish, idiot zork") == ([toxicity.INSULTS.index("idiot"), 12, 13, 17], 3) and v.fires(None) == ([17], 0)
+
+
+def test_toxicity_of_the_held_out_fold(spark):
+    sf = "/root/testdata/sf0.1"
+    rows = toxicity.op1_toxicity(spark, sf).where("held_out").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("toxic is not null").collect()
+    hit = sum(r["predicted"] and r["toxic"] for r in rows)
+    assert 2 * hit / (sum(r["predicted"] for r in rows) + sum(r["toxic"] for r in rows)) > 0.88
+
+
 def test_toxicity_is_fitted_on_the_share_of_toxic_rows(spark, monkeypatch):
     docs = spark.range(9000).select(F.col("id").alias("doc_id"), F.lit("some text").alias("text"), (F.col("id") % 10 == 0).cast("int").alias("toxic"))
     monkeypatch.setattr(toxicity, "Model", lambda rows: [y for _, y in rows])

@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -72,6 +73,20 @@ def test_suffix_array_orders_suffixes():
         assert suffixes.suffix_array(s, 258).tolist() == sorted(range(len(s)), key=lambda i: s[i:])
 
 
+def test_permuted_common_prefixes():
+    r = random.Random(4)
+    for k in range(120):
+        s = [r.randint(1, r.choice((1, 2, 3, 90))) for _ in range(r.choice((0, 1, 30, 400)))] + [0]
+        if k % 3 == 0:
+            s = s[:-1] * 3 + [0]
+        sa = suffixes.suffix_array(s, 258)
+        want = [0] * len(s)
+        for a, b in zip(sa[1:].tolist(), sa[:-1].tolist(), strict=True):
+            while s[a + want[a]] == s[b + want[a]]:
+                want[a] += 1
+        assert suffixes.common_prefixes(np.array(s, np.int32), sa).tolist() == want
+
+
 def test_query(spark):
     out = suffixes.op8_suffix_dedup(spark, "/root/testdata/sf0.001")
     assert out.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
