@@ -178,7 +178,7 @@ def i17(spark, d):
     from pyspark.ml.feature import RFormula
     from pyspark.ml.regression import GeneralizedLinearRegression
 
-    e = transitions(spark, d).select(F.col("g").alias("label"), (F.col("sim") < 0.0).cast("double").alias("broken"), (F.col("kind") != F.col("kind2")).cast("double").alias("sw"), ((F.col("pos") - 0.5) / (F.col("n") - 1)).alias("rel")).na.drop()
+    e = transitions(spark, d).select((F.col("sim") < 0.0).cast("double").alias("broken"), (F.col("kind") != F.col("kind2")).cast("double").alias("sw"), ((F.col("pos") - 0.5) / (F.col("n") - 1)).alias("rel")).na.drop()
     x = RFormula(formula="broken ~ sw + rel + rel2").fit(e.withColumn("rel2", F.col("rel") ** 2)).transform(e.withColumn("rel2", F.col("rel") ** 2))
     m = GeneralizedLinearRegression(family="binomial", maxIter=25).fit(x)
     s = m.summary
