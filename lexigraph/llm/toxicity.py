@@ -28,11 +28,24 @@ from .common import fold_col, in_blocks, table
 #: Common insults in English.
 INSULTS = ["clown", "disgusting", "dumb", "idiot", "loser", "moron", "pathetic", "scum", "stupid", "trash", "ugly", "worthless"]
 WORD = re.compile(r"[^\W\d_]+")
-SHOUT = re.compile(r"!{2,}|\b[A-Z]{4,}\b")
-SECOND = re.compile(r"\b(?:you|your|du|dein|vous|votre|usted|tu)\b", re.I)
-STRETCHED = re.compile(r"([^\W\d_])\1{2,}", re.I)
-#: Patterns, each with the class that it votes for.
-PATTERNS = [(lambda x: SHOUT.search(x) is not None, 1), (lambda x: SECOND.search(x) is not None, 1), (lambda x: STRETCHED.search(x) is not None, 1), (lambda x: "!" not in x, 0)]
+CAPITALS = re.compile(r"\b[A-Z]{4,}\b")
+#: Words that address somebody.
+SECOND = frozenset("you your du dein vous votre usted tu".split())
+
+
+def stretched(text: str) -> bool:
+    """A letter of a-z three times in a row."""
+    b = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8) | 32
+    return bool(((b[2:] == b[1:-1]) & (b[1:-1] == b[:-2]) & (b[2:] >= 97) & (b[2:] <= 122)).any())
+
+
+#: Patterns of a text and its words, each with the class that it votes for.
+PATTERNS = [
+    (lambda text, words: "!!" in text or CAPITALS.search(text) is not None, 1),
+    (lambda text, words: not SECOND.isdisjoint(words), 1),
+    (lambda text, words: stretched(text), 1),
+    (lambda text, words: "!" not in text, 0),
+]
 LENGTHS = (3, 4, 5, 6, 7)
 THRESHOLD = 0.3
 
@@ -63,7 +76,8 @@ class Voters:
         """Voters that fire, and the number of words any toxic lexicon voter fires on."""
         text = text or ""
         on, hits = set(), 0
-        for w, n in Counter(WORD.findall(text.lower())).items():
+        words = Counter(WORD.findall(text.lower()))
+        for w, n in words.items():
             here = [self.words[w]] if w in self.words else []
             if (k := self.learned.get(w + "$")) is not None:
                 here.append(k)
@@ -73,7 +87,7 @@ class Voters:
             if here:
                 on.update(here)
                 hits += n * (min(here) < self.n_toxic)
-        on.update(self.size - len(PATTERNS) + k for k, (f, _) in enumerate(PATTERNS) if f(text))
+        on.update(self.size - len(PATTERNS) + k for k, (f, _) in enumerate(PATTERNS) if f(text, words))
         return sorted(on), hits
 
 
