@@ -251,21 +251,29 @@ def similar(pairs: DataFrame, docs: DataFrame, width: int, least: float) -> Data
     return both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
 
 
-def frequent(rows: DataFrame, width: int, about: int = 4000, most: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted hashes, counts) of the shingles that stand in three or more of a sample of about so many rows(doc_id, text). It only sets the order of shingles, which any
-    choice leaves exact; a shingle it misses makes a larger group."""
+def frequent(rows: DataFrame, width: int, part: float = 0.1, about: int = 4000, most: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted hashes, counts) of the shingles that stand in three or more of a sample of rows(doc_id, text): a part of them, `about` at least, so that a shingle frequent enough to be
+    found is as frequent whatever the table's size. It only sets the order of shingles, which any choice leaves exact; a shingle it misses makes a larger group. At most `most` are sent to
+    the driver and broadcast, those above the count that leaves so many."""
     def run(batches):
         for b in in_blocks(batches):
             made = [sketch(x, width)[2] for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(made).astype(np.uint64).view(np.int64))], ["shingle"])
 
     cells = 1 << 20
-    share = int(min(1.0, about / max(1, rows.count())) * cells)
+    share = int(min(1.0, max(part, about / max(1, rows.count()))) * cells)
     some = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(cells)) < share).mapInArrow(run, "shingle long")
-    found = some.groupBy("shingle").count().where("count >= 3").orderBy(F.desc("count"), "shingle").limit(most).collect()
-    keys = np.array([r["shingle"] for r in found], np.int64).view(np.uint64)
+    seen = cut(some.groupBy("shingle").count().where("count >= 3"), "frequent")
+    least, total = 3, 0
+    for r in sorted(seen.groupBy("count").agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: -r["count"]):  # one row a count
+        total += r["n"]
+        if total > most:
+            least = r["count"] + 1
+            break
+    found = seen.where(F.col("count") >= least).toPandas()
+    keys = found["shingle"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(keys)
-    return keys[order], np.array([r["count"] for r in found], np.int64)[order]
+    return keys[order], found["count"].to_numpy(np.int64)[order]
 
 
 def prefix(shingles: np.ndarray, least: float, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
