@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import zlib
 
@@ -39,6 +40,15 @@ def utf8(value: str | None) -> bytes:
     return b"" if value is None else value.encode("utf-8", "surrogatepass")
 
 
+def trim() -> None:
+    """Gives memory that a worker process no longer uses back to the system, as the process goes on to other tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not a GNU system
+        pass
+
+
 def in_blocks(batches, budget: int = 4 << 20, text: str = "text", most: int = 4096):
     """Arrow batches cut so that the text column of each holds about budget bytes; a longer text stands alone."""
     for batch in batches:
@@ -52,3 +62,4 @@ def in_blocks(batches, budget: int = 4 << 20, text: str = "text", most: int = 40
             total += n
         if at < len(sizes):
             yield batch.slice(at)
+    trim()

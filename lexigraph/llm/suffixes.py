@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, in_blocks, table, utf8
+from .common import cut, in_blocks, table, trim, utf8
 
 GRAM = 24
 U64 = np.uint64
@@ -193,14 +193,15 @@ def common_prefixes(raw: np.ndarray, sa: np.ndarray) -> np.ndarray:
     follows = np.r_[False, (before[1:] > 0) & (raw[:-1] == raw[before[1:] - 1])]
     at = np.flatnonzero(~follows & (before >= 0))
     size = np.zeros(n, np.int64)
-    live, width = at, 16
     padded = np.r_[raw, np.zeros(1 << 12, raw.dtype)]  # the last symbol stands nowhere else, so no comparison gets past it
-    while len(live):
-        same = padded[(live + size[live])[:, None] + np.arange(width)] == padded[(before[live] + size[live])[:, None] + np.arange(width)]
-        whole = same.all(axis=1)
-        size[live] += np.where(whole, width, same.argmin(axis=1))
-        live = live[whole]
-        width = min(1 << 12, max(16, (1 << 20) // max(1, len(live))))
+    for k in range(0, len(at), 1 << 15):  # so few at once that their comparisons stay small
+        live, width = at[k : k + (1 << 15)], 16
+        while len(live):
+            same = padded[(live + size[live])[:, None] + np.arange(width)] == padded[(before[live] + size[live])[:, None] + np.arange(width)]
+            whole = same.all(axis=1)
+            size[live] += np.where(whole, width, same.argmin(axis=1))
+            live = live[whole]
+            width = min(1 << 12, max(16, (1 << 19) // max(1, len(live))))
     start = np.maximum.accumulate(np.where(follows, 0, np.arange(n)))
     return size[start] - np.where(follows, np.arange(n) - start, 0)
 
@@ -370,7 +371,7 @@ def with_bytes(open_runs: DataFrame, rows: DataFrame, length: int) -> DataFrame:
     return rows.select("seq", "text").join(each, "seq").select("seq", "text", "runs").mapInArrow(run, KINDS + ", bytes binary")
 
 
-def sort_shards(runs: DataFrame, length: int, batch: int = 2 << 20) -> DataFrame:
+def sort_shards(runs: DataFrame, length: int, batch: int = 1 << 20) -> DataFrame:
     """(seq, start, windows) that suffix sorting finds gone; anchors stay whole and are sorted together in shards of about `batch` bytes."""
     def run(batches):
         held, total, anchor = [], 0, None
@@ -389,6 +390,7 @@ def sort_shards(runs: DataFrame, length: int, batch: int = 2 << 20) -> DataFrame
                 total, anchor = total + len(raw), a
         if held:
             yield flush()
+        trim()
 
     dealt = runs.repartition("anchor").sortWithinPartitions("anchor").select("seq", "start", "anchor", "bytes")
     return dealt.mapInArrow(run, "seq long, start long, windows int")
