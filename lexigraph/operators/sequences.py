@@ -53,8 +53,13 @@ def adjacent(e: DataFrame, extra: list[str] | None = None) -> DataFrame:
 
 
 def rolling_coherence(e: DataFrame, width: int = 5) -> DataFrame:
-    """(g, start, coherence): mean similarity of the pairs within each whole window of `width` rows."""
-    p = pairs(e, width - 1)
-    n = e.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
-    starts = F.explode(F.sequence(F.greatest(F.lit(1).cast("long"), F.col("q") - width + 1), F.col("p"))).alias("start")
-    return p.select("g", starts, "sim").join(n, "g").where(F.col("start") <= F.col("n") - width + 1).groupBy("g", "start").agg(F.avg("sim").alias("coherence"))
+    """(g, start, coherence): mean similarity of the pairs within each whole window of `width` rows. Linear: each row meets the width - 1 rows after it by `lead`, and a
+    window adds up the similarities k places apart of its first width - k rows, all on one sort by group and place."""
+    w = W.partitionBy("g").orderBy("pos")
+    ahead = range(1, width)
+    met = e.select("g", "pos", F.count(F.lit(1)).over(W.partitionBy("g")).alias("n"), "u", *(F.lead("u", k).over(w).alias(f"u{k}") for k in ahead))
+    sims = met.select("g", "pos", "n", *(V.dot(F.col("u"), F.col(f"u{k}")).alias(f"s{k}") for k in ahead))
+    frame = lambda k: w.rowsBetween(0, width - 1 - k)
+    parts = sims.select("g", F.col("pos").alias("start"), "n", *(F.sum(f"s{k}").over(frame(k)).alias(f"t{k}") for k in ahead), *(F.count(f"s{k}").over(frame(k)).alias(f"c{k}") for k in ahead))
+    total, count = (sum((F.coalesce(F.col(f"{c}{k}"), F.lit(0)) for k in ahead), F.lit(0)) for c in "tc")
+    return parts.where(F.col("start") <= F.col("n") - width + 1).select("g", "start", F.try_divide(total.cast("double"), count.cast("double")).alias("coherence"))

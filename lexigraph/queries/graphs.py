@@ -33,7 +33,7 @@ def g01m(spark, d):
 
 @query("g02_threshold_graph", f"with {KNN} select i as src, j as dst, round(sim, 6) weight from knn where i < j and sim > 0.35")
 def g02(spark, d):
-    return geo.all_pairs(units(spark, d)).where("sim > 0.35").select(F.col("i").alias("src"), F.col("j").alias("dst"), F.round("sim", 6).alias("weight"))
+    return geo.all_pairs(units(spark, d), least=0.35).select(F.col("i").alias("src"), F.col("j").alias("dst"), F.round("sim", 6).alias("weight"))
 
 
 @query("g03_density", f"{EDGES} select n n_nodes, m n_edges, round(2.0 * m / (n * (n - 1)), 6) density from (select count(*) n from embeddings), (select count(*) m from g)")
@@ -44,7 +44,7 @@ def g03(spark, d):
 @query("g04_components", f"with recursive {KNN}, g as materialized (select i, j from knn where i < j and sim > 0.35 union select j, i from knn where i < j and sim > 0.35), r as (select vec_id as id, vec_id as c from embeddings union select g.j, r.c from r join g on r.id = g.i) select id, min(c) component from r group by 1")
 def g04(spark, d):
     e = units(spark, d)
-    edges = geo.all_pairs(e).where("sim > 0.35")
+    edges = geo.all_pairs(e, least=0.35)
     return e.select("id").join(connected_components(edges, "i", "j").withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 

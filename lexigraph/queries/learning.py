@@ -74,7 +74,10 @@ def m09(spark, d):
     return L.impute_contest(x, "target", ["c_acctbal", "nation"], "c_custkey").select("method", F.round("rmse", 6).alias("rmse"))
 
 
-@query("j18_knn_imputer")
+@query("j18_knn_imputer", """with x as (select c_custkey, c_acctbal a, c_nationkey::double b, case when c_custkey % 5 <> 0 then c_acctbal / 2 end target from customer),
+    s as (select avg(a) ma, stddev_pop(a) sa, avg(b) mb, stddev_pop(b) sb from x where target is not null), z as (select c_custkey, target, (a - ma) / sa a, (b - mb) / sb b from x, s),
+    p as (select t.c_custkey, d.target, row_number() over (partition by t.c_custkey order by round((t.a - d.a) * (t.a - d.a) + (t.b - d.b) * (t.b - d.b), 9), d.c_custkey) rn from z t, z d where t.target is null and d.target is not null)
+    select c_custkey, round(avg(target), 6) imputed from p where rn <= 5 group by 1""")
 def j18(spark, d):
     x = t(spark, d, "customer").select("c_custkey", "c_acctbal", F.col("c_nationkey").cast("double").alias("nation"), F.when(F.col("c_custkey") % 5 != 0, F.col("c_acctbal") / 2).alias("target"))
     return L.knn_impute(x.where("target is not null"), x.where("target is null"), "target", ["c_acctbal", "nation"], "c_custkey").select("c_custkey", F.round("imputed", 6).alias("imputed"))

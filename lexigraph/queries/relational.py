@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexigraph.functions import text as T
+from lexigraph.operators.order import places, running
 
 from .base import query, t
 
@@ -123,7 +124,7 @@ def p18(spark, d):
 
 @query("p19_row_id", "select s_suppkey, row_number() over (order by s_acctbal, s_suppkey) - 1 row_id from supplier")
 def p19(spark, d):
-    return t(spark, d, "supplier").select("s_suppkey", (F.row_number().over(W.orderBy("s_acctbal", "s_suppkey")) - 1).cast("long").alias("row_id"))
+    return places(t(spark, d, "supplier").select("s_suppkey", "s_acctbal"), "s_acctbal", "s_suppkey").select("s_suppkey", (F.col("place") - 1).alias("row_id"))
 
 
 @query("p20_numeric_columns", "select p_partkey, p_size, p_retailprice from part")
@@ -201,9 +202,12 @@ def j07(spark, d):
 def j17(spark, d):
     """Ordered pairs by label, from counts: a pair's order is that of the ids, so each row counts the smaller ids of every other label."""
     e = t(spark, d, "embeddings").select("vec_id", "label")
-    labels = [r[0] for r in e.select("label").distinct().orderBy("label").limit(1000).collect()]  # a small domain of classes
-    before = W.orderBy("vec_id").rowsBetween(W.unboundedPreceding, -1)
-    seen = e.select("label", *(F.coalesce(F.sum((F.col("label") == k).cast("long")).over(before), F.lit(0)).alias(f"n{k}") for k in labels))
+    labels = [r[0] for r in e.select("label").where("label is not null").distinct().orderBy("label").limit(1001).collect()]
+    if len(labels) > 1000:
+        raise ValueError("over 1000 classes: one running count a class is too wide")
+    if not labels:
+        return e.select(F.col("label").alias("la"), F.col("label").alias("lb"), F.lit(0).cast("long").alias("n")).where("false")
+    seen = running(e, ["vec_id"], **{f"n{k}": (F.col("label") == k).cast("long") for k in labels})
     long = seen.select(F.col("label").alias("lb"), F.explode(F.array(*(F.struct(F.lit(k).alias("la"), F.col(f"n{k}").alias("n")) for k in labels))).alias("s"))
     return long.where("s.la <> lb").groupBy(F.col("s.la").alias("la"), "lb").agg(F.sum("s.n").alias("n")).where("n > 0")
 
@@ -383,7 +387,7 @@ def t06(spark, d):
 
 @query("t09_pagination", "select page_id, cast(floor((rn - 1) / 5) + 1 as bigint) page_no from (select page_id, row_number() over (order by url, page_id) rn from pages)")
 def t09(spark, d):
-    return t(spark, d, "pages").select("page_id", (F.floor((F.row_number().over(W.orderBy("url", "page_id")) - 1) / 5) + 1).alias("page_no"))
+    return places(t(spark, d, "pages").select("page_id", "url"), "url", "page_id").select("page_id", (F.floor((F.col("place") - 1) / 5) + 1).alias("page_no"))
 
 
 @query("t10_seeded_sample")
@@ -395,7 +399,7 @@ def t10(spark, d):
 
 @query("t11_every_nth", "select vec_id from (select vec_id, row_number() over (order by vec_id) rn from embeddings) where (rn - 1) % 100 = 0")
 def t11(spark, d):
-    return t(spark, d, "embeddings").select("vec_id", F.row_number().over(W.orderBy("vec_id")).alias("rn")).where("(rn - 1) % 100 = 0").select("vec_id")
+    return places(t(spark, d, "embeddings").select("vec_id"), "vec_id").where("(place - 1) % 100 = 0").select("vec_id")
 
 
 @query("t14_hash_split")

@@ -9,6 +9,7 @@ from lexigraph.functions import stats as S
 from lexigraph.functions import vec as V
 from lexigraph.operators import geometry as geo
 from lexigraph.operators import sequences as seqs
+from lexigraph.operators.order import places, running
 
 from .base import query, t
 from .vectors import U, seq, transitions, units
@@ -97,7 +98,7 @@ def i05(spark, d):
 @query("t12_bootstrap_sample")
 def t12(spark, d):
     """One resample with replacement of the suppliers: draws by hash of their number, joined on the row number."""
-    s = t(spark, d, "supplier").select("s_suppkey", F.row_number().over(W.orderBy("s_suppkey")).alias("k"))
+    s = places(t(spark, d, "supplier").select("s_suppkey"), "s_suppkey", out="k")
     n = s.count()
     draws = spark.range(n).select(F.col("id").alias("draw"), (F.pmod(F.xxhash64("id", F.lit(42)), F.lit(max(1, n))) + 1).alias("k"))
     return draws.join(s, "k").select("draw", "s_suppkey")
@@ -201,8 +202,7 @@ def i11(spark, d):
     a = F.col("event_type") == "click"
     v = t(spark, d, "events").where(F.col("event_type").isin("click", "view")).groupBy("value").agg(F.count(F.when(a, 1)).alias("a"), F.count(F.when(~a, 1)).alias("b"))
     total = v.agg(F.sum("a").alias("na"), F.sum("b").alias("nb"))
-    w = W.orderBy("value").rowsBetween(W.unboundedPreceding, W.currentRow)
-    c = v.select(F.sum("a").over(w).alias("ca"), F.sum("b").over(w).alias("cb")).crossJoin(F.broadcast(total))
+    c = running(v, ["value"], ca=F.col("a"), cb=F.col("b")).select("ca", "cb").crossJoin(F.broadcast(total))
     return c.agg(F.round(F.max(F.abs(F.col("ca") / F.col("na") - F.col("cb") / F.col("nb"))), 6).alias("ks"))
 
 

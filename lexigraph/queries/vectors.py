@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lexigraph.functions import vec as V
 from lexigraph.operators import geometry as G
 from lexigraph.operators import sequences as S
+from lexigraph.operators.order import places
 
 from .base import query, t
 
@@ -283,7 +284,7 @@ def f34(spark, d):
 @query("f34_theta_sampled")
 def f34b(spark, d):
     """5000 pairs by hash of their number; the same on every run."""
-    e = units(spark, d).select(F.row_number().over(W.orderBy("id")).alias("k"), "u")
+    e = places(units(spark, d).select("id", "u"), "id", out="k")
     n = e.count()
     pick = lambda seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(max(1, n))) + 1
     k = spark.range(5000).select(pick(1).alias("i"), pick(2).alias("j")).where("i <> j")
@@ -303,7 +304,7 @@ def j08(spark, d):
 
 @query("j09_threshold_join", f"with {ALL} select i, j, round(sim, 6) sim from ap where i < j and li <> lj and sim > 0.4")
 def j09(spark, d):
-    return G.all_pairs(units(spark, d), F.col("label_i") != F.col("label_j")).where("sim > 0.4").select("i", "j", F.round("sim", 6).alias("sim"))
+    return G.all_pairs(units(spark, d), F.col("label_i") != F.col("label_j"), least=0.4).select("i", "j", F.round("sim", 6).alias("sim"))
 
 
 @query("j10_masked_top_pairs", f"with {ALL} select i, j, round(sim, 6) sim from ap where i < j and li <> lj order by round(sim, 9) desc, i, j limit 20")

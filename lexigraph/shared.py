@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; one is set only where none is (tests)."""
+    """The folder named by spark.checkpoint.dir; one is set only where none is and driver and executors are one process (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         at = spark.sparkContext._jsc.sc().getCheckpointDir()
         if at.isDefined():
             base = at.get()
+        elif not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         else:
             base = "file://" + tempfile.mkdtemp(prefix="lexigraph-")
             spark.sparkContext.setCheckpointDir(base)

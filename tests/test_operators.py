@@ -134,3 +134,57 @@ def test_pca_is_centred_and_ordered(spark):
     want = np.linalg.svd(x - x.mean(0), full_matrices=False)
     assert np.allclose(np.abs(pc), np.abs((want[0] * want[1])[:, :2]), atol=1e-8)
     assert math.isclose(pc.mean(), 0, abs_tol=1e-9)
+
+
+def test_nearest_searches_every_block(spark):
+    """Several blocks, ties, repeated ids, missing ids, coordinates and vectors of another length, against all pairs."""
+    import numpy as np
+
+    from lexigraph.operators import geometry as geo
+
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(v) for v in rng.integers(0, 3, 2)]) for i in range(120)] + [(5, [1.0, None]), (None, [0.0, 0.0]), (700, [2.0])]
+    a = spark.createDataFrame(rows[:30] + rows[-3:], "id long, u array<double>")
+    b = spark.createDataFrame(rows, "id long, u array<double>")
+    got = sorted((r["i"], r["rank"], r["j"]) for r in geo.nearest(a.where("id <> 700 and id <> 5"), b.where("id <> 700"), 4, geo.nearness).collect())
+    want = []
+    for i, u in rows[:30]:
+        if i == 5:
+            continue
+        far = lambda v: sum((x - y) ** 2 for x, y in zip(u, v) if y is not None) * 2 / sum(y is not None for y in v)  # noqa: B023, E731
+        best = sorted((round(far(v), 9), j) for j, v in rows if j not in (None, i, 700))[:4]
+        want += [(i, k + 1, j) for k, (_, j) in enumerate(best)]
+    assert got == sorted(want)
+    sims = {r["j"]: r["sim"] for r in geo.all_pairs(b.where("id in (0, 1, 700)")).collect()}
+    assert sims[700] is None and sims[1] is not None
+    assert geo.nearest(a.where("false"), b, 4).count() == 0 and geo.nearest(a, b.where("false"), 4).count() == 0
+
+
+def test_running_sums_over_ranges(spark):
+    from pyspark.sql import functions as F
+
+    from lexigraph.operators.order import places, running
+
+    df = spark.range(1000).select(((F.col("id") * 7919) % 1000).alias("k"), F.lit("x").alias("more"))
+    assert sorted((r["k"], r["place"]) for r in places(df, "k").collect()) == [(k, k + 1) for k in range(1000)]
+    assert sorted((r["k"], r["s"]) for r in running(df, ["k"], s=F.col("k") * 2).collect()) == [(k, k * (k + 1)) for k in range(1000)]
+    assert places(df.where("false"), "k").count() == 0
+    assert sorted(r["place"] for r in places(spark.createDataFrame([(None,), (None,), (1,)], "k int"), "k").collect()) == [1, 2, 3]
+
+
+def test_rolling_coherence_by_definition(spark):
+    import numpy as np
+
+    from lexigraph.operators import sequences as S
+
+    rng = np.random.default_rng(4)
+    rows = [(g, p, [float(v) for v in rng.normal(size=3)]) for g, n in (("a", 9), ("b", 5), ("c", 4), ("d", 1)) for p in range(n)]
+    got = {(r["g"], r["start"]): r["coherence"] for r in S.rolling_coherence(S.numbered(spark.createDataFrame(rows, "g string, p long, v array<double>"), "g", "p", "v")).collect()}
+    want = {}
+    for g in "abcd":
+        v = np.array([x[2] for x in rows if x[0] == g])
+        v /= np.linalg.norm(v, axis=1, keepdims=True)
+        for s in range(len(v) - 4):
+            m = v[s : s + 5] @ v[s : s + 5].T
+            want[g, s + 1] = m[np.triu_indices(5, 1)].mean()
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
