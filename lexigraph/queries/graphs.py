@@ -9,7 +9,7 @@ from lexigraph.operators import graph as G
 from lexigraph.operators.components import connected_components
 
 from .base import query, t
-from .vectors import KNN, units
+from .vectors import EDGES, KNN, units
 
 
 def graph(spark, d):
@@ -17,7 +17,6 @@ def graph(spark, d):
     return e.select("id"), geo.knn_graph(e, 5)
 
 
-EDGES = f"with {KNN}, g as (select least(i, j) src, greatest(i, j) dst, max(sim) weight from knn where rnk <= 5 group by 1, 2)"
 BOTH = "b as (select src, dst, weight from g union all select dst, src, weight from g)"
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lexigraph.functions import text as T
 from lexigraph.operators.order import places, running
 
-from .base import query, t
+from .base import draw, draw_sql, query, t
 
 # ---- projections, filters, predicates
 
@@ -390,10 +390,10 @@ def t09(spark, d):
     return places(t(spark, d, "pages").select("page_id", "url"), "url", "page_id").select("page_id", (F.floor((F.col("place") - 1) / 5) + 1).alias("page_no"))
 
 
-@query("t10_seeded_sample")
+@query("t10_seeded_sample", f"select lang, doc_id from (select lang, doc_id, row_number() over (partition by lang order by {draw_sql('doc_id', '42')}, doc_id) rn from documents) where rn <= 20")
 def t10(spark, d):
     """Twenty rows a language, by a hash of id and seed: the same on every run and cluster."""
-    h = F.xxhash64("doc_id", F.lit(42))
+    h = draw(F.col("doc_id"), F.lit(42))
     return t(spark, d, "documents").select("lang", "doc_id", F.row_number().over(W.partitionBy("lang").orderBy(h, "doc_id")).alias("rn")).where("rn <= 20").select("lang", "doc_id")
 
 
@@ -402,9 +402,9 @@ def t11(spark, d):
     return places(t(spark, d, "embeddings").select("vec_id"), "vec_id").where("(place - 1) % 100 = 0").select("vec_id")
 
 
-@query("t14_hash_split")
+@query("t14_hash_split", f"select doc_id, case when {draw_sql('doc_id', '7')} % 10 < 2 then 'test' else 'train' end part from documents")
 def t14(spark, d):
-    part = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(10))
+    part = draw(F.col("doc_id"), F.lit(7)) % 10
     return t(spark, d, "documents").select("doc_id", F.when(part < 2, "test").otherwise("train").alias("part"))
 
 

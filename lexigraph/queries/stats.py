@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -11,8 +13,20 @@ from lexigraph.operators import geometry as geo
 from lexigraph.operators import sequences as seqs
 from lexigraph.operators.order import places, running
 
-from .base import query, t
-from .vectors import U, seq, transitions, units
+from .base import draw, draw_sql, query, t
+from .vectors import EDGES, KIND, U, E, P, seq, transitions, units
+
+#: z and p of obs(o) against nul(m), as `verdict`.
+VERDICT = "select round(max(o), 6) observed, round(avg(m), 6) mu, round((max(o) - avg(m)) / nullif(stddev_pop(m), 0), 6) z, round(avg((m >= o)::int), 6) p_one, round((count(*) filter (m >= o) + 1) / (count(*) + 1), 6) p_plus from nul, obs"
+GAP = "avg((sim < 0.05)::int) filter (kind <> kind2) - avg((sim < 0.05)::int) filter (kind = kind2)"
+
+
+def permuted_sql(rows: str, group: str, order: str, label: str, n: int) -> str:
+    """perm(perm, group, order, label), as `permuted`."""
+    here = f"select perm, {group}, {order}, row_number() over (partition by perm, {group} order by {order}) k from {rows}, range(1, {n + 1}) x(perm)"
+    there = f"select perm, {group}, {label} moved, row_number() over (partition by perm, {group} order by {draw_sql(order, 'perm')}, {order}) k from {rows}, range(1, {n + 1}) x(perm)"
+    return f"perm as (select h.perm, h.{group}, h.{order}, moved from ({here}) h join ({there}) w using (perm, {group}, k))"
+
 
 
 def crosstab(spark, d):
@@ -76,40 +90,42 @@ def i04(spark, d):
     return two_samples(spark, d).select(F.round((F.col("ma") - F.col("mb")) / F.col("sp"), 6).alias("d"))
 
 
-@query("i05_bootstrap_means")
+#: Shares of Poisson(1) up to 0, 1, ... 6; a weight is the first whose share the draw is below, or 7.
+POISSON = [sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(7)]
+
+
+@query("i05_bootstrap_means", f"""with e as (select event_type, b, value, ({draw_sql('event_id', 'b')} % {1 << 30} + 0.5::double) / {1 << 30} u from events, range(1, 201) x(b)),
+    w as (select event_type, b, value, case {' '.join(f'when u < {c!r}::double then {k}' for k, c in enumerate(POISSON))} else 7 end w from e),
+    m as (select event_type, sum(w * value) / nullif(sum(w), 0) m from w group by event_type, b)
+    select event_type, round(avg(m), 6) mean, round(quantile_cont(m, 0.025), 6) lo, round(quantile_cont(m, 0.975), 6) hi from m group by 1""")
 def i05(spark, d):
     """Poisson bootstrap of the mean by event type: every row draws its weight for each replicate from a hash, so replicates are aggregates and no row is indexed."""
-    u = (F.pmod(F.xxhash64("event_id", "b"), F.lit(1 << 30)) + 0.5) / (1 << 30)
+    u = (draw(F.col("event_id"), F.col("b")) % (1 << 30) + 0.5) / (1 << 30)
     e = t(spark, d, "events").select("event_type", "event_id", "value", F.explode(F.sequence(F.lit(1), F.lit(200))).alias("b")).withColumn("u", u)
-    cum, weight = 0.0, F.lit(7)
-    steps = []
-    import math
-
-    for k in range(7):
-        cum += math.exp(-1) / math.factorial(k)
-        steps.append((k, cum))
-    for k, c in reversed(steps):
+    weight = F.lit(7)
+    for k, c in reversed(list(enumerate(POISSON))):
         weight = F.when(F.col("u") < c, k).otherwise(weight)
     means = e.withColumn("w", weight).groupBy("event_type", "b").agg(F.try_divide(F.sum(F.col("w") * F.col("value")), F.sum("w")).alias("m"))
     q = F.percentile("m", F.array(F.lit(0.025), F.lit(0.975)))
     return means.groupBy("event_type").agg(F.round(F.avg("m"), 6).alias("mean"), F.round(q[0], 6).alias("lo"), F.round(q[1], 6).alias("hi"))
 
 
-@query("t12_bootstrap_sample")
+@query("t12_bootstrap_sample", f"with s as (select s_suppkey, row_number() over (order by s_suppkey) k from supplier), n as (select count(*) n from s) select draw, s_suppkey from (select d.i as draw, {draw_sql('d.i', '42')} % n + 1 k from n, range((select n from n)) d(i)) join s using (k)")
 def t12(spark, d):
     """One resample with replacement of the suppliers: draws by hash of their number, joined on the row number."""
     s = places(t(spark, d, "supplier").select("s_suppkey"), "s_suppkey", out="k")
     n = s.count()
-    draws = spark.range(n).select(F.col("id").alias("draw"), (F.pmod(F.xxhash64("id", F.lit(42)), F.lit(max(1, n))) + 1).alias("k"))
+    draws = spark.range(n).select(F.col("id").alias("draw"), (draw(F.col("id"), F.lit(42)) % max(1, n) + 1).alias("k"))
     return draws.join(s, "k").select("draw", "s_suppkey")
 
 
-@query("t13_permutation_within_group")
+@query("t13_permutation_within_group", f"""select conv_id, turn, role, permuted from (select conv_id, turn, role, row_number() over (partition by conv_id order by turn) k from conversations)
+    join (select conv_id, role as permuted, row_number() over (partition by conv_id order by {draw_sql('turn', '1')}, turn) k from conversations) using (conv_id, k)""")
 def t13(spark, d):
     """Labels permuted within each conversation by rank of a hash."""
     c = t(spark, d, "conversations").select("conv_id", "turn", "role")
     here = c.withColumn("k", F.row_number().over(W.partitionBy("conv_id").orderBy("turn")))
-    there = c.select("conv_id", F.col("role").alias("permuted"), F.row_number().over(W.partitionBy("conv_id").orderBy(F.xxhash64("turn", F.lit(1)), "turn")).alias("k"))
+    there = c.select("conv_id", F.col("role").alias("permuted"), F.row_number().over(W.partitionBy("conv_id").orderBy(draw(F.col("turn"), F.lit(1)), "turn")).alias("k"))
     return here.join(there, ["conv_id", "k"]).select("conv_id", "turn", "role", "permuted")
 
 
@@ -117,7 +133,7 @@ def permuted(df, group, order, label, n):
     """(perm, group, order, label): label permuted within groups, for permutations 1 to n."""
     p = df.select(group, order, label).crossJoin(F.broadcast(df.sparkSession.range(1, n + 1).select(F.col("id").cast("int").alias("perm"))))
     here = p.select("perm", group, order, F.row_number().over(W.partitionBy("perm", group).orderBy(order)).alias("k"))
-    there = p.select("perm", group, label, F.row_number().over(W.partitionBy("perm", group).orderBy(F.xxhash64(order, "perm"), order)).alias("k"))
+    there = p.select("perm", group, label, F.row_number().over(W.partitionBy("perm", group).orderBy(draw(F.col(order), F.col("perm")), order)).alias("k"))
     return here.join(there, ["perm", group, "k"]).drop("k")
 
 
@@ -134,10 +150,13 @@ def gap(rows, keys):
     return rows.groupBy(*keys).agg((F.avg(F.when(~same, x)) - F.avg(F.when(same, x))).alias("gap"))
 
 
-@query("i06_order_null_model")
+@query("i06_order_null_model", f"""with {E}, {P}, f as (select label, vec_id, min(q) fb from p where sim < 0 group by all), obs as (select avg(coalesce(fb, n + 1) - pos - 1) o from e left join f using (label, vec_id)),
+    {permuted_sql('e', 'label', 'pos', 'vec_id', 20)}, b as (select label, vec_id a, vec2 b from p where sim < 0 union all select label, vec2, vec_id from p where sim < 0),
+    fb as (select x.perm, x.label, x.pos, min(y.pos) fb from perm x join b on b.label = x.label and b.a = x.moved join perm y on y.perm = x.perm and y.label = x.label and y.moved = b.b and y.pos > x.pos group by all),
+    sizes as (select label, count(*) n from e group by 1), nul as (select perm, avg(coalesce(fb, n + 1) - pos - 1) m from perm join sizes using (label) left join fb using (perm, label, pos) group by 1) {VERDICT}""")
 def i06(spark, d):
     """Mean attention window against that of shuffled orders of each group."""
-    e = seq(spark, d).where("g < 2")
+    e = seq(spark, d)
     pairs = seqs.pairs(e)
     sims = pairs.select("g", F.col("id").alias("a"), F.col("id2").alias("b"), "sim")
     sims = sims.union(sims.select("g", "b", "a", "sim"))
@@ -150,7 +169,9 @@ def i06(spark, d):
     return verdict(w.groupBy("perm").agg(F.avg("w").alias("m")), observed, "m")
 
 
-@query("i07_permute_labels")
+@query("i07_permute_labels", f"""with {KIND}, obs as (select {GAP} o from a where sim is not null), {permuted_sql('e', 'label', 'pos', 'kind', 200)},
+    s as (select x.perm, x.moved kind, y.moved kind2, sim from perm x join perm y on x.perm = y.perm and x.label = y.label and y.pos = x.pos + 1 join a on a.label = x.label and a.pos = x.pos where sim is not null),
+    nul as (select perm, {GAP} m from s group by 1) {VERDICT}""")
 def i07(spark, d):
     """Null of the split-rate gap: labels shuffled within groups."""
     base = transitions(spark, d)
@@ -161,7 +182,9 @@ def i07(spark, d):
     return verdict(gap(p.join(nxt, ["perm", "g", "pos"]).join(sims, ["g", "pos"]), ["perm"]), gap(base, []), "gap")
 
 
-@query("i08_permute_order")
+@query("i08_permute_order", f"""with {KIND}, obs as (select {GAP} o from a where sim is not null), spots as (select *, pos as place from e), {permuted_sql('spots', 'label', 'pos', 'place', 50)},
+    s as (select x.perm, f.kind, g.kind kind2, list_cosine_similarity(f.v, g.v) sim from perm x join perm y on x.perm = y.perm and x.label = y.label and y.pos = x.pos + 1
+    join e f on f.label = x.label and f.pos = x.moved join e g on g.label = x.label and g.pos = y.moved), nul as (select perm, {GAP} m from s group by 1) {VERDICT}""")
 def i08(spark, d):
     """Null of the split-rate gap: rows shuffled within groups; the similarities of all pairs are computed once."""
     e = seq(spark, d)
@@ -174,7 +197,9 @@ def i08(spark, d):
     return verdict(gap(rows, ["perm"]), gap(transitions(spark, d), []), "gap")
 
 
-@query("i09_permute_graph_labels")
+@query("i09_permute_graph_labels", f"""{EDGES}, l as (select 0 one, vec_id, label from u), {permuted_sql('l', 'one', 'vec_id', 'label', 50)},
+    obs as (select avg((a.label <> b.label)::int) o from g join l a on a.vec_id = src join l b on b.vec_id = dst),
+    nul as (select a.perm, avg((a.moved <> b.moved)::int) m from g join perm a on a.vec_id = src join perm b on b.vec_id = dst and a.perm = b.perm group by 1) {VERDICT}""")
 def i09(spark, d):
     """Null of the cross-label share of the neighbour graph's edges."""
     e = units(spark, d)
@@ -230,9 +255,9 @@ def a34(spark, d):
     return e.groupBy("event_type").agg(F.round(S.safe_corr("value", "k"), 6).alias("r_constant"), F.round(S.safe_corr("value", "u"), 6).alias("r"))
 
 
-@query("i14_geometry_agreement", f"with {U}, h as (select vec_id, u[1:32] a, u[33:64] b from u where label < 4), p as (select list_cosine_similarity(x.a, y.a) s, list_cosine_similarity(x.b, y.b) z from h x join h y on x.vec_id < y.vec_id) select round(corr(s, z), 6) r, count(*) n from p")
+@query("i14_geometry_agreement", f"with {U}, h as (select vec_id, u[1:32] a, u[33:64] b from u), p as (select list_cosine_similarity(x.a, y.a) s, list_cosine_similarity(x.b, y.b) z from h x join h y on x.vec_id < y.vec_id) select round(corr(s, z), 6) r, count(*) n from p")
 def i14(spark, d):
-    e = t(spark, d, "embeddings").where("label < 4")
+    e = t(spark, d, "embeddings")
     one = lambda at: geo.all_pairs(geo.units(e.withColumn("half", F.slice("embedding", at, 32)), "vec_id", "half"))
     p = one(1).select("i", "j", F.col("sim").alias("s")).join(one(33).select("i", "j", F.col("sim").alias("z")), ["i", "j"])
     return p.agg(F.round(F.corr("s", "z"), 6).alias("r"), F.count(F.lit(1)).alias("n"))

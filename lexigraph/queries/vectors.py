@@ -10,7 +10,7 @@ from lexigraph.operators import geometry as G
 from lexigraph.operators import sequences as S
 from lexigraph.operators.order import places
 
-from .base import query, t
+from .base import draw, draw_sql, query, t
 
 E = "e as (select label, vec_id, row_number() over (partition by label order by vec_id) pos, count(*) over (partition by label) n, embedding::DOUBLE[] v from embeddings)"
 P = "p as (select a.label, a.vec_id, b.vec_id vec2, a.pos p, b.pos q, list_cosine_similarity(a.v, b.v) sim from e a join e b on a.label = b.label and b.pos > a.pos)"
@@ -53,9 +53,9 @@ def w03(spark, d):
 DIMS = [8, 16, 32, 64]
 
 
-@query("w04_dimension_sweep", " union all ".join(f"select {k}::bigint dim, label, round(avg(win), 6) mean, round(stddev_samp(win), 6) std from (with e as (select label, vec_id, row_number() over (partition by label order by vec_id) pos, count(*) over (partition by label) n, (embedding::DOUBLE[])[1:{k}] v from embeddings where label < 3), {P}, b as (select label, vec_id, min(q) fb from p where sim < 0.05 group by all) select e.label, coalesce(fb, n + 1) - pos - 1 as win from e left join b using (label, vec_id)) group by label" for k in DIMS))
+@query("w04_dimension_sweep", " union all ".join(f"select {k}::bigint dim, label, round(avg(win), 6) mean, round(stddev_samp(win), 6) std from (with e as (select label, vec_id, row_number() over (partition by label order by vec_id) pos, count(*) over (partition by label) n, (embedding::DOUBLE[])[1:{k}] v from embeddings), {P}, b as (select label, vec_id, min(q) fb from p where sim < 0.05 group by all) select e.label, coalesce(fb, n + 1) - pos - 1 as win from e left join b using (label, vec_id)) group by label" for k in DIMS))
 def w04(spark, d):
-    e = t(spark, d, "embeddings").where("label < 3")
+    e = t(spark, d, "embeddings")
     out = None
     for k in DIMS:
         w = S.attention_windows(S.numbered(e.withColumn("head", F.slice("embedding", 1, k)), "label", "vec_id", "head"), [0.05])
@@ -212,6 +212,10 @@ ALL = f"{U}, ap as (select a.vec_id i, b.vec_id j, a.label li, b.label lj, list_
 KNN = f"{ALL}, knn as (select *, row_number() over (partition by i order by round(sim, 9) desc, j) rnk from ap)"
 
 
+#: The undirected graph of five neighbours, g(src, dst, weight).
+EDGES = f"with {KNN}, g as (select least(i, j) src, greatest(i, j) dst, max(sim) weight from knn where rnk <= 5 group by 1, 2)"
+
+
 @query("a26_knn_purity", f"with {KNN} select li as label, round(avg((li = lj)::int) filter (rnk = 1), 6) k1, round(avg((li = lj)::int) filter (rnk <= 3), 6) k3 from knn group by 1")
 def a26(spark, d):
     k = G.knn(units(spark, d), 3)
@@ -281,12 +285,14 @@ def f34(spark, d):
     return G.all_pairs(units(spark, d)).agg(F.round(F.median("sim"), 6).alias("med"), F.round(F.stddev_pop("sim"), 6).alias("std"))
 
 
-@query("f34_theta_sampled")
+@query("f34_theta_sampled", f"""with {U}, r as (select row_number() over (order by vec_id) k, u from u), n as (select count(*) n from r),
+    p as (select {draw_sql('d.i', '1')} % n + 1 a, {draw_sql('d.i', '2')} % n + 1 b from range(5000) d(i), n), s as (select list_dot_product(x.u, y.u) sim from p join r x on x.k = a join r y on y.k = b where a <> b)
+    select round(median(sim), 6) med, round(stddev_pop(sim), 6) std from s""")
 def f34b(spark, d):
     """5000 pairs by hash of their number; the same on every run."""
     e = places(units(spark, d).select("id", "u"), "id", out="k")
     n = e.count()
-    pick = lambda seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(max(1, n))) + 1
+    pick = lambda seed: draw(F.col("id"), F.lit(seed)) % max(1, n) + 1
     k = spark.range(5000).select(pick(1).alias("i"), pick(2).alias("j")).where("i <> j")
     p = k.join(e.select(F.col("k").alias("i"), F.col("u").alias("a")), "i").join(e.select(F.col("k").alias("j"), F.col("u").alias("b")), "j")
     return p.select(V.dot(F.col("a"), F.col("b")).alias("sim")).agg(F.round(F.median("sim"), 6).alias("med"), F.round(F.stddev_pop("sim"), 6).alias("std"))
