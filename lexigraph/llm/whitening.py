@@ -14,6 +14,8 @@ chosen, the same for all rows. Null and repeated ids and repeated rows are kept
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -47,18 +49,26 @@ def rows_of(column: pa.Array, d: int):
 
 
 def summed(fit: DataFrame, run, cells: int) -> np.ndarray:
-    """Sum over all tasks of what run(matrices of a task) gives: an array of a fixed number of cells. Tasks are summed by Spark; the driver gets one number a cell."""
+    """Sum over all tasks of what run(matrices of a task) gives: an array of a fixed number of cells. A task gives one row; rows are added up in two steps, so no task and not the driver holds more than a few arrays."""
 
     def part(batches):
         total = run(m for b in batches for m in b)
         trim()
-        if total is not None:
-            yield pa.RecordBatch.from_pydict({"i": pa.array(np.arange(len(total)), pa.int32()), "a": pa.array(total, pa.float64())})
-
-    got = fit.mapInArrow(part, "i int, a double").groupBy("i").agg(F.sum("a").alias("a")).toArrow()
-    out = np.zeros(cells)
-    out[got["i"].to_numpy()] = got["a"].to_numpy()
-    return out
+        yield pa.RecordBatch.from_pydict({"a": pa.array([np.zeros(cells) if total is None else total], pa.list_(pa.float64()))})
+
+    def add(batches):
+        total = np.zeros(cells)
+        for b in batches:
+            for row in b.column(0):
+                total += row.values.to_numpy()
+        yield pa.RecordBatch.from_pydict({"a": pa.array([total], pa.list_(pa.float64()))})
+
+    few = max(1, math.isqrt(int(fit.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    rows = fit.mapInArrow(part, "a array<double>")
+    for n in (few, 1):
+        rows = rows.repartition(n).mapInArrow(add, "a array<double>")
+    got = rows.toArrow()["a"]
+    return got[0].values.to_numpy().copy() if len(got) else np.zeros(cells)
 
 
 class Fit:
