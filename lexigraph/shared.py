@@ -27,11 +27,11 @@ def new_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, what: str, path: str | None = None) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it back."""
+def cut(df: DataFrame, what: str, path: str | None = None, codec: str = "zstd") -> DataFrame:
+    """Writes df as a table in the shared folder and reads it back. Digests and other random bytes are better left to a codec that needs little memory."""
     spark = df.sparkSession
     path = path or new_path(spark, what)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
