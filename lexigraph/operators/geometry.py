@@ -2,17 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexigraph.functions import vec as V
 
-#: Rows whose similarities to a block are held at a time.
-STEP = 256
+from . import metric
 
 
 def units(df: DataFrame, key: str, vector: str, *more: str) -> DataFrame:
@@ -38,126 +33,30 @@ def dispersion(e: DataFrame, group: str) -> DataFrame:
     return e.join(c, group).groupBy(group).agg((1 - F.avg(V.dot(F.col("u"), F.col("c")))).alias("dispersion"))
 
 
-def matrix(u: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """The lists of u as rows, filled with zeros where they are shorter, and their lengths."""
-    lists = u.combine_chunks()
-    n = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    flat = lists.flatten().to_numpy(zero_copy_only=False).astype(float)
-    out = np.zeros((len(n), int(n.max(initial=0))))
-    out[np.arange(out.shape[1]) < n[:, None]] = flat
-    return out, n
-
-
-def cosine(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """Dot products of unit vectors; NaN where lengths differ."""
-    (a, n), (b, m) = x, y
-    wide = max(a.shape[1], b.shape[1])
-    a, b = (np.pad(v, ((0, 0), (0, wide - v.shape[1]))) for v in (a, b))
-    return np.where(n[:, None] == m, a @ b.T, np.nan)
-
-
-def nearness(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """Less the squared distance over the coordinates that both have, scaled up to all; NaN where they share none."""
-    total, there = np.zeros((len(x[0]), len(y[0]))), np.zeros((len(x[0]), len(y[0])))
-    for f in range(x[0].shape[1]):
-        d = (x[0][:, f, None] - y[0][:, f]) ** 2
-        there += ~np.isnan(d)
-        total += np.nan_to_num(d)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        return np.where(there > 0, -total * x[0].shape[1] / there, np.nan)
-
-
-def cells(a: DataFrame, b: DataFrame, run, schema: str, rows: int = 1024) -> DataFrame:
-    """run(rows of a block of a, rows of a block of b), Arrow tables, for every pair of blocks. A block has about `rows` rows whatever the tables' sizes, so a task's
-    memory is bounded; what is shuffled is each row once a block of the other side."""
-    count = lambda e: max(4, -(-e.count() // rows))
-    na, nb = count(a), count(b)
-    deal = lambda e, key, mine, n, other, m: e.withColumn(mine, F.pmod(F.xxhash64(key), F.lit(n))).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
-    apart = b.withColumnsRenamed({c: f"right_{c}" for c in b.columns})  # a cogroup of a table with itself mixes up columns of one name
-    x, y = deal(a, "id", "_x", na, "_y", nb), deal(apart, "right_id", "_y", nb, "_x", na)
-
-    def named(left, right):
-        return run(left, right.rename_columns([c.removeprefix("right_") for c in right.column_names]))
-
-    return x.groupBy("_x", "_y").cogroup(y.groupBy("_x", "_y")).applyInArrow(named, schema)
-
-
-def pair_schema(a: DataFrame, b: DataFrame, more: str) -> str:
-    kind = lambda e, c: e.schema[c].dataType.simpleString()
-    extra = [f"`{c}_{side}` {kind(e, c)}" for side, e in (("i", a), ("j", b)) for c in e.columns if c not in ("id", "u")]
-    return ", ".join([f"i {kind(a, 'id')}, j {kind(b, 'id')}", *extra, more])
-
-
-def picked(left: pa.Table, right: pa.Table, at: np.ndarray, to: np.ndarray, **more) -> pa.Table:
-    extra = {f"{c}_{side}": t[c].take(k) for side, t, k in (("i", left, at), ("j", right, to)) for c in t.column_names if c not in ("id", "u", "_x", "_y")}
-    return pa.table({"i": left["id"].take(at), "j": right["id"].take(to), **extra, **more})
+def all_pairs(e: DataFrame, condition=None, least: float | None = None) -> DataFrame:
+    """(i, j, sim) for i < j, above `least` only if that is given; rows without an id have no pairs."""
+    p = metric.all_pairs(e, least)
+    return p if condition is None else p.where(condition)
 
 
-def all_pairs(e: DataFrame, condition=None, least: float | None = None) -> DataFrame:
-    """(i, j, sim) for i < j, above `least` only if that is given. Quadratic in time, as the definition is; rows without an id have no pairs. Similarities are matrix products of blocks."""
+def pair_sums(e: DataFrame) -> DataFrame:
+    """One row (n, total): the number of pairs i < j of different ids and the sum of their cosines, from sums over rows and over ids alone: all ordered pairs are the square of the sum vector, less those of one id."""
     e = e.where("id is not null")
-
-    def run(left, right):
-        (a, n), y = matrix(left["u"]), matrix(right["u"])
-        i, j = left["id"].to_numpy(), right["id"].to_numpy()
-        at, to, sims = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
-        for lo in range(0, len(i), STEP):
-            s = cosine((a[lo : lo + STEP], n[lo : lo + STEP]), y)
-            keep = i[lo : lo + STEP, None] < j
-            if least is not None:
-                keep &= s > least
-            r, c = np.nonzero(keep)
-            at.append(r + lo)
-            to.append(c)
-            sims.append(s[r, c])
-        s = np.concatenate(sims)
-        return picked(left, right, np.concatenate(at), np.concatenate(to), sim=pa.array(s, mask=np.isnan(s)))
-
-    p = cells(e, e, run, pair_schema(e, e, "sim double"))
-    return p if condition is None else p.where(condition)
+    square = lambda keys: (
+        e.select(*keys, F.posexplode("u").alias("p", "x")).groupBy(*keys, "p").agg(F.sum("x").alias("x")).agg(F.coalesce(F.sum(F.col("x") * F.col("x")), F.lit(0.0)).alias("q"))
+    )
+    count = e.groupBy("id").agg(F.count(F.lit(1)).alias("c")).agg(F.coalesce((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2, F.lit(0.0)).cast("long").alias("n"))
+    return count.crossJoin(square([])).crossJoin(square(["id"]).withColumnRenamed("q", "own")).select("n", ((F.col("q") - F.col("own")) / 2).alias("total"))
 
 
-def both_ways(p: DataFrame) -> DataFrame:
-    """Each pair in both directions, in one pass over the pairs."""
-    extra = [c[:-2] for c in p.columns if c.endswith("_i")]
-    names = ["i", "j", *(f"{c}_i" for c in extra), *(f"{c}_j" for c in extra), "sim"]
-    turned = ["j", "i", *(f"{c}_j" for c in extra), *(f"{c}_i" for c in extra), "sim"]
-    each = F.explode(F.array(*(F.struct(*(F.col(c).alias(to) for c, to in zip(cols, names, strict=True))) for cols in (names, turned))))
-    return p.select(each.alias("s")).select("s.*")
-
-
-def nearest(a: DataFrame, b: DataFrame, k: int, score=cosine, far: bool = False) -> DataFrame:
-    """(i, j, sim, rank): of each row of a the k rows of b, by another id, of greatest (or least) score; ties by id. Every row of b is searched: each pair of blocks keeps its
-    best k a row, so 4 or n / 1024 times k rows of a row meet in the last ranking. Unknown scores come last; rows without an id are left out."""
-    a, b = a.where("id is not null"), b.where("id is not null")
-
-    def run(left, right):
-        right = right.sort_by("id")
-        (x, n), y = matrix(left["u"]), matrix(right["u"])
-        i, j = left["id"].to_numpy(), right["id"].to_numpy()
-        at, to, sims, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros(0)]
-        for lo in range(0, len(i) if len(j) else 0, STEP):
-            s = score((x[lo : lo + STEP], n[lo : lo + STEP]), y)
-            key = np.where(np.isnan(s), np.inf, np.round(s if far else -s, 9))
-            key[i[lo : lo + STEP, None] == j] = np.nan  # sorts after all others
-            best = np.argsort(key, axis=1, kind="stable")[:, :k]
-            r, c = np.repeat(np.arange(len(best)), best.shape[1]), best.ravel()
-            keep = ~np.isnan(key[r, c])
-            r, c = r[keep], c[keep]
-            at.append(r + lo)
-            to.append(c)
-            sims.append(s[r, c])
-            keys.append(key[r, c])
-        s = np.concatenate(sims)
-        return picked(left, right, np.concatenate(at), np.concatenate(to), sim=pa.array(s, mask=np.isnan(s)), key=np.concatenate(keys))
-
-    p = cells(a, b, run, pair_schema(a, b, "sim double, key double"))
-    return p.withColumn("rank", F.row_number().over(W.partitionBy("i").orderBy("key", "j")).cast("long")).where(F.col("rank") <= k).drop("key")
+def nearest(a: DataFrame, b: DataFrame | None, k: int, by: metric.Metric = metric.ANGLE, far: bool = False) -> DataFrame:
+    """(i, j, sim, rank): of each row of a the k rows of b (a itself if None), by another id, of greatest (or least) score; ties by id."""
+    return metric.nearest(a, b, k, by, far)
 
 
 def knn(e: DataFrame, k: int, far: bool = False) -> DataFrame:
     """(i, j, sim, rank): the k nearest (or farthest) rows of each row; ties by id."""
-    return nearest(e, e, k, far=far)
+    return nearest(e, None, k, far=far)
 
 
 def knn_graph(e: DataFrame, k: int, mutual: bool = False) -> DataFrame:

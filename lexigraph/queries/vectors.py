@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexigraph.functions import vec as V
 from lexigraph.operators import geometry as G
+from lexigraph.operators import metric as M
 from lexigraph.operators import sequences as S
 from lexigraph.operators.order import places
 
@@ -305,25 +306,22 @@ def f36(spark, d):
 
 @query("j08_all_pairs", f"with {ALL} select count(*) n, round(avg(sim), 6) mean from ap where i < j")
 def j08(spark, d):
-    return G.all_pairs(units(spark, d)).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("sim"), 6).alias("mean"))
+    return G.pair_sums(units(spark, d)).select("n", F.round(F.try_divide("total", "n"), 6).alias("mean"))
 
 
 @query("j09_threshold_join", f"with {ALL} select i, j, round(sim, 6) sim from ap where i < j and li <> lj and sim > 0.4")
 def j09(spark, d):
-    return G.all_pairs(units(spark, d), F.col("label_i") != F.col("label_j"), least=0.4).select("i", "j", F.round("sim", 6).alias("sim"))
+    return M.all_pairs(units(spark, d), 0.4, apart="label").select("i", "j", F.round("sim", 6).alias("sim"))
 
 
 @query("j10_masked_top_pairs", f"with {ALL} select i, j, round(sim, 6) sim from ap where i < j and li <> lj order by round(sim, 9) desc, i, j limit 20")
 def j10(spark, d):
-    p = G.all_pairs(units(spark, d), F.col("label_i") != F.col("label_j"))
-    return p.orderBy(F.desc(F.round("sim", 9)), "i", "j").limit(20).select("i", "j", F.round("sim", 6).alias("sim"))
+    return M.top_pairs(units(spark, d), 20, apart="label").select("i", "j", F.round("sim", 6).alias("sim"))
 
 
 @query("j11_best_cross_pair", f"with {ALL}, b as (select li, lj, i, j, sim, row_number() over (partition by li, lj order by round(sim, 9) desc, i, j) rn from ap where li < lj) select li, lj, i, j, round(sim, 6) sim from b where rn = 1")
 def j11(spark, d):
-    p = G.both_ways(G.all_pairs(units(spark, d), F.col("label_i") != F.col("label_j"))).where("label_i < label_j")
-    best = p.groupBy(F.col("label_i").alias("li"), F.col("label_j").alias("lj")).agg(F.min(F.struct((-F.round("sim", 9)).alias("m"), "i", "j", "sim")).alias("b"))
-    return best.select("li", "lj", "b.i", "b.j", F.round("b.sim", 6).alias("sim"))
+    return M.best_between(units(spark, d), "label").select(F.col("g").alias("li"), F.col("h").alias("lj"), "i", "j", F.round("sim", 6).alias("sim"))
 
 
 @query("j12_knn", f"with {KNN} select i, j, rnk from knn where rnk <= 5")

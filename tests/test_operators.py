@@ -141,12 +141,13 @@ def test_nearest_searches_every_block(spark):
     import numpy as np
 
     from lexigraph.operators import geometry as geo
+    from lexigraph.operators import metric
 
     rng = np.random.default_rng(3)
     rows = [(i, [float(v) for v in rng.integers(0, 3, 2)]) for i in range(120)] + [(5, [1.0, None]), (None, [0.0, 0.0]), (700, [2.0])]
     a = spark.createDataFrame(rows[:30] + rows[-3:], "id long, u array<double>")
     b = spark.createDataFrame(rows, "id long, u array<double>")
-    got = sorted((r["i"], r["rank"], r["j"]) for r in geo.nearest(a.where("id <> 700 and id <> 5"), b.where("id <> 700"), 4, geo.nearness).collect())
+    got = sorted((r["i"], r["rank"], r["j"]) for r in geo.nearest(a.where("id <> 700 and id <> 5"), b.where("id <> 700"), 4, metric.EUCLID).collect())
     want = []
     for i, u in rows[:30]:
         if i == 5:
