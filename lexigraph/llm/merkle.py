@@ -37,7 +37,7 @@ def placed(nodes: DataFrame, *order: str) -> DataFrame:
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     apart = nodes.withColumn("_row", F.monotonically_increasing_id())
     dealt = apart.repartitionByRange(parts, "key", *order, "_row").sortWithinPartitions("key", *order, "_row").drop("_row")
-    dealt = cut(dealt.withColumn("_at", F.monotonically_increasing_id()).withColumn("_range", F.shiftright("_at", 33)), "merkle-ranges")
+    dealt = cut(dealt.withColumn("_at", F.monotonically_increasing_id()).withColumn("_range", F.shiftright("_at", 33)), "merkle-ranges", codec="snappy")
     counts = dealt.groupBy("key", "_range").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
     earlier = W.partitionBy("key").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
     counts = counts.select("key", "_range", (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift"), F.sum("_n").over(W.partitionBy("key")).alias("n"))
@@ -61,7 +61,7 @@ def grown(nodes: DataFrame) -> list[DataFrame]:
             g = g.withColumn(f"p{k}", F.when(F.col("n") > FAN ** (k - 1), in_threes(below)))
             g = g.withColumn(f"h{k}", F.when(F.col(f"p{k}").isNull(), below).otherwise(F.transform(f"p{k}", lambda p: F.sha2(p, 256))))
         made = g.select("key", "place", "n", F.array(*(f"p{k}" for k in range(1, DEEP + 1))).alias("preimages"), F.col(f"h{DEEP}")[0].alias("h"))
-        out.append(cut(made, "merkle-preimages"))
+        out.append(cut(made, "merkle-preimages", codec="snappy"))
         now = out[-1].select("key", F.col("place").alias("pos"), F.ceil(F.col("n") / SPAN).alias("n"), "h")
         most = -(-most // SPAN)
     return out
@@ -84,7 +84,8 @@ def climbed(nodes: DataFrame, stages: list[DataFrame], top: DataFrame, carried:
     """nodes with their path up to where top (key, path, carried) leaves off; groups get theirs from the last stage downwards."""
     above = stages[-1].join(top, "key")
     for stage in reversed(stages[:-1]):
-        above = joined(stage.withColumn("pos", F.col("place")), above, carried).drop("pos")
+        own = stage.select("key", "place", F.col("place").alias("pos"), F.col("preimages").alias("_own"))
+        above = joined(own, above, carried).withColumnRenamed("_own", "preimages").drop("pos")
     return joined(nodes, above, carried)
 
 
@@ -104,10 +105,10 @@ def manifest(leaves: DataFrame, key: str, id_col: str = "id") -> DataFrame:
     more = [c for c in leaves.columns if c != key]
     # keys as texts that join and sort: null first, then bytewise
     nodes = placed(leaves.withColumn("key", F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit(""))).select("key", F.col(key).alias("_source"), *more), id_col, "leaf")
-    nodes = cut(nodes, "merkle-places")
+    nodes = cut(nodes, "merkle-places", codec="snappy")
     stages = grown(nodes.select("key", "pos", "n", F.col("leaf").alias("h")))
     sources = placed(stages[-1].select(F.lit("").alias("key"), F.col("key").alias("of"), "h"), "of")
-    sources = cut(sources, "merkle-sources")
+    sources = cut(sources, "merkle-sources", codec="snappy")
     over = grown(sources)
     path = F.array().cast("array<struct<preimage:string,slot:int>>")
     root = over[-1].select("key", path.alias("path"), F.col("h").alias("root"))
@@ -121,7 +122,7 @@ def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     even = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
     changed = [F.translate(text, "\n", "") if c == "text" else F.col(c) for c in FIELDS]
     rows = table(spark, sf_dir, "documents").select("source", "doc_id", leaf([F.col(c) for c in FIELDS]).alias("leaf"), F.when(even, leaf(changed)).alias("changed"))
-    m = manifest(cut(rows, "merkle-leaves"), "source", "doc_id")
+    m = manifest(cut(rows, "merkle-leaves", codec="snappy"), "source", "doc_id")
     again = folded(F.col("path"), F.coalesce("changed", "leaf"))
     out = m.select("doc_id", "leaf", "subroot", "root", F.sha2(siblings(F.col("path")), 256).alias("proof_sha256"), again.alias("folded_root"))
     return out.withColumn("verified", F.col("folded_root") == F.col("root"))
