@@ -70,45 +70,81 @@ def normal_title(t: Column) -> Column:
     return F.trim(F.regexp_replace(t, " +", " "))
 
 
-#: Marker words of each language (strong ones count twice).
-STRONG = {
-    "en": ["the", "and", "you", "with", "this"],
-    "es": ["el", "los", "que", "por", "una"],
-    "fr": ["le", "les", "des", "est", "une"],
-    "de": ["der", "die", "und", "das", "ist"],
+#: Marker words of Spanish, English and French; strong Spanish ones; those of the first generation.
+SPANISH = [
+    "que", "de", "la", "el", "y", "en", "un", "una", "con", "por", "los", "las", "como", "es", "te", "mi", "mis", "tu", "tus", "sin", "sus", "para", "pero", "más", "si", "yo", "me", "se", "lo", "al", "del",
+    "ya", "no", "nos", "ni", "muy", "aquí", "allá", "esto", "esta",
+]
+ENGLISH = [
+    "the", "of", "and", "to", "you", "i", "is", "my", "in", "on", "with", "for", "at", "by", "that", "this", "be", "are", "was", "but", "not", "have", "do", "what", "when", "like", "baby", "just", "go",
+]
+FRENCH = [
+    "je", "tu", "le", "la", "et", "de", "les", "un", "une", "ne", "pas", "ce", "que", "est", "mais", "ou", "où", "des", "du", "ses", "mon", "ma", "mes", "ton", "ta", "tes", "son", "sa", "quand", "comment",
+]
+SPANISH_STRONG = [
+    "pa'", "p'", "pa", "tá", "ta", "qué", "cómo", "dónde", "sí", "está", "esté", "soy", "eres", "fue", "muy", "más", "hacer", "haces", "haciendo", "ese", "esa",
+]
+FIRST = {
+    "ES": ["que", "de", "la", "el", "y", "en", "un", "una", "con", "por", "los", "las", "como"],
+    "EN": ["the", "of", "and", "to", "you", "i", "is", "my", "in", "on", "with"],
+    "FR": ["je", "tu", "le", "la", "et", "de", "les", "un", "une", "ne", "pas"],
 }
-WEAK = {
-    "en": ["of", "to", "is", "it", "for", "are", "was", "that"],
-    "es": ["la", "de", "y", "en", "es", "se", "no", "del"],
-    "fr": ["la", "de", "et", "en", "un", "du", "par", "sur"],
-    "de": ["den", "von", "zu", "mit", "sich", "auf", "ein", "nicht"],
-}
-ACCENTS = {"es": "[ñ¿¡]", "fr": "[èêçàù]", "de": "[ßäö]"}
+WORD = "[A-Za-zÁÉÍÓÚáéíóúÑñüÜçÇ']+"
+ACCENTED = "[ñÑáéíóúüÁÉÍÓÚÜ]"
+KANA = "[\\u3040-\\u30ff\\u4e00-\\u9fff]"
+
+#: English words that carry no topic (fixed values).
+STOP = [
+    "a", "about", "above", "after", "again", "against", "all", "am", "an", "and", "any", "are", "as", "at", "be", "because", "been", "before", "being", "below", "between", "both", "but", "by", "can", "could",
+    "did", "do", "does", "doing", "down", "during", "each", "few", "for", "from", "further", "had", "has", "have", "having", "he", "her", "here", "hers", "herself", "him", "himself", "his", "how", "i", "if", "in",
+    "into", "is", "it", "its", "itself", "just", "me", "more", "most", "my", "myself", "no", "nor", "not", "now", "of", "off", "on", "once", "only", "or", "other", "our", "ours", "ourselves", "out", "over", "own",
+    "same", "she", "should", "so", "some", "such", "than", "that", "the", "their", "theirs", "them", "themselves", "then", "there", "these", "they", "this", "those", "through", "to", "too", "under", "until", "up",
+    "very", "was", "we", "were", "what", "when", "where", "which", "while", "who", "whom", "why", "will", "with", "would", "you", "your", "yours", "yourself", "yourselves",
+]
+
+
+def stripped_length(t: Column) -> Column:
+    return F.length(F.regexp_replace(t, "^\\s+|\\s+$", ""))
+
+
+def hits(found: Column, words: list[str]) -> Column:
+    """How many different words of a list are there."""
+    return F.size(F.array_intersect(found, F.array(*map(F.lit, words))))
 
 
-def marker_scores(t: Column, found: Column) -> dict[str, Column]:
-    out = {}
-    for lang, strong in STRONG.items():
-        s = 2 * F.size(F.array_intersect(found, F.array(*map(F.lit, strong)))) + F.size(F.array_intersect(found, F.array(*map(F.lit, WEAK[lang]))))
-        if lang in ACCENTS:
-            s = s + F.lower(t).rlike(ACCENTS[lang]).cast("int")
-        out[lang] = s
+def first_of_best(counts: dict[str, Column], least: int) -> Column:
+    """The name of the greatest count, the first of equal ones, null below `least`."""
+    best = F.greatest(*counts.values())
+    out = F.lit(None).cast("string")
+    for name in reversed(list(counts)):
+        out = F.when((counts[name] == best) & (best >= least), name).otherwise(out)
     return out
 
 
-def detect(t: Column, found: Column | None = None) -> Column:
-    """struct(lang, confidence): a script test, then MIXED if two languages are clearly present in four tokens or more, the best if it scores two, else OTHER.
-    found: the text's tokens, where a column has them already."""
-    found = accent_tokens(t) if found is None else found
-    s = marker_scores(t, found)
-    best = F.greatest(*s.values())
-    total = sum(s.values(), F.lit(0))
-    clear = sum(((x >= 4).cast("int") for x in s.values()), F.lit(0))
-    label = F.lit("OTHER")
-    for lang in reversed(list(s)):
-        label = F.when((s[lang] == best) & (best >= 2), lang).otherwise(label)
-    label = F.when(t.rlike("[\\u3040-\\u30ff\\u4e00-\\u9fff]"), "ja").when((clear >= 2) & (F.size(found) >= 4), "MIXED").otherwise(label)
-    return F.struct(label.alias("lang"), F.round(F.coalesce(F.try_divide(best.cast("double"), total.cast("double")), F.lit(0.0)), 4).alias("confidence"))
+def detect(t: Column, found: Column | None = None, fallback: Column | None = None) -> Column:
+    """struct(lang, confidence): OTHER below two characters, JA by script, MIXED where two languages or more have a marker and the text four words, else the language of most markers if there are two, the strong ones counting twice and an accented
+    letter as one more for Spanish; else the fallback, a struct of the same kind, which is OTHER if none is given (there is no statistical detector here). found: the text's words (WORD, lower-cased), where a column has them already."""
+    found = F.regexp_extract_all(F.lower(t), F.lit(f"({WORD})"), F.lit(1)) if found is None else found
+    counts = {"ES": hits(found, SPANISH) + 2 * hits(found, SPANISH_STRONG) + t.rlike(ACCENTED).cast("int"), "EN": hits(found, ENGLISH), "FR": hits(found, FRENCH)}
+    present = sum(((c >= 1).cast("int") for c in counts.values()), F.lit(0))
+    said = lambda lang, p: F.struct(lang.alias("lang"), F.lit(p).alias("confidence"))
+    other = said(F.lit("OTHER"), 0.0)
+    best = first_of_best(counts, 2)
+    out = F.when(best.isNotNull(), said(best, 0.85)).otherwise(other if fallback is None else fallback)
+    out = F.when((present >= 2) & (F.size(found) >= 4), said(F.lit("MIXED"), 0.7)).otherwise(out)
+    out = F.when(F.size(found) == 0, other).otherwise(out)
+    return F.when(t.isNull() | (stripped_length(t) < 2), other).when(t.rlike(KANA), said(F.lit("JA"), 1.0)).otherwise(out)
+
+
+def detect_first(t: Column, detected: Column | None = None) -> Column:
+    """The first generation: OTHER below two characters, JA by script, else what a detector says (without one the language of most markers, OTHER if there are none); but MIXED where four words hold markers of two languages or more. Words stand between spaces."""
+    words = F.filter(F.split(F.lower(t), "\\s+"), lambda w: w != "")
+    counts = {k: hits(words, v) for k, v in FIRST.items()}
+    active = sum(((c >= 1).cast("int") for c in counts.values()), F.lit(0))
+    out = F.coalesce(first_of_best(counts, 1) if detected is None else detected, F.lit("OTHER"))
+    out = F.when(t.rlike(KANA), "JA").otherwise(out)
+    out = F.when(t.isNull() | (stripped_length(t) < 2), "OTHER").otherwise(out)
+    return F.when((F.size(words) >= 4) & (active >= 2), "MIXED").otherwise(out)
 
 
 def strip_tags(t: Column) -> Column:

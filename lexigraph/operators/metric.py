@@ -56,7 +56,7 @@ def nearness(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray])
         there += ~np.isnan(d)
         total += np.nan_to_num(d)
     with np.errstate(divide="ignore", invalid="ignore"):
-        return np.where(there > 0, -total * x[0].shape[1] / there, np.nan)
+        return np.where(there > 0, -total * (x[0].shape[1] / there), np.nan)
 
 
 def euclid(x: np.ndarray, p: np.ndarray) -> np.ndarray:

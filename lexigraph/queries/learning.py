@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from lexigraph.functions import stats as S
 from lexigraph.functions import text as T
 from lexigraph.functions import vec as V
+from lexigraph.operators import density as D
 from lexigraph.operators import learning as L
 from lexigraph.operators import sequences as seqs
 from lexigraph.shared import new_path
@@ -45,14 +46,9 @@ def m03(spark, d):
 
 @query("m04_density_topics")
 def m04(spark, d):
-    """PCA to ten axes, then density clusters within each label; a group is bounded by what one task can hold in a distance matrix (5000 rows), larger ones are split by hash."""
-    p = L.pca(units(spark, d), "u", 10, "label", "id").withColumn("part", F.floor((F.row_number().over(W.partitionBy("label").orderBy(F.xxhash64("id"), "id")) - 1) / 5000))
-
-    def run(pdf):
-        pdf = pdf.sort_values("id")
-        return pdf[["label", "id"]].assign(topic=L.hdbscan_labels(np.stack(pdf["pc"].to_list()), 5, 2))
-
-    return p.groupBy("label", "part").applyInPandas(run, "label int, id long, topic int")
+    """PCA to ten axes, then density clusters of all rows, in one numbering; -1 is noise."""
+    p = L.pca(units(spark, d), "u", 10, "label", "id")
+    return D.density_clusters(p.select("id", "label", "pc"), "pc", 5, 2, "id", "label", out="topic").select("label", "id", "topic")
 
 
 @query("m07_pca_axis")

@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexigraph.functions import text as T
+from lexigraph.operators import fuzzy as Z
 from lexigraph.operators.order import places, running
 
 from .base import draw, draw_sql, query, t
@@ -179,23 +180,19 @@ def j06(spark, d):
     return t(spark, d, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "n_name", "r_name")
 
 
-#: candidates meet on a shared trigram of the key; scored by edit distance
-FUZZY = """with a as (select distinct p_name from part), k as (select p_name, lower(p_name) x from a),
-g as (select distinct p_name, x, substr(x, i, 3) g from k, lateral unnest(generate_series(1, length(x) - 2)) u(i)),
-c as (select distinct l.p_name a, r.p_name b, l.x, r.x y from g l join g r on l.g = r.g and l.p_name <> r.p_name),
-s as (select a, b, round(1 - levenshtein(x, y)::double / greatest(length(x), length(y)), 6) score from c)
-select a p_name, b best, score from (select *, row_number() over (partition by a order by score desc, b) rn from s) where rn = 1 and score >= 0.55"""
+#: Matching blocks by recursion: the longest stretch of x that y holds, earliest in x, then what is left and right of its first place in y.
+FUZZY = """with recursive n as (select distinct p_name from part), r as (select a.p_name a, b.p_name b, lower(a.p_name) x, lower(b.p_name) y, 0 m from n a, n b where a.p_name <> b.p_name
+    union all select a, b, h.x, h.y, h.m from (select a, b, x, y, list_filter(flatten(list_transform(range(least(length(x), length(y)), 0, -1), lambda l: list_transform(range(1, length(x) - l + 2), lambda i: {'l': l, 'i': i}))), lambda s: contains(y, substr(x, s.i, s.l)))[1] s from r where x <> '' and y <> ''),
+        unnest([{'x': substr(x, 1, s.i - 1), 'y': substr(y, 1, instr(y, substr(x, s.i, s.l)) - 1), 'm': s.l}, {'x': substr(x, s.i + s.l), 'y': substr(y, instr(y, substr(x, s.i, s.l)) + s.l), 'm': 0}]) u(h) where s is not null),
+    s as (select a, b, 2.0 * sum(m) / (length(a) + length(b)) score from r group by a, b)
+    select a p_name, b best, round(score, 6) score from (select *, row_number() over (partition by a order by round(score, 9) desc, b) rn from s) where rn = 1 and score >= 0.55"""
 
 
 @query("j07_fuzzy_best_match", FUZZY)
 def j07(spark, d):
-    k = t(spark, d, "part").select("p_name").distinct().withColumn("x", F.lower("p_name"))
-    g = k.select("p_name", "x", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("x") - 2), lambda i: F.substring(F.col("x"), i, F.lit(3))))).alias("g"))
-    r = g.select(F.col("p_name").alias("best"), F.col("x").alias("y"), "g")
-    c = g.join(r, "g").where("p_name <> best").select("p_name", "x", "best", "y").distinct()
-    score = F.round(1 - F.levenshtein("x", "y").cast("double") / F.greatest(F.length("x"), F.length("y")), 6)
-    best = c.withColumn("score", score).withColumn("rn", F.row_number().over(W.partitionBy("p_name").orderBy(F.desc("score"), "best")))
-    return best.where("rn = 1 and score >= 0.55").select("p_name", "best", "score")
+    """Each name's best partner among the others by the ratio of matching blocks, the first by name of equal ones."""
+    k = t(spark, d, "part").select("p_name").distinct().select(F.col("p_name").alias("id"), F.col("p_name").alias("order"), F.lower("p_name").alias("text"))
+    return Z.best_matches(k, k, 0.55).select(F.col("id").alias("p_name"), F.col("match").alias("best"), F.round("score", 6).alias("score"))
 
 
 @query("j17_label_mismatch_pairs", "select a.label la, b.label lb, count(*) n from embeddings a join embeddings b on a.vec_id < b.vec_id and a.label <> b.label group by 1, 2")

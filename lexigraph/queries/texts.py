@@ -6,6 +6,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexigraph.functions import text as T
+from lexigraph.operators import fuzzy as Z
+from lexigraph.operators import spectral as SP
+from lexigraph.shared import cut
 
 from .base import query, t
 
@@ -81,36 +84,37 @@ def f11(spark, d):
     return t(spark, d, "documents").select("doc_id", F.col("text").rlike("[\\u3040-\\u30ff\\u4e00-\\u9fff]").alias("kana"))
 
 
+def _listed(words: list[str]) -> str:
+    return "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + "]"
+
+
 def _detect_sql() -> str:
-    found = "list_distinct(regexp_extract_all(lower(text), '[a-záéíóúüñàèìòùâêîôûäöß]+'))"
-    parts = []
-    for lang, strong in T.STRONG.items():
-        arr = lambda ws: "[" + ",".join(f"'{w}'" for w in ws) + "]"
-        s = f"2 * len(list_intersect(k, {arr(strong)})) + len(list_intersect(k, {arr(T.WEAK[lang])}))"
-        if lang in T.ACCENTS:
-            s += f" + regexp_matches(lower(text), '{T.ACCENTS[lang]}')::int"
-        parts.append(f"{s} {lang}")
-    langs = list(T.STRONG)
-    clear = " + ".join(f"({g} >= 4)::int" for g in langs)
-    case = " ".join(f"when {g} = best and best >= 2 then '{g}'" for g in langs)
-    return f"""with k as (select doc_id, text, {found} k, len(regexp_extract_all(lower(text), '[a-záéíóúüñàèìòùâêîôûäöß]+')) n from documents),
-    s as (select doc_id, n, regexp_matches(text, '[\\x{{3040}}-\\x{{30ff}}\\x{{4e00}}-\\x{{9fff}}]') kana, {", ".join(parts)} from k), b as (select *, greatest({", ".join(langs)}) best from s)
-    select doc_id, case when kana then 'ja' when {clear} >= 2 and n >= 4 then 'MIXED' {case} else 'OTHER' end lang,
-    round(coalesce(best::double / nullif({" + ".join(langs)}, 0), 0), 4) confidence from b"""
+    hit = lambda words: f"len(list_intersect(k, {_listed(words)}))"
+    return f"""with w as (select doc_id, text, regexp_extract_all(lower(text), '{T.WORD.replace("'", "''")}') w from documents), k as (select *, list_distinct(w) k from w),
+    c as (select *, {hit(T.SPANISH)} + 2 * {hit(T.SPANISH_STRONG)} + regexp_matches(text, '{T.ACCENTED}')::int es, {hit(T.ENGLISH)} en, {hit(T.FRENCH)} fr from k),
+    d as (select doc_id, case when text is null or length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) < 2 then 'OTHER' when regexp_matches(text, '[\\x{{3040}}-\\x{{30ff}}\\x{{4e00}}-\\x{{9fff}}]') then 'JA' when len(w) = 0 then 'OTHER'
+        when (es >= 1)::int + (en >= 1)::int + (fr >= 1)::int >= 2 and len(w) >= 4 then 'MIXED' when greatest(es, en, fr) < 2 then 'OTHER' when es = greatest(es, en, fr) then 'ES' when en = greatest(es, en, fr) then 'EN' else 'FR' end lang from c)
+    select doc_id, lang, case lang when 'OTHER' then 0.0 when 'JA' then 1.0 when 'MIXED' then 0.7 else 0.85 end::double confidence from d"""
 
 
 @query("f12_detect_language", _detect_sql())
 def f12(spark, d):
-    return t(spark, d, "documents").select("doc_id", "text", T.accent_tokens(F.col("text")).alias("k")).select("doc_id", T.detect(F.col("text"), F.col("k")).alias("x")).select("doc_id", "x.lang", "x.confidence")
+    found = F.regexp_extract_all(F.lower("text"), F.lit(f"({T.WORD})"), F.lit(1))
+    return t(spark, d, "documents").select("doc_id", "text", found.alias("k")).select("doc_id", T.detect(F.col("text"), F.col("k")).alias("x")).select("doc_id", "x.lang", "x.confidence")
+
+
+def _first_sql() -> str:
+    hit = lambda name: f"len(list_intersect(k, {_listed(T.FIRST[name])}))"
+    return f"""with l as (select doc_id, unnest(string_split(text, chr(10))) line, generate_subscripts(string_split(text, chr(10)), 1) - 1 pos from documents), w as (select *, list_filter(regexp_split_to_array(lower(line), '\\s+'), lambda x: x <> '') w from l),
+    c as (select *, {hit("ES")} es, {hit("EN")} en, {hit("FR")} fr from (select *, list_distinct(w) k from w))
+    select doc_id, pos::int pos, case when len(w) >= 4 and (es >= 1)::int + (en >= 1)::int + (fr >= 1)::int >= 2 then 'MIXED' when length(regexp_replace(line, '^\\s+|\\s+$', '', 'g')) < 2 then 'OTHER' when regexp_matches(line, '[\\x{{3040}}-\\x{{30ff}}\\x{{4e00}}-\\x{{9fff}}]') then 'JA'
+        when greatest(es, en, fr) < 1 then 'OTHER' when es = greatest(es, en, fr) then 'ES' when en = greatest(es, en, fr) then 'EN' else 'FR' end lang from c"""
 
 
-@query("f13_detect_language_lines")
+@query("f13_detect_language_lines", _first_sql())
 def f13(spark, d):
-    """First-generation detection by line, replaced by MIXED where a document has two clear languages."""
-    lines = t(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).where(F.trim("line") != "").select("doc_id", "pos", "line", T.accent_tokens(F.col("line")).alias("k"))
-    lines = lines.select("doc_id", "pos", T.detect(F.col("line"), F.col("k"))["lang"].alias("lang"))
-    per = lines.where(~F.col("lang").isin("OTHER", "MIXED")).groupBy("doc_id").agg(F.count_distinct("lang").alias("langs"), F.mode("lang", deterministic=True).alias("top"))
-    return per.select("doc_id", F.when(F.col("langs") >= 2, "MIXED").otherwise(F.col("top")).alias("lang"))
+    lines = t(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    return lines.select("doc_id", "pos", T.detect_first(F.col("line")).alias("lang"))
 
 
 @query("f14_sentences")
@@ -224,6 +228,33 @@ def f39(spark, d):
     return t(spark, d, "pages").select("page_id", long(F.size(p), "depth"), p[2].alias("host"))
 
 
+#: A page's text in SQL, as strip_tags makes it.
+PLAIN = "trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(html, '<(script|style)[^>]*>.*?</(script|style)>', ' ', 'gs'), '<!--.*?-->', ' ', 'gs'), '<[^>]+>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '[ \\t\\r\\n]+', ' ', 'g'))"
+SITE_TERM, SITE_FIELDS = "casnio", {"title": 1.0, "permalink": 1.0, "summary": 1.0, "content": 1.0}
+
+
+def _site_sql() -> str:
+    """Edit distances to all stretches of 4 to 8 characters: one within two edits of six is as long."""
+    m, most = len(SITE_TERM), int(0.4 * len(SITE_TERM))
+    some = lambda f: ", ".join(f"levenshtein(substr({f}, i + 1, {n}), '{SITE_TERM}')" for n in range(m - most, m + most + 1))
+    least = lambda f: f"coalesce(list_min(list_transform(range(0, greatest(length({f}) - {m - most}, 0) + 1), lambda i: least({some(f)}))), 99)"
+    fields = ", ".join(f"lower(coalesce({f}, '')) {f}, greatest(len(string_split_regex(trim({f}, ' '), ' +')), 1) n_{f}" for f in SITE_FIELDS)
+    score = " * ".join(f"case when e_{f} <= {most} and {f} <> '' then pow(greatest(0.001, e_{f} / {m}.0), 0.25 * round(1 / sqrt(n_{f}), 3)) else 1 end" for f in SITE_FIELDS)
+    has = " or ".join(f"e_{f} <= {most} and {f} <> ''" for f in SITE_FIELDS)
+    return f"""with p as (select page_id, url permalink, coalesce(regexp_extract(html, '(?s)<title[^>]*>(.*?)</title>', 1), '') title, left({PLAIN}, 220) summary, {PLAIN} content from pages), f as (select page_id, {fields} from p),
+    e as (select *, {", ".join(f"{least(f)} e_{f}" for f in SITE_FIELDS)} from f), s as (select page_id, {score} score from e where {has})
+    select page_id, round(score, 6) score from s order by round(score, 9), page_id limit 20"""
+
+
+@query("f40_site_search", _site_sql())
+def f40s(spark, d):
+    """Pages by a misspelt term in four fields, anywhere in them; the 20 best."""
+    text = T.strip_tags(F.col("html"))
+    p = t(spark, d, "pages").select("page_id", F.regexp_extract("html", "(?s)<title[^>]*>(.*?)</title>", 1).alias("title"), F.col("url").alias("permalink"), F.substring(text, 1, 220).alias("summary"), text.alias("content"))
+    found = Z.search(p, SITE_TERM, SITE_FIELDS)
+    return found.orderBy(F.round("score", 9), "page_id").limit(20).select("page_id", F.round("score", 6).alias("score"))
+
+
 @query("f40_fuzzy_search", """with w as (select distinct p_name, unnest(string_split(lower(p_name), ' ')) w from part), s as (select p_name, min(levenshtein(w, 'wigdet')::double / greatest(length(w), 6)) score from w group by 1)
     select p_name, round(score, 6) score from s where score <= 0.4 order by score, p_name limit 20""")
 def f40(spark, d):
@@ -268,18 +299,52 @@ _entropy("a28_entropy_log2", "2", "h", "-sum(p * log2(p))", lambda: _h(F.log2))
 _entropy("a29_entropy_normalised", "e", "h", "case when count(*) <= 1 then 0 else -sum(p * ln(p)) / ln(count(*)) end", lambda: F.when(F.count(F.lit(1)) <= 1, F.lit(0.0)).otherwise(_h(F.ln) / F.ln(F.count(F.lit(1)).cast("double"))))
 
 
-@query("m06_tfidf", f"""with w as (select doc_id, w, count(*) tf from (select doc_id, unnest({TOKENS}) w from documents where lang = 'en') group by all), f as (select w, count(*) df from w group by 1 order by df desc, w limit 2000),
-    n as (select count(*) n from documents where lang = 'en'), x as (select doc_id, w, tf * (ln((1 + n) / (1 + df)) + 1) x from w join f using (w), n), l as (select doc_id, sqrt(sum(x * x)) l from x group by 1)
+#: Words of two letters or more, without the stop words.
+TERMS = f"list_filter(regexp_extract_all(lower(text), '[a-z'']+'), lambda x: length(x) > 1 and not list_contains({_listed(T.STOP)}, x))"
+
+
+def _terms(spark, d):
+    """(doc_id, w): a row a term, and a row with no term for documents without any."""
+    words = F.filter(T.tokens(F.col("text")), lambda x: (F.length(x) > 1) & ~x.isin(T.STOP))
+    return t(spark, d, "documents").select("doc_id", F.explode_outer(words).alias("w"))
+
+
+@query("m06_tfidf", f"""with w as (select doc_id, w, count(*) tf from (select doc_id, unnest({TERMS}) w from documents) group by all), f as (select w, count(*) df from w group by 1 order by df desc, w limit 2000),
+    n as (select count(*) n from documents), x as (select doc_id, w, tf * (ln((1 + n) / (1 + df)) + 1) x from w join f using (w), n), l as (select doc_id, sqrt(sum(x * x)) l from x group by 1)
     select doc_id, w, round(x / l, 6) weight from (select *, row_number() over (partition by doc_id order by round(x / l, 9) desc, w) rn from x join l using (doc_id)) where rn <= 3""")
 def m06(spark, d):
-    docs = t(spark, d, "documents").where("lang = 'en'")
-    w = docs.select("doc_id", F.explode(T.tokens(F.col("text"))).alias("w")).groupBy("doc_id", "w").agg(F.count(F.lit(1)).alias("tf"))
-    f = w.groupBy("w").agg(F.count(F.lit(1)).alias("df")).orderBy(F.desc("df"), "w").limit(2000)
-    n = docs.agg(F.count(F.lit(1)).alias("n"))
-    x = w.join(F.broadcast(f), "w").crossJoin(F.broadcast(n)).select("doc_id", "w", (F.col("tf") * (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1)).alias("x"))
-    x = x.withColumn("weight", F.col("x") / F.sqrt(F.sum(F.col("x") * F.col("x")).over(W.partitionBy("doc_id"))))
-    top = x.withColumn("rn", F.row_number().over(W.partitionBy("doc_id").orderBy(F.desc(F.round("weight", 9)), "w"))).where("rn <= 3")
-    return top.select("doc_id", "w", F.round("weight", 6).alias("weight"))
+    """The three heaviest of 2000 terms in each document."""
+    words, rows = SP.tfidf(_terms(spark, d), "doc_id", "w", 2000)
+    each = rows.select("doc_id", F.explode(F.arrays_zip("at", "x")).alias("e")).select("doc_id", "e.at", F.col("e.x").alias("x")).join(F.broadcast(words), "at")
+    top = each.withColumn("rn", F.row_number().over(W.partitionBy("doc_id").orderBy(F.desc(F.round("x", 9)), "w"))).where("rn <= 3")
+    return top.select("doc_id", "w", F.round("x", 6).alias("weight"))
+
+
+@query("m06_tfidf_components")
+def m06b(spark, d):
+    """Fifty principal components of the documents over 2000 terms; a document without any of them lies where the mean's negative does."""
+    words, rows = SP.tfidf(_terms(spark, d), "doc_id", "w", 2000)
+    rows = cut(rows, "tfidf")
+    mean, _, axes = SP.components(rows, words.count(), 50)
+    return SP.projected(rows, mean, axes, "doc_id").select("doc_id", F.transform("pc", lambda x: F.round(x, 6)).alias("pc"))
+
+
+@query("m04_topic_terms", """with k as (select source, regexp_extract_all(lower(text), '[a-z'']+') k from documents), g as (select source, unnest(k || list_transform(range(1, len(k)), lambda i: k[i] || ' ' || k[i + 1])) w from k),
+    w as (select source, w, count(*) tf from g group by all), f as (select w, sum(tf) f from w group by 1 having count(*) >= 3), x as (select w.*, f from w join f using (w)), l as (select source, sum(tf) l from x group by 1), a as (select avg(l) a from l),
+    s as (select source, w, tf::double / l * ln(1 + a / f) x from x join l using (source), a)
+    select source, w, round(x, 8) weight from (select *, row_number() over (partition by source order by round(x, 9) desc, w) rn from s) where rn <= 10""")
+def m04d(spark, d):
+    """Class TF-IDF over words and pairs of neighbouring words that stand in three classes at least: a term's share of its class times ln(1 + mean class size / the term's count)."""
+    k = t(spark, d, "documents").select("source", T.tokens(F.col("text")).alias("k"))
+    pairs = F.zip_with("k", F.slice("k", 2, 1 << 30), lambda a, b: F.concat(a, F.lit(" "), b))
+    w = k.select("source", F.explode(F.concat("k", F.filter(pairs, lambda x: x.isNotNull()))).alias("w")).groupBy("source", "w").agg(F.count(F.lit(1)).alias("tf"))
+    f = w.groupBy("w").agg(F.sum("tf").alias("f"), F.count(F.lit(1)).alias("c")).where("c >= 3").drop("c")
+    x = w.join(f, "w")
+    size = x.groupBy("source").agg(F.sum("tf").alias("l"))
+    a = size.agg(F.avg("l").alias("a"))
+    x = x.join(size, "source").crossJoin(F.broadcast(a)).withColumn("x", F.col("tf") / F.col("l") * F.ln(1 + F.col("a") / F.col("f")))
+    top = x.withColumn("rn", F.row_number().over(W.partitionBy("source").orderBy(F.desc(F.round("x", 9)), "w"))).where("rn <= 10")
+    return top.select("source", "w", F.round("x", 8).alias("weight"))
 
 
 @query("m04_class_tfidf", f"""with w as (select lang, w, count(*) tf from (select lang, unnest({TOKENS}) w from documents) group by all), a as (select sum(tf) / count(distinct lang) a from w), f as (select w, sum(tf) f from w group by 1 having sum(tf) >= 3),

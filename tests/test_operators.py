@@ -107,13 +107,6 @@ def test_tail_probabilities():
     assert abs(S.chi2_tail(100.0, 100) - 0.481191) < 1e-4
 
 
-def test_density_clusters():
-    r = np.random.default_rng(0)
-    x = np.concatenate([r.normal(0, 0.05, (30, 2)), r.normal(3, 0.05, (30, 2)), r.uniform(-8, 8, (4, 2))])
-    y = L.hdbscan_labels(x, 8, 3)
-    assert len(set(y[:30])) == 1 and len(set(y[30:60])) == 1 and y[0] != y[30] and y[0] >= 0 and y[30] >= 0
-
-
 def test_mixed_model_recovers_effects(spark):
     r = np.random.default_rng(2)
     rows = []
