@@ -57,7 +57,7 @@ class Seeds:
         self.vocabulary: dict[bytes, int] = {}
         number = self.vocabulary.setdefault
         self.items = []
-        for i, text in sorted(items, key=lambda x: x[0]):
+        for i, text in sorted(items, key=lambda x: (x[0] is None, x[0] or 0)):
             words = [number(w, len(self.vocabulary)) for w in words_of(text)]
             if words:
                 self.items.append((i, np.array(words)))
@@ -224,9 +224,9 @@ def frequencies(docs: DataFrame, shared) -> tuple[np.ndarray, int]:
 
 def blocks(benchmark: DataFrame, block_chars: int):
     """Lists of (item id, text); only one is held at a time."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("i"), F.col("text").alias("t")).where("i is not null and t is not null")
+    items = benchmark.select(F.col("item_id").cast("long").alias("i"), F.col("text").alias("t")).where("t is not null")
     held, chars, words = [], 0, 0
-    for r in items.orderBy("i", "t").toLocalIterator():
+    for r in items.orderBy(F.asc_nulls_last("i"), "t").toLocalIterator():
         n = len(words_of(r["t"]))
         if held and (chars + len(r["t"]) > block_chars or words + n >= 1 << 21):
             yield held
@@ -260,7 +260,7 @@ def score_block(docs: DataFrame, shared, common) -> DataFrame:
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, rare: float = 0.001, block_chars: int = 16 << 20, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, item_id, score, contaminated) per row of docs; item_id is null where nothing aligns."""
+    """(doc_id, item_id, score, contaminated) per row of docs; item_id is null where nothing aligns, and where the best item has no id (score and contaminated are then its). Items without a text are none; equal items count as one, equal scores give the smaller id."""
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     out, path = source.select("doc_id", "text", F.lit(None).cast("long").alias("item_id"), F.lit(0.0).alias("score")), None
     for k, items in enumerate(blocks(benchmark, block_chars)):

@@ -23,6 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexigraph.operators.components import connected_components
 
@@ -229,12 +230,12 @@ def sketch(text: str | None, width: int, cut_every: int = 16, seed: int = 42, bl
     return whole, sorted(segments), np.unique(raw.view("<u8").ravel()), xxhash.xxh3_128_digest(joined)
 
 
-def similar(pairs: DataFrame, docs: DataFrame, width: int, least: float) -> DataFrame:
-    """The pairs (a, b) whose texts' word shingles have a Jaccard similarity of at least `least`; docs(doc_id, text)."""
+def similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, least: float) -> DataFrame:
+    """The pairs (a, b) of nodes(node, doc_id, words) whose texts' word shingles have a Jaccard similarity of at least `least`; docs(doc_id, text). A node's text is known by its words, as rows of one id may differ."""
     def shingles(batches):
         for b in in_blocks(batches):
-            rows = [sketch(x, width)[2].astype("<u8").tobytes() for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.binary())], ["doc_id", "shingles"])
+            made = [sketch(x, width) for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([m[3] for m in made], pa.binary()), pa.array([m[2].astype("<u8").tobytes() for m in made], pa.binary())], ["words", "shingles"])
 
     def compare(batches):
         for b in batches:
@@ -245,9 +246,10 @@ def similar(pairs: DataFrame, docs: DataFrame, width: int, least: float) -> Data
                 keep.append(both >= least * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    some = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = cut(docs.join(some, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(shingles, "doc_id long, shingles binary").groupBy("doc_id").agg(F.first("shingles").alias("shingles")), "shingles")
-    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
+    some = nodes.select("node", "doc_id", "words").join(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "node", "left_semi")
+    made = docs.join(some.select("doc_id"), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(shingles, "words binary, shingles binary")
+    sets = cut(made.groupBy("words").agg(F.first("shingles").alias("shingles")).join(some.select("node", "words"), "words").select("node", "shingles"), "shingles")
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
     return both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
 
 
@@ -306,16 +308,19 @@ def at_most(x: bytes, y: bytes, n: int, m: int) -> int:
 
 
 def near_pairs(nodes: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) of different components that can have a similarity of `least`; nodes(doc_id, n, prefix, bits, component). Exact: such texts share a shingle of their
-    prefixes, and at the first that they share enough shingles are left in both; then their bitmaps must allow it. A shingle in very many prefixes is split by the skew join."""
-    each = nodes.select("doc_id", "n", "component", F.posexplode("prefix").alias("at", "shingle"))
-    each = each.select("shingle", "doc_id", "n", "component", (F.col("n") - F.col("at")).alias("left"))
-    other = each.select("shingle", *(F.col(c).alias(f"o_{c}") for c in each.columns[1:]))
-    sizes = F.least("n", "o_n") >= least * F.greatest("n", "o_n") - 1e-6
+    """The pairs (a, b) of different components that can have a similarity of `least`; nodes(node, n, prefix, bits, component). Exact: the texts share a shingle of their prefixes, and for the smaller set (or either of equal ones) a
+    shorter prefix is enough, as a partner of its size or more must share 2 least / (1 + least) of it; so texts of one template that differ too much meet on what they don't share, not on the template. At the first shingle that they share enough must be
+    left in both; then their bitmaps must allow it. A shingle in very many prefixes is split by the skew join."""
+    each = nodes.select("node", "n", "component", F.posexplode("prefix").alias("at", "shingle"))
+    each = each.select("shingle", "node", "n", "component", "at", (F.col("n") - F.col("at")).alias("left"))
+    short = each.where(F.col("at") < F.col("n") - F.ceil(2 * least / (1 + least) * F.col("n") - 1e-9) + 1)
+    other = short.select("shingle", *(F.col(c).alias(f"o_{c}") for c in each.columns[1:]))
+    smaller = (F.col("o_n") < F.col("n")) | ((F.col("o_n") == F.col("n")) & (F.col("o_node") < F.col("node")))
+    sizes = F.col("o_n") >= least * F.col("n") - 1e-6
     enough = (1 + least) * F.least("left", "o_left") >= least * (F.col("n") + F.col("o_n")) - 1e-6
-    met = each.join(other, "shingle").where((F.col("doc_id") < F.col("o_doc_id")) & (F.col("component") != F.col("o_component")) & sizes & enough)
-    pairs = met.select(F.col("doc_id").alias("a"), F.col("o_doc_id").alias("b")).distinct()
-    both = pairs.join(nodes.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("bits").alias("x")), "a").join(nodes.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("y")), "b")
+    met = each.join(other, "shingle").where(smaller & (F.col("component") != F.col("o_component")) & sizes & enough)
+    pairs = met.select(F.least("node", "o_node").alias("a"), F.greatest("node", "o_node").alias("b")).distinct()
+    both = pairs.join(nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("bits").alias("x")), "a").join(nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("y")), "b")
 
     def run(batches):
         for b in batches:
@@ -326,12 +331,14 @@ def near_pairs(nodes: DataFrame, least: float) -> DataFrame:
 
 
 def near_classes(docs: DataFrame, width: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text", far: int = 20) -> DataFrame:
-    """(doc_id, component_id) of one row for each different sequence of words: classes of texts whose word shingles are at least `least` similar, and of chains of those.
+    """(doc_id, words, component_id, first) of one row for each different sequence of words, by its hash: classes of texts whose word shingles are at least `least` similar, and of chains of those. doc_id is the smallest id with these
+    words, component_id the smallest of the class, and first marks the one row of the class that has it (of two, the smaller hash). Rows without an id are left out; an id may stand in several rows, and each text is judged by itself. Null and empty texts are one
+    sequence; copies are one row; an empty table gives none.
 
     At that similarity whole fingerprints differ in about ten bits, past what an index of 64 bits can search. A first round joins what is cheap to find, so that large groups
     of near copies are one component before pairs are made: pairs linked by the index over whole fingerprints, and texts that share a segment of equal fingerprint, each with
     its group's first and last id, and differ in at most `far` bits as a whole. A second round is exact: all pairs of different components that the prefix filter leaves
-    (near_pairs). Every pair of both is checked on the shingle sets. Copies of one sequence of words are one entry with the smallest id."""
+    (near_pairs). Every pair of both is checked on the shingle sets."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
     often = rows.sparkSession.sparkContext.broadcast(frequent(rows, width))
 
@@ -345,26 +352,47 @@ def near_classes(docs: DataFrame, width: int = 5, least: float = 0.8, id_col: st
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "words", "fp", "n", "segments", "prefix", "bits"])
 
     made = rows.mapInArrow(run, "doc_id long, words binary, fp long, n long, segments array<long>, prefix array<long>, bits binary")
-    nodes = cut(made.groupBy("words").agg(F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in ("fp", "n", "segments", "prefix", "bits"))), "sketches")
-    each = nodes.select(F.explode("segments").alias("segment"), "doc_id", "fp", "n")
-    me = F.struct("doc_id", "fp", "n")
-    groups = each.groupBy("segment").agg(F.min(me).alias("low"), F.max(me).alias("high")).where("low.doc_id < high.doc_id")
-    shared = each.join(groups, "segment").select("doc_id", "fp", "n", F.explode(F.array("low", "high")).alias("o")).where("o.doc_id != doc_id")
+    nodes = made.groupBy("words").agg(F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in ("fp", "n", "segments", "prefix", "bits")))
+    nodes = cut(nodes.withColumn("node", F.monotonically_increasing_id()), "sketches")
+    each = nodes.select(F.explode("segments").alias("segment"), "node", "fp", "n")
+    me = F.struct("node", "fp", "n")
+    groups = each.groupBy("segment").agg(F.min(me).alias("low"), F.max(me).alias("high")).where("low.node < high.node")
+    shared = each.join(groups, "segment").select("node", "fp", "n", F.explode(F.array("low", "high")).alias("o")).where("o.node != node")
     near = (F.bit_count(F.col("fp").bitwiseXOR(F.col("o.fp"))) <= far) & (F.least("n", "o.n") >= least * F.greatest("n", "o.n"))
-    pairs = shared.where(near).select(F.least("doc_id", "o.doc_id").alias("a"), F.greatest("doc_id", "o.doc_id").alias("b"))
-    prints = nodes.groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
-    same = nodes.join(prints.withColumnRenamed("doc_id", "first"), "fp").where("doc_id != first").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
-    found = index_links(prints).select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"))
+    pairs = shared.where(near).select(F.least("node", "o.node").alias("a"), F.greatest("node", "o.node").alias("b"))
+    prints = nodes.groupBy("fp").agg(F.min("node").alias("node"))
+    same = nodes.join(prints.withColumnRenamed("node", "first"), "fp").where("node != first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    found = index_links(prints.withColumnRenamed("node", "doc_id")).select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"))
     pairs = cut(pairs.union(same).union(found).distinct(), "pairs")
-    stars = cut(connected_components(similar(pairs, rows, width, least), "a", "b"), "first")
-    of = nodes.select("doc_id", "n", "prefix", "bits").join(stars.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    more = similar(cut(near_pairs(of, least), "pairs"), rows, width, least)
+    stars = cut(connected_components(similar(pairs, nodes, rows, width, least), "a", "b"), "first")
+    of = nodes.select("node", "n", "prefix", "bits").join(stars, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    more = similar(cut(near_pairs(of, least), "pairs"), nodes, rows, width, least)
     stars = connected_components(stars.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more), "a", "b")
-    return nodes.select("doc_id").join(stars.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("component_id"))
+    out = cut(nodes.select("node", "doc_id", "words").join(stars, "node", "left").select("doc_id", "words", F.coalesce("component", "node").alias("component")), "classes")
+    least_of = out.groupBy("component").agg(F.min(F.struct("doc_id", "words")).alias("best"))
+    return out.join(least_of, "component").select("doc_id", "words", F.col("best.doc_id").alias("component_id"), (F.struct("doc_id", "words") == F.col("best")).alias("first"))
+
+
+def words_hash(text: str | None) -> bytes:
+    return xxhash.xxh3_128_digest(b" ".join(utf8(text).lower().split()))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each class of near-duplicates the rows with its smallest id; rows without an id stay. Repeated ids stand or fall together."""
-    kept = near_classes(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_kept"))
-    whole = docs.join(kept, docs["doc_id"] == kept["_kept"], "left_semi")
-    return whole.union(docs.where("doc_id is null")).select(*docs.columns)
+    """Keeps of each class of near-duplicates the rows with its smallest id and, among texts of that id, one sequence of words; rows without an id stay. Where an id stands in several rows, each is judged by its own words, so equal rows stand or fall together and others don't
+    depend on the order of rows."""
+    kept = cut(near_classes(docs).where("first").select(F.col("doc_id").alias("_kept"), F.col("words").alias("_words")), "kept")
+    known = docs.where("doc_id is not null")
+    again = cut(known.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again")), "repeated-ids")
+    # an id of one row is known by itself; of the rows of a repeated id the words decide
+    whole = known.join(again, known["doc_id"] == again["_again"], "left_anti")
+    whole = whole.join(kept.select("_kept"), whole["doc_id"] == kept["_kept"], "left_semi")
+    part = known.join(again, known["doc_id"] == again["_again"], "left_semi")
+    at = docs.columns.index("text")
+
+    def hashed(batches):
+        for b in in_blocks(batches):
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([words_hash(x) for x in b.column(at).to_pylist()], pa.binary())], [*b.schema.names, "_words_of_row"])
+
+    named = part.mapInArrow(hashed, T.StructType([*docs.schema.fields, T.StructField("_words_of_row", T.BinaryType())]))
+    part = named.join(kept, (named["doc_id"] == kept["_kept"]) & (named["_words_of_row"] == kept["_words"]), "left_semi").drop("_words_of_row")
+    return whole.union(part).union(docs.where("doc_id is null")).select(*docs.columns)
