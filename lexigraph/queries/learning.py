@@ -10,11 +10,14 @@ from lexigraph.functions import stats as S
 from lexigraph.functions import text as T
 from lexigraph.functions import vec as V
 from lexigraph.operators import density as D
+from lexigraph.operators import impute as I
 from lexigraph.operators import learning as L
+from lexigraph.operators import resampling as RS
 from lexigraph.operators import sequences as seqs
-from lexigraph.shared import new_path
+from lexigraph.operators import sweep as SW
+from lexigraph.shared import cut, new_path
 
-from .base import query, t
+from .base import draw, query, t
 from .vectors import transitions, units
 
 
@@ -64,10 +67,21 @@ def tabular(spark, d):
     )
 
 
+def _with_gaps(spark, d):
+    c = t(spark, d, "customer").select("c_custkey", "c_acctbal", F.col("c_nationkey").cast("double").alias("nation"))
+    return c.withColumn("target", F.when(F.col("c_custkey") % 5 != 0, F.col("c_acctbal") / 2 + F.col("nation"))).withColumn("c_acctbal", F.when(F.col("c_custkey") % 7 != 0, F.col("c_acctbal")))
+
+
 @query("m09_imputation_contest")
 def m09(spark, d):
-    x = t(spark, d, "customer").select("c_custkey", "c_acctbal", F.col("c_nationkey").cast("double").alias("nation"), F.when(F.col("c_custkey") % 5 != 0, F.col("c_acctbal") / 2 + F.col("c_nationkey")).alias("target"))
-    return L.impute_contest(x, "target", ["c_acctbal", "nation"], "c_custkey").select("method", F.round("rmse", 6).alias("rmse"))
+    """Root mean squared errors of four methods on masked known values, where a feature has gaps too."""
+    return I.contest(_with_gaps(spark, d), "target", ["c_acctbal", "nation"], "c_custkey")[0].select("method", F.round("rmse", 6).alias("rmse"), "best")
+
+
+@query("m09_best_fill")
+def m09b(spark, d):
+    """All customers, the gaps of the target filled by the method that wins."""
+    return I.contest(_with_gaps(spark, d), "target", ["c_acctbal", "nation"], "c_custkey")[1].select("c_custkey", F.round("target", 6).alias("target"))
 
 
 @query("j18_knn_imputer", """with x as (select c_custkey, c_acctbal a, c_nationkey::double b, case when c_custkey % 5 <> 0 then c_acctbal / 2 end target from customer),
@@ -109,6 +123,26 @@ def m12(spark, d):
     return spark.createDataFrame(rows, "survivors int, reg double, mae double")
 
 
+@query("m12_bayesian_sweep")
+def m12b(spark, d):
+    """A forest's settings by a surrogate and Hyperband brackets; a run's budget is its share of the rows, its score the weighted absolute percentage error of held-out rows."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import RandomForestRegressor
+
+    x = VectorAssembler(inputCols=["q", "disc", "tax"], outputCol="x").transform(tabular(spark, d)).select("x", "y", draw(F.col("id")).alias("h"))
+    x = cut(x.withColumn("test", F.col("h") % 5 == 0).withColumn("share", F.floor(F.col("h") / 5) % 1000), "sweep")
+
+    def score(s, budget):
+        model = RandomForestRegressor(featuresCol="x", labelCol="y", numTrees=s["trees"], maxDepth=s["depth"], minInstancesPerNode=s["leaf"], featureSubsetStrategy=s["features"], seed=42)
+        p = model.fit(x.where(~F.col("test") & (F.col("share") < 1000 * budget))).transform(x.where("test"))
+        return p.agg(F.try_divide(F.sum(F.abs(F.col("y") - F.col("prediction"))), F.sum(F.abs("y")))).first()[0] or 0.0
+
+    space = {"trees": SW.Range(2, 12, whole=True), "depth": SW.Range(2, 6, whole=True), "leaf": SW.Range(1, 10, whole=True), "features": ["sqrt", "log2"]}
+    runs = SW.sweep(space, score, least=1 / 3)
+    rows = [(i, r["bracket"], r["round"], r["budget"], *(r["setting"][c] for c in space), r["score"], r["kept"]) for i, r in enumerate(runs)]
+    return spark.createDataFrame(rows, "run int, bracket int, round int, budget double, trees int, depth int, leaf int, features string, wmape double, kept boolean")
+
+
 @query("m13_polynomial_ridge")
 def m13(spark, d):
     from pyspark.ml.feature import PolynomialExpansion, VectorAssembler
@@ -221,24 +255,12 @@ def i16c(spark, d):
 
 @query("i27_bias_variance")
 def i27(spark, d):
-    """Bias, variance and error of polynomial fits over bootstrap samples; a task fits one (degree, replicate) on a bounded sample of 500 rows."""
-    x = t(spark, d, "part").select("p_partkey", (F.col("p_size") / 50.0).alias("x"), (F.sin(F.col("p_size") / 8.0) + F.pmod(F.xxhash64("p_partkey"), F.lit(100)) / 200.0).alias("y")).orderBy(F.xxhash64("p_partkey"), "p_partkey").limit(500)
-    grid = spark.range(1, 7).select(F.col("id").cast("int").alias("degree")).crossJoin(spark.range(20).select(F.col("id").cast("int").alias("b")))
-
-    def run(pdf):
-        k, b = int(pdf["degree"].iloc[0]), int(pdf["b"].iloc[0])
-        pdf = pdf.sort_values("p_partkey")
-        pick = np.random.default_rng(b).integers(0, len(pdf), len(pdf))
-        at = np.linspace(0.05, 0.95, 19)
-        fit = np.polynomial.Polynomial.fit(pdf["x"].to_numpy()[pick], pdf["y"].to_numpy()[pick], k)
-        import pandas as pd
-
-        return pd.DataFrame({"degree": k, "b": b, "at": at, "pred": fit(at)})
-
-    p = x.crossJoin(F.broadcast(grid)).groupBy("degree", "b").applyInPandas(run, "degree int, b int, at double, pred double")
-    m = p.groupBy("degree", "at").agg(F.avg("pred").alias("m"), F.var_pop("pred").alias("v"))
-    bias = (F.col("m") - (F.sin(F.col("at") * 50 / 8.0) + 0.2475)) ** 2
-    return m.groupBy("degree").agg(F.round(F.avg(bias), 6).alias("bias2"), F.round(F.avg("v"), 6).alias("variance"), F.round(F.avg(bias + F.col("v")), 6).alias("mse"))
+    """Squared bias, variance and squared error of polynomials of degree 1 to 15 over 100 bootstrap replicates of seven tenths of the parts, against the others."""
+    y = F.sin(F.col("p_size") / 8.0) + F.pmod(F.xxhash64("p_partkey"), F.lit(100)) / 200.0
+    x = t(spark, d, "part").select(F.col("p_partkey").alias("id"), (F.col("p_size") / 50.0).alias("x"), y.alias("y"), (draw(F.col("p_partkey")) % 10 < 3).alias("test"))
+    rows = RS.bias_variance(x.where("not test"), x.where("test"), list(range(1, 16)), 100, alpha=1e-3)
+    out = spark.createDataFrame(rows, "degree int, bias2 double, variance double, mse double")
+    return out.select("degree", *(F.round(c, 6).alias(c) for c in ("bias2", "variance", "mse")))
 
 
 @query("i28_learning_curve", " union all ".join(f"select {k / 8}::double fraction, round(sqrt(avg((y - (s * q + i)) ** 2)), 4) rmse from (select l_quantity q, l_extendedprice y from lineitem where l_orderkey % 8 = 7), (select regr_slope(l_extendedprice, l_quantity) s, regr_intercept(l_extendedprice, l_quantity) i from lineitem where l_orderkey % 8 < {k})" for k in (1, 2, 4, 7)))

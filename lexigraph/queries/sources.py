@@ -7,8 +7,10 @@ import json
 from pyspark.sql import functions as F
 
 from lexigraph.functions import text as T
+from lexigraph.operators import audio as AU
 from lexigraph.operators import geometry as geo
 from lexigraph.shared import new_path
+from lexigraph.sources import copying as CP
 from lexigraph.sources import files as S
 from lexigraph.sources.rest import RestSource
 
@@ -141,6 +143,25 @@ def s16b(spark, d):
     return t(spark, d, "pages").select("page_id", F.substring(F.when(article != "", T.strip_tags(article)).otherwise(F.array_join(paragraphs, "\n")), 1, 8000).alias("text"))
 
 
+@query("s17_audio_features")
+def s17(spark, d):
+    """Features of sound over the bytes of each text as 8-bit samples."""
+    x = t(spark, d, "documents").select("doc_id", F.col("text").cast("binary").alias("samples"))
+    out = AU.scan(x, "doc_id", "samples", bits=8)
+    return out.select("doc_id", *(F.round(c, 6).alias(c) for c in AU.NAMES))
+
+
+@query("s22_store_copy", "select o_orderstatus, count(*) n, round(sum(o_totalprice), 2) total, true as whole from orders group by 1")
+def s22(spark, d):
+    """A table copied with a manifest, copied again with nothing to do, and read from its copy."""
+    source, target = new_path(spark, "s22-from"), new_path(spark, "s22-to")
+    t(spark, d, "orders").select("o_orderstatus", "o_totalprice").repartition(4).write.parquet(source)
+    first, again = CP.copy_table(spark, source, target), CP.copy_table(spark, source, target)
+    whole = first.agg(F.coalesce(F.every("copied"), F.lit(True)).alias("a")).crossJoin(again.agg((~F.coalesce(F.some("copied"), F.lit(False))).alias("b"))).select((F.col("a") & F.col("b")).alias("whole"))
+    back = spark.read.schema("o_orderstatus string, o_totalprice double").parquet(target)
+    return back.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total")).crossJoin(F.broadcast(whole))
+
+
 @query("s18_vector_collection", "select vec_id::varchar id, label, len(embedding) dim from embeddings")
 def s18(spark, d):
     path = new_path(spark, "s18")
@@ -182,7 +203,7 @@ def s24(spark, d):
     return spark.createDataFrame([(S.rss("orders", [tuple(r) for r in rows]),)], "xml string")
 
 
-@query("s25_model_save")
+@query("s25_model_save", "select c_custkey, (1 + (select count(distinct c_mktsegment) from customer))::int dim from customer")
 def s25(spark, d):
     from pyspark.ml import PipelineModel
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lexigraph.streaming import recent as R
 from lexigraph.streaming import windows as S
 
 from .base import query, t
@@ -52,6 +53,19 @@ def z05(spark, d):
     return S.run_to_end(spark, twice.dropDuplicatesWithinWatermark(["event_id"]).select("event_id")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("z06_last_rows_drift", """with r as (select event_type k, value, row_number() over (partition by event_type order by ts desc, event_id desc) rn from events where value is not null), q as (select k, quantile_cont(value, [0.2, 0.4, 0.6, 0.8]) q, count(*) total from r group by 1),
+    b as (select k, rn, (value >= q[1])::int + (value >= q[2])::int + (value >= q[3])::int + (value >= q[4])::int bin, total from r join q using (k)), s as (select k, least(any_value(total), 1000) n, any_value(total) total from b group by 1),
+    c as (select k, u.bin, coalesce(nullif(count(*) filter (b.bin = u.bin), 0), 0.5) / any_value(total) e, coalesce(nullif(count(*) filter (b.bin = u.bin and rn <= 1000), 0), 0.5) / any_value(n) o from b join s using (k, total), unnest(range(0, 5)) u(bin) group by 1, 2)
+    select k event_type, any_value(n)::bigint n, round(sum((o - e) * ln(o / e)), 6) psi from c join s using (k) group by 1""")
+def z06(spark, d):
+    """Drift of each type's last 1000 events, as a stream keeps them, against all of its events."""
+    table = t(spark, d, "events")
+    stream = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(f"{d}/events.parquet*")
+    kept = R.merged(R.states(spark, lambda: R.last_rows(stream, "event_type", "ts", "event_id", "value")))
+    reference = table.select(F.col("event_type").alias("key"), "value").where("value is not null")
+    return R.drift(kept, reference).select(F.col("key").alias("event_type"), "n", F.round("psi", 6).alias("psi"))
+
+
 @query("a39_term_counts", "select term, count(*) n from (select unnest(string_split(p_name, ' ')) term from part) group by 1 order by term")
 def a39(spark, d):
     return t(spark, d, "part").select(F.explode(F.split("p_name", " ")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n")).orderBy("term")
