@@ -7,15 +7,16 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexigraph.operators.order import running
+
 
 def average_rank(df: DataFrame, col: str, out: str, by: list[str] | None = None) -> DataFrame:
-    """Rank with the mean of tied places. A global rank (no `by`) is taken over distinct values with their counts, so one task only sees those."""
+    """Rank with the mean of tied places. A global rank (no `by`) is a running sum over the counts of distinct values, by ranges of them."""
     if by:
         w, ties = Window.partitionBy(*by).orderBy(col), Window.partitionBy(*by, col)
         return df.withColumn(out, F.rank().over(w) + (F.count(F.lit(1)).over(ties) - 1) / 2)
     counts = df.groupBy(col).agg(F.count(F.lit(1)).alias("_n"))
-    upto = Window.orderBy(col).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranks = counts.withColumn("_upto", F.sum("_n").over(upto)).select(F.col(col).alias("_v"), (F.col("_upto") - (F.col("_n") - 1) / 2).alias(out))
+    ranks = running(counts, [col], _upto=F.col("_n")).select(F.col(col).alias("_v"), (F.col("_upto") - (F.col("_n") - 1) / 2).alias(out))
     return df.join(ranks, df[col].eqNullSafe(ranks["_v"])).drop("_v")
 
 

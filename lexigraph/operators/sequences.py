@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexigraph.functions import vec as V
+from lexigraph.shared import cut
+
+from . import metric
 
 
 def numbered(df: DataFrame, group: str, order: str, vector: str) -> DataFrame:
@@ -24,15 +29,60 @@ def pairs(e: DataFrame, reach: int | None = None) -> DataFrame:
     return p.select("g", "id", F.col("pos").alias("p"), "id2", "q", V.dot(F.col("u"), F.col("u2")).alias("sim"))
 
 
-def attention_windows(e: DataFrame, theta: list[float], inclusive: bool = True, pair_table: DataFrame | None = None) -> DataFrame:
-    """(theta, g, id, pos, window): how many following rows stay similar to the row itself before the first that does not. The similarities are computed once for
-    all thresholds; each threshold is one conditional minimum of the same aggregate."""
-    p = pairs(e) if pair_table is None else pair_table
-    breaks = [(F.col("sim") < x) if inclusive else (F.col("sim") <= x) for x in theta]
-    first = p.groupBy("g", "id").agg(*(F.min(F.when(b, F.col("q"))).alias(f"b{i}") for i, b in enumerate(breaks)))
-    n = F.count(F.lit(1)).over(W.partitionBy("g"))
-    rows = e.select("g", "id", "pos", n.alias("n")).join(first, ["g", "id"], "left")
-    each = F.explode(F.array(*(F.struct(F.lit(float(x)).alias("theta"), (F.coalesce(F.col(f"b{i}"), F.col("n") + 1) - F.col("pos") - 1).alias("window")) for i, x in enumerate(theta))))
+#: Rows of a block, and blocks ahead that a round looks at, at most.
+BLOCK, AHEAD = 512, 16
+
+
+def attention_windows(e: DataFrame, theta: list[float], inclusive: bool = True, block: int = BLOCK) -> DataFrame:
+    """(theta, g, id, pos, window): how many following rows stay similar to the row itself before the first that does not; a similarity is unknown, and breaks nothing, where lengths differ. Each row scans forward: first its own block of rows, then, in rounds that look further
+    ahead each time, only rows that no later row has broken for some threshold yet, so the work follows the windows' lengths. A threshold of -1 or less breaks nothing if inclusive. e(g, id, pos from 1, u); null groups are a group."""
+    bounds = sorted(set(map(float, theta)))
+    tested = [x for x in bounds if x > -1 or not inclusive]
+    dealt = cut(e.select("g", "id", "pos", "u", F.floor((F.col("pos") - 1) / block).alias("blk")), "sequence")
+    kind = {c: dealt.schema[c].dataType.simpleString() for c in ("g", "id")}
+    schema = f"g {kind['g']}, id {kind['id']}, pos long, " + ", ".join(f"b{i} long" for i in range(len(tested)))
+
+    def scan(left, right):
+        if not len(left) or not len(right):
+            return pa.table({**{c: left[c].slice(0, 0) for c in ("g", "id", "pos")}, **{f"b{i}": pa.array([], pa.int64()) for i in range(len(tested))}})
+        right = right.sort_by("q")
+        (x, n), (y, m), p, q = metric.matrix(left["u"]), metric.matrix(right["v"]), left["pos"].to_numpy(), right["q"].to_numpy()
+        firsts = [[] for _ in tested]
+        for lo in range(0, len(p), BLOCK):
+            s = metric.cosine((x[lo : lo + BLOCK], n[lo : lo + BLOCK]), (y, m))
+            later = q > p[lo : lo + BLOCK, None]
+            for i, t in enumerate(tested):
+                broken = later & ((s < t) if inclusive else (s <= t))
+                firsts[i].append(np.where(broken.any(axis=1), q[broken.argmax(axis=1)], -1))
+        cols = {f"b{i}": np.concatenate(f) for i, f in enumerate(firsts)}
+        return pa.table({"g": left["g"], "id": left["id"], "pos": left["pos"], **{c: pa.array(v, mask=v < 0) for c, v in cols.items()}})
+
+    # keyed by text, so that null groups meet too
+    key = F.coalesce(F.concat(F.lit("="), F.col("g").cast("string")), F.lit(""))
+    targets = dealt.select(key.alias("k"), F.col("blk").alias("to"), F.col("pos").alias("q"), F.col("u").alias("v"))
+    first = [F.min(f"b{i}").alias(f"b{i}") for i in range(len(tested))]
+    active, lo, reach, rounds = dealt, 0, 1, None
+    last = dealt.groupBy("g").agg(F.max("blk").alias("last"), F.max("pos").alias("n"))
+    while tested:
+        ahead = active.join(last.select(F.col("g").alias("g_"), "last"), F.col("g").eqNullSafe(F.col("g_"))).drop("g_")
+        ahead = ahead.withColumn("to", F.explode(F.sequence(F.col("blk") + lo, F.least(F.col("blk") + lo + reach - 1, F.greatest("last", F.col("blk") + lo))))).where("to <= last")
+        ahead = ahead.select("g", "id", "pos", "u", key.alias("key"), F.col("to").alias("tgt"))
+        met = ahead.groupBy("key", "tgt").cogroup(targets.groupBy("k", "to")).applyInArrow(scan, schema)
+        found = cut(met.groupBy("g", "id", "pos").agg(*first), "breaks")
+        rounds = found if rounds is None else rounds.union(found)
+        lo, reach = lo + reach, min(2 * reach, AHEAD)
+        missing = found.where(" or ".join(f"b{i} is null" for i in range(len(tested)))).select(F.col("g").alias("g_"), F.col("pos").alias("p_"))
+        still = active.join(missing, F.col("g").eqNullSafe(F.col("g_")) & (F.col("pos") == F.col("p_")), "left_semi")
+        still = still.join(last.select(F.col("g").alias("g_"), "last"), F.col("g").eqNullSafe(F.col("g_")) & (F.col("blk") + lo <= F.col("last")), "left_semi")
+        active = cut(still, "unbroken")
+        if active.isEmpty():
+            break
+    rows = dealt.select("g", "id", "pos").join(last.select(F.col("g").alias("g_"), "n"), F.col("g").eqNullSafe(F.col("g_"))).drop("g_")
+    if tested:
+        breaks = rounds.groupBy("g", "pos").agg(*first).withColumnsRenamed({"g": "g_", "pos": "p_"})
+        rows = rows.join(breaks, F.col("g").eqNullSafe(F.col("g_")) & (F.col("pos") == F.col("p_")), "left")
+    end = lambda x: F.coalesce(F.col(f"b{tested.index(x)}"), F.col("n") + 1) if x in tested else F.col("n") + 1
+    each = F.explode(F.array(*(F.struct(F.lit(x).alias("theta"), (end(x) - F.col("pos") - 1).alias("window")) for x in map(float, theta))))
     return rows.select("g", "id", "pos", each.alias("s")).select("s.theta", "g", "id", "pos", "s.window")
 
 

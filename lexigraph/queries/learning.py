@@ -43,7 +43,7 @@ def m02(spark, d):
 
 @query("m03_lda_topics")
 def m03(spark, d):
-    x = t(spark, d, "documents").where("lang = 'en'").select("doc_id", "source", T.tokens(F.col("text")).alias("tokens"))
+    x = t(spark, d, "documents").select("doc_id", "source", T.tokens(F.col("text")).alias("tokens"))
     return L.lda_topics(x, "tokens", 5).select("source", "doc_id", "topic")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lexigraph.functions import text as T
 from lexigraph.operators import fuzzy as Z
-from lexigraph.operators.order import places, running
+from lexigraph.operators.order import places, quantiles, running
 
 from .base import draw, draw_sql, query, t
 
@@ -66,7 +66,7 @@ def p09(spark, d):
 @query("p10_null_fill_median", f"with a as (select c_custkey, {GAPS} x from customer) select c_custkey, coalesce(x, (select median(x) from a), 1) x from a")
 def p10(spark, d):
     a = t(spark, d, "customer").select("c_custkey", F.expr(GAPS).alias("x"))
-    return a.crossJoin(F.broadcast(a.agg(F.median("x").alias("m")))).select("c_custkey", F.coalesce("x", "m", F.lit(1.0)).alias("x"))
+    return a.crossJoin(F.broadcast(quantiles(a, "x", [0.5]))).select("c_custkey", F.coalesce("x", F.col("q")[0], F.lit(1.0)).alias("x"))
 
 
 @query("p11_numeric_coercion", "select o_orderkey, try_cast(left(o_orderpriority, 1) as double) prio, try_cast(o_orderpriority as double) bad from orders")
@@ -248,7 +248,9 @@ def a04(spark, d):
     round(quantile_cont(l_extendedprice, 0.5), 4) q50, round(quantile_cont(l_extendedprice, 0.75), 4) q75, max(l_extendedprice) hi from lineitem group by 1""")
 def a05(spark, d):
     x = "l_extendedprice"
-    out = t(spark, d, "lineitem").groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(x), 4).alias("mean"), F.round(F.stddev_samp(x), 4).alias("std"), F.min(x).alias("lo"), F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.max(x).alias("hi"))
+    rows = t(spark, d, "lineitem").select("l_returnflag", x)
+    out = rows.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(x), 4).alias("mean"), F.round(F.stddev_samp(x), 4).alias("std"), F.min(x).alias("lo"), F.max(x).alias("hi"))
+    out = out.join(quantiles(rows, x, [0.25, 0.5, 0.75], ["l_returnflag"]), "l_returnflag")
     return out.select("l_returnflag", "n", "mean", "std", "lo", *(F.round(F.col("q")[i], 4).alias(a) for i, a in enumerate(("q25", "q50", "q75"))), "hi")
 
 

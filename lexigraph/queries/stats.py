@@ -11,7 +11,7 @@ from lexigraph.functions import stats as S
 from lexigraph.functions import vec as V
 from lexigraph.operators import geometry as geo
 from lexigraph.operators import sequences as seqs
-from lexigraph.operators.order import places, running
+from lexigraph.operators.order import places, quantiles, running
 
 from .base import draw, draw_sql, query, t
 from .vectors import EDGES, KIND, U, E, P, seq, transitions, units
@@ -157,16 +157,12 @@ def gap(rows, keys):
 def i06(spark, d):
     """Mean attention window against that of shuffled orders of each group."""
     e = seq(spark, d)
-    pairs = seqs.pairs(e)
-    sims = pairs.select("g", F.col("id").alias("a"), F.col("id2").alias("b"), "sim")
-    sims = sims.union(sims.select("g", "b", "a", "sim"))
-    observed = seqs.attention_windows(e, [0.0], pair_table=pairs).agg(F.avg("window").alias("m"))
+    observed = seqs.attention_windows(e, [0.0]).agg(F.avg("window").alias("m"))
     perm = permuted(e.select("g", "pos", "id"), "g", "pos", "id", 20)
-    a, b = perm.select("perm", "g", F.col("id").alias("a"), F.col("pos").alias("p")), perm.select("perm", "g", F.col("id").alias("b"), F.col("pos").alias("q"))
-    broken = sims.where("sim < 0").join(a, ["g", "a"]).join(b, ["perm", "g", "b"]).where("q > p").groupBy("perm", "g", "p").agg(F.min("q").alias("fb"))
-    n = e.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
-    w = a.join(n, "g").join(broken, ["perm", "g", "p"], "left").select("perm", (F.coalesce("fb", F.col("n") + 1) - F.col("p") - 1).alias("w"))
-    return verdict(w.groupBy("perm").agg(F.avg("w").alias("m")), observed, "m")
+    # each shuffled group is a sequence of its own, scanned forward like the observed ones
+    shuffled = perm.join(e.select("g", "id", "u"), ["g", "id"]).select(F.concat_ws("/", "perm", "g").alias("g"), "id", "pos", "u")
+    w = seqs.attention_windows(shuffled, [0.0]).select(F.substring_index("g", "/", 1).cast("long").alias("perm"), "window")
+    return verdict(w.groupBy("perm").agg(F.avg("window").alias("m")), observed, "m")
 
 
 @query("i07_permute_labels", f"""with {KIND}, obs as (select {GAP} o from a where sim is not null), {permuted_sql('e', 'label', 'pos', 'kind', 200)},
@@ -345,7 +341,7 @@ def i25(spark, d):
     select round(sum((o - e) * ln(o / e)), 6) psi from n""")
 def i26(spark, d):
     x = t(spark, d, "lineitem").select((F.col("l_orderkey") % 2 == 0).alias("a"), F.col("l_quantity").alias("v"))
-    q = x.where("a").agg(F.percentile("v", F.array(*(F.lit(k / 5) for k in range(6)))).alias("q"))
+    q = quantiles(x.where("a"), "v", [k / 5 for k in range(6)])
     v, e = F.col("v"), F.col("q")
     k = F.when((v < e[0]) | (v > e[5]), None).when(v < e[1], 1).when(v < e[2], 2).when(v < e[3], 3).when(v < e[4], 4).otherwise(5)
     total = x.agg(F.count(F.when(F.col("a"), 1)).alias("na"), F.count(F.when(~F.col("a"), 1)).alias("nb"))
@@ -356,7 +352,13 @@ def i26(spark, d):
 
 @query("i31_period_drift", f"with {U}, p as (select *, ntile(3) over (order by vec_id) third from u), c as (select third, list(x order by i) c from (select third, i, avg(x) x from (select third, unnest(u) x, unnest(generate_series(1, len(u))) i from p) group by all) group by 1) select i, round(b.x - a.x, 6) drift from (select unnest(c) x, unnest(generate_series(1, 64)) i from c where third = 1) a join (select unnest(c) x, unnest(generate_series(1, 64)) i from c where third = 3) b using (i) order by abs(round(b.x - a.x, 6)) desc, i limit 10")
 def i31(spark, d):
-    e = units(spark, d).withColumn("third", F.ntile(3).over(W.orderBy("id")))
+    e = units(spark, d)
+    n = e.count()
+    # thirds by place; the first ones are one longer where the count is no multiple
+    long_, size = n % 3, n // 3
+    place = F.col("place")
+    third = F.when(place <= long_ * (size + 1), F.floor((place - 1) / (size + 1))).otherwise(long_ + F.floor((place - 1 - long_ * (size + 1)) / max(1, size))) + 1
+    e = places(e, "id").withColumn("third", third)
     c = V.mean_vector(e.where("third in (1, 3)"), ["third"], "u", "c")
     p = c.agg(F.max(F.when(F.col("third") == 1, F.col("c"))).alias("a"), F.max(F.when(F.col("third") == 3, F.col("c"))).alias("b"))
     x = p.select(F.posexplode(V.minus(F.col("b"), F.col("a"))).alias("k", "x")).select((F.col("k") + 1).cast("long").alias("i"), F.round("x", 6).alias("drift"))
@@ -378,6 +380,7 @@ def a41(spark, d):
 @query("a42_batch_monitoring", "select event_type, count(*) n, round(avg(value), 6) mean, round(stddev_pop(value), 6) std, round(max(value) - min(value), 6) width, round(quantile_cont(value, 0.05), 6) p05, round(median(value), 6) med, round(quantile_cont(value, 0.95), 6) p95 from events group by 1")
 def a42(spark, d):
     v = "value"
-    q = F.percentile(v, F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)))
-    m = t(spark, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(v), 6).alias("mean"), F.round(F.stddev_pop(v), 6).alias("std"), F.round(F.max(v) - F.min(v), 6).alias("width"), q.alias("q"))
+    rows = t(spark, d, "events").select("event_type", v)
+    m = rows.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(v), 6).alias("mean"), F.round(F.stddev_pop(v), 6).alias("std"), F.round(F.max(v) - F.min(v), 6).alias("width"))
+    m = m.join(quantiles(rows, v, [0.05, 0.5, 0.95], ["event_type"]), "event_type")
     return m.select("event_type", "n", "mean", "std", "width", *(F.round(F.col("q")[i], 6).alias(a) for i, a in enumerate(("p05", "med", "p95"))))

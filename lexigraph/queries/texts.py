@@ -44,9 +44,9 @@ def f04(spark, d):
     return t(spark, d, "documents").select("doc_id", T.clean_prose(F.col("text")).alias("x"))
 
 
-@query("f05_normal_text", f"select doc_id, md5(trim(regexp_replace(lower(text), '{WS}', ' ', 'g'))) h from documents where lang = 'en'")
+@query("f05_normal_text", f"select doc_id, md5(trim(regexp_replace(lower(text), '{WS}', ' ', 'g'))) h from documents")
 def f05(spark, d):
-    return t(spark, d, "documents").where("lang = 'en'").select("doc_id", F.md5(F.trim(F.regexp_replace(F.lower("text"), WS, " "))).alias("h"))
+    return t(spark, d, "documents").select("doc_id", F.md5(F.trim(F.regexp_replace(F.lower("text"), WS, " "))).alias("h"))
 
 
 @query("f06_word_count", f"select doc_id, len({WORDS}) n_words from documents")

@@ -9,7 +9,7 @@ from lexigraph.functions import vec as V
 from lexigraph.operators import geometry as G
 from lexigraph.operators import metric as M
 from lexigraph.operators import sequences as S
-from lexigraph.operators.order import places
+from lexigraph.operators.order import places, quantiles
 
 from .base import draw, draw_sql, query, t
 
@@ -131,7 +131,7 @@ def w11(spark, d):
 @query("w12_quantile_buckets", "with q as (select quantile_cont(o_totalprice, [0.25, 0.5, 0.75]) q from orders) select o_orderkey, case when o_totalprice <= q[1] then 0 when o_totalprice <= q[2] then 1 when o_totalprice <= q[3] then 2 else 3 end bucket from orders, q")
 def w12(spark, d):
     o = t(spark, d, "orders").select("o_orderkey", "o_totalprice")
-    q = o.agg(F.percentile("o_totalprice", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    q = quantiles(o, "o_totalprice", [0.25, 0.5, 0.75])
     x = F.col("o_totalprice")
     return o.crossJoin(F.broadcast(q)).select("o_orderkey", F.when(x <= F.col("q")[0], 0).when(x <= F.col("q")[1], 1).when(x <= F.col("q")[2], 2).otherwise(3).alias("bucket"))
 
