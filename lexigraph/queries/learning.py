@@ -208,22 +208,26 @@ def m19(spark, d):
 
 @query("i17_logit")
 def i17(spark, d):
+    """Breaks by switch alone (M1), and with the place, its square and the kinds of both rows as dummies (M2)."""
     from pyspark.ml.feature import RFormula
     from pyspark.ml.regression import GeneralizedLinearRegression
 
-    e = transitions(spark, d).select((F.col("sim") < 0.0).cast("double").alias("broken"), (F.col("kind") != F.col("kind2")).cast("double").alias("sw"), ((F.col("pos") - 0.5) / (F.col("n") - 1)).alias("rel")).na.drop()
-    x = RFormula(formula="broken ~ sw + rel + rel2").fit(e.withColumn("rel2", F.col("rel") ** 2)).transform(e.withColumn("rel2", F.col("rel") ** 2))
-    m = GeneralizedLinearRegression(family="binomial", maxIter=25).fit(x)
-    s = m.summary
-    rows = list(zip(["sw", "rel", "rel2", "1"], [*map(float, m.coefficients), float(m.intercept)], map(float, s.coefficientStandardErrors), map(float, s.pValues), strict=True))
-    return spark.createDataFrame(rows, "term string, beta double, se double, p double")
+    e = transitions(spark, d).select((F.col("sim") < 0.0).cast("double").alias("broken"), (F.col("kind") != F.col("kind2")).cast("double").alias("sw"), ((F.col("pos") - 0.5) / (F.col("n") - 1)).alias("rel"), F.col("kind").cast("string").alias("kind"), F.col("kind2").cast("string").alias("kind2"))
+    e, out = e.withColumn("rel2", F.col("rel") ** 2).na.drop(), []
+    for name, right in (("M1", "sw"), ("M2", "sw + rel + rel2 + kind + kind2")):
+        x = RFormula(formula=f"broken ~ {right}").fit(e).transform(e)
+        attributes = x.schema["features"].metadata["ml_attr"]["attrs"]
+        terms = [a["name"] for a in sorted((a for kind in attributes.values() for a in kind), key=lambda a: a["idx"])]
+        m = GeneralizedLinearRegression(family="binomial", maxIter=25).fit(x)
+        out += list(zip([name] * (len(terms) + 1), [*terms, "1"], [*map(float, m.coefficients), float(m.intercept)], map(float, m.summary.coefficientStandardErrors), map(float, m.summary.pValues), strict=True))
+    return spark.createDataFrame(out, "model string, term string, beta double, se double, p double")
 
 
 @query("i20_odds_ratios")
 def i20(spark, d):
     c = i17(spark, d)
     e = F.exp("beta")
-    return c.select("term", F.round(e, 6).alias("odds"), F.round(F.exp(F.col("beta") - 1.959964 * F.col("se")), 6).alias("lo"), F.round(F.exp(F.col("beta") + 1.959964 * F.col("se")), 6).alias("hi"))
+    return c.select("model", "term", F.round(e, 6).alias("odds"), F.round(F.exp(F.col("beta") - 1.959964 * F.col("se")), 6).alias("lo"), F.round(F.exp(F.col("beta") + 1.959964 * F.col("se")), 6).alias("hi"))
 
 
 def _clustered(spark, d):
