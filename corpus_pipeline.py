@@ -1,5 +1,8 @@
 """The corpus pipeline: toxic documents go, one of each group of near-duplicates stays, repeated passages are cut out, documents with benchmark passages go,
-and what is left is encoded. Each stage reads the table that the one before it wrote."""
+and what is left is encoded. Each stage reads the table that the one before it wrote.
+
+Rows are judged by their texts. A null text counts as an empty one and stays null; empty texts are one group of near-duplicates, whose smallest id stays; very long texts are read whole. Rows without an id are never dropped as near-duplicates; rows of a repeated id are
+judged one by one, and equal rows stand or fall together. Of passages that repeat, the place of the smallest id keeps the text. An empty table gives an empty one. All stages but the last keep the columns they get, whatever their names; the last gives samples for text."""
 
 from __future__ import annotations
 

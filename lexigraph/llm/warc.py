@@ -2,7 +2,7 @@
 
 Writer: one gzip member per record. Rows with equal payloads form a group; the smallest page_id
 is the response, the others are revisits that refer to it and carry no payload of their own (their HTTP
-header keeps the length). Null html is the empty payload; a null page_id is written with an empty id and never
+header keeps the length). An empty table gives no files and no records; a very long payload is one record, held whole by the task that writes or reads it; other columns are not read. Null html is the empty payload; a null page_id is written with an empty id and never
 serves as a group's response while another id exists. Repeated rows with the smallest id are all responses.
 
 Reader: the files are cut into byte ranges. A task looks for the gzip magic in its range, accepts a candidate
@@ -125,8 +125,9 @@ def parse(raw: bytes) -> dict:
     for line in head.decode("utf-8", "replace").split("\r\n")[1:]:
         k, _, v = line.partition(":")
         fields.setdefault(k.strip().lower(), v.strip())
-    length = int(fields.get("content-length") or 0)
-    block = rest[:length]
+    stated = fields.get("content-length") or "0"
+    length = int(stated) if re.fullmatch("[0-9]{1,18}", stated) else -1  # what is no number is no length, and the record not sound
+    block = rest[: max(length, 0)]
     http, _, payload = block.partition(b"\r\n\r\n")
     said = re.search(rb"(?im)^content-length:[ \t]*(\d+)", http)
     kind = fields.get("warc-type", "")

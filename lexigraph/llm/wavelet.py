@@ -7,6 +7,7 @@ no more of the file. A file also has its documents' ids and sizes, so that it is
 
 Rows are dealt by ranges of doc_id and sorted (nulls first, repeated ids by text), so the shards in order hold the documents in ascending
 order. A null or empty text is its end id alone. A shard holds whole documents, as many as fit in `shard` ids and always one.
+Equal rows are documents of their own, one after the other. An empty table gives no file and no row; a very long text is read in pieces; other columns are not read.
 """
 
 from __future__ import annotations

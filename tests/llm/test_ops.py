@@ -543,3 +543,24 @@ def test_toxicity_is_fitted_on_the_share_of_toxic_rows(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "Model", lambda rows: [y for _, y in rows])
     fitted = toxicity.train(docs, docs.select("doc_id", "toxic"), most=1500)
     assert 1200 < len(fitted) < 1800 and 0.08 < sum(fitted) / len(fitted) < 0.12
+
+
+@pytest.mark.parametrize("length", ["many", "-5", "1e3", "9" * 30, "²"])
+def test_a_record_of_no_length_is_not_sound(length):
+    raw = warc.record("response", "1", "http://a/", warc.digest32(b"x"), 1, b"x", None)
+    head, _, rest = raw.partition(b"\r\n\r\n")
+    lines = [line if not line.startswith(b"Content-Length:") else f"Content-Length: {length}".encode() for line in head.split(b"\r\n")]
+    found = warc.parse(b"\r\n".join(lines) + b"\r\n\r\n" + rest)
+    assert not found["sound"] and found["payload"] == b"" and found["record_id"] == "1" and warc.parse(raw)["sound"]
+
+
+def test_tables_of_files_with_clashing_columns(spark, docs, empty):
+    """Columns that the writers use themselves, in op7 and op10."""
+    clash = docs.select("doc_id", "text", F.lit("x").alias("ids"), F.lit(1).alias("shard"), F.lit("y").alias("path"))
+    assert wavelet.read_documents(spark, wavelet.write_shards(clash, wavelet.new_path(spark, "t"))).count() == docs.count()
+    pages = docs.select(F.col("doc_id").alias("page_id"), F.lit("http://a/b").alias("url"), F.col("text").alias("html"), F.lit("z").alias("body"), F.lit("s").alias("sha"), F.lit(1).alias("first_id"))
+    from lexigraph.llm.common import new_path
+
+    files = warc.write_warc(pages, new_path(spark, "clash"))
+    assert warc.read_warc(spark, files).count() == docs.count()
+    assert warc.read_warc(spark, warc.write_warc(pages.where("false"), new_path(spark, "none"))).count() == 0
