@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lexigraph.operators import udfs as X
 
 from .base import query, t
+from .vectors import CENT, U
 
 
 @query("x01_scalar_function", "select doc_id, length(trim(lower(text))) n from documents")
@@ -65,7 +66,7 @@ def x07(spark, d):
     return X.batched_call(t(spark, d, "benchmark"), "item_id", "text", lambda texts: [x[:20] for x in texts])
 
 
-@query("x08_fitted_transformer")
+@query("x08_fitted_transformer", f"with {U}, {CENT}, a as (select list(c order by label) cs from c) select vec_id, " + ", ".join(f"round(list_cosine_similarity(u, cs[{k + 1}]), 6) similarity_{k}" for k in range(10)) + " from u, a")
 def x08(spark, d):
     e = t(spark, d, "embeddings")
     m = X.GroupSimilarity("embedding", "label").fit(e)

@@ -15,7 +15,7 @@ from lexigraph.sources import files as S
 from lexigraph.sources.rest import RestSource
 
 from .base import query, t
-from .vectors import units
+from .vectors import KNN, units
 
 NATION = "n_nationkey int, n_name string, n_regionkey int"
 
@@ -175,7 +175,7 @@ def s19(spark, d):
     return t(spark, d, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
-@query("s20_gexf")
+@query("s20_gexf", f"with {KNN} select (select count(*) from embeddings) n_nodes, count(*) n_edges from (select distinct least(i, j), greatest(i, j) from knn where rnk <= 3)")
 def s20(spark, d):
     e = units(spark, d)
     path = new_path(spark, "s20")
@@ -197,7 +197,8 @@ def s23(spark, d):
     return S.read_json(spark, path, "page_id long, url string, n long")
 
 
-@query("s24_feed")
+@query("s24_feed", """select '<rss version="2.0"><channel><title>orders</title>' || string_agg('<item><title>' || o_orderkey || '</title><link>/orders/' || o_orderkey || '</link><pubDate>' || strftime(o_orderdate, '%Y-%m-%d') || '</pubDate></item>', '' order by o_orderdate desc, o_orderkey) || '</channel></rss>' xml
+    from (select * from orders order by o_orderdate desc, o_orderkey limit 20)""")
 def s24(spark, d):
     rows = t(spark, d, "orders").orderBy(F.desc("o_orderdate"), "o_orderkey").limit(20).select(F.col("o_orderkey").cast("string"), F.concat(F.lit("/orders/"), "o_orderkey"), F.date_format("o_orderdate", "yyyy-MM-dd")).collect()
     return spark.createDataFrame([(S.rss("orders", [tuple(r) for r in rows]),)], "xml string")

@@ -39,7 +39,12 @@ def f03(spark, d):
     return lines.where((F.length(F.trim("line_text")) >= 2) & ~F.col("line_text").rlike("^[^a-zA-ZÀ-ÿ0-9]+$")).select("doc_id", F.col("line_num").cast("long").alias("line_num"), "line_text")
 
 
-@query("f04_clean_prose")
+_PROSE = "text"
+for _pattern, _to in ((r"\[[^\]]*\]", " "), ("-{3,}", " "), (r"[ \t\r\n]+", " "), ("_", ""), ("<[^>]+>", " "), ('["“”]', ""), (r"\*[ *]*\*", " "), (" {2,}", " ")):
+    _PROSE = f"regexp_replace({_PROSE}, '{_pattern}', '{_to}', 'g')"
+
+
+@query("f04_clean_prose", f"select doc_id, trim({_PROSE}, ' ') x from documents")
 def f04(spark, d):
     return t(spark, d, "documents").select("doc_id", T.clean_prose(F.col("text")).alias("x"))
 
@@ -117,7 +122,8 @@ def f13(spark, d):
     return lines.select("doc_id", "pos", T.detect_first(F.col("line")).alias("lang"))
 
 
-@query("f14_sentences")
+@query("f14_sentences", f"""with s as (select doc_id, list_filter(string_split(regexp_replace(text, '([.!?])[ \\n]+([A-ZÁÉÍÓÚÑÄÖÜÀÈÊÇ])', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda x: length(x) between 25 and 400 and len(list_filter(string_split_regex(x, '[ \\t\\n\\r]+'), lambda w: w <> '')) >= 5) s from documents)
+    select doc_id, unnest(range(0, len(s)))::int pos, unnest(s) sentence from s""")
 def f14(spark, d):
     return t(spark, d, "documents").select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("pos", "sentence"))
 

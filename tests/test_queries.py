@@ -43,7 +43,7 @@ def test_matches_sql(spark, db, name):
     assert got == want
 
 
-@pytest.mark.parametrize("name", ["f04_clean_prose", "f14_sentences", "g05_average_path", "g10_louvain", "i07_permute_labels", "i17_logit", "i18_gee", "i19_mixed_model", "i20_odds_ratios", "m04_density_topics", "m07_pca_axis", "s10_npy_matrix", "s20_gexf", "t10_seeded_sample"])
+@pytest.mark.parametrize("name", ["f04_clean_prose", "f14_sentences", "g05_average_path", "g10_louvain", "i07_permute_labels", "i17_logit", "i18_gee", "i19_mixed_model", "i20_odds_ratios", "m04_density_topics", "m07_pca_axis", "s10_npy_matrix", "s17_audio_features", "i27_bias_variance", "m06_tfidf_components", "m09_best_fill", "m12_bayesian_sweep", "t10_seeded_sample"])
 def test_runs(spark, name):
     df = QUERIES[name](spark, SF)
     assert df.columns and df.count() >= 1
