@@ -354,13 +354,13 @@ def near_classes(docs: DataFrame, width: int = 5, least: float = 0.8, id_col: st
     made = rows.mapInArrow(run, "doc_id long, words binary, fp long, n long, segments array<long>, prefix array<long>, bits binary")
     nodes = made.groupBy("words").agg(F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in ("fp", "n", "segments", "prefix", "bits")))
     nodes = cut(nodes.withColumn("node", F.monotonically_increasing_id()), "sketches")
-    each = nodes.select(F.explode("segments").alias("segment"), "node", "fp", "n")
-    me = F.struct("node", "fp", "n")
-    groups = each.groupBy("segment").agg(F.min(me).alias("low"), F.max(me).alias("high")).where("low.node < high.node")
+    each = nodes.select(F.explode("segments").alias("segment"), "doc_id", "node", "fp", "n")
+    me = F.struct("doc_id", "node", "fp", "n")
+    groups = each.groupBy("segment").agg(F.min(me).alias("low"), F.max(me).alias("high")).where("low.node != high.node")
     shared = each.join(groups, "segment").select("node", "fp", "n", F.explode(F.array("low", "high")).alias("o")).where("o.node != node")
     near = (F.bit_count(F.col("fp").bitwiseXOR(F.col("o.fp"))) <= far) & (F.least("n", "o.n") >= least * F.greatest("n", "o.n"))
     pairs = shared.where(near).select(F.least("node", "o.node").alias("a"), F.greatest("node", "o.node").alias("b"))
-    prints = nodes.groupBy("fp").agg(F.min("node").alias("node"))
+    prints = nodes.groupBy("fp").agg(F.min(F.struct("doc_id", "node")).alias("s")).select("fp", F.col("s.node").alias("node"))
     same = nodes.join(prints.withColumnRenamed("node", "first"), "fp").where("node != first").select(F.col("first").alias("a"), F.col("node").alias("b"))
     found = index_links(prints.withColumnRenamed("node", "doc_id")).select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"))
     pairs = cut(pairs.union(same).union(found).distinct(), "pairs")
