@@ -18,6 +18,7 @@ score 0. Hits are never capped, long texts are read whole. Only the columns name
 from __future__ import annotations
 
 from collections import Counter, defaultdict
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -140,8 +141,7 @@ class Seeds:
         return np.where((a >= 0) & (b >= 0) & (c >= 0), a << 42 | b << 21 | c, -1)
 
     def number(self, words: list[bytes]) -> np.ndarray:
-        get = self.vocabulary.get
-        return np.fromiter((get(w, -1) for w in words), np.int64, len(words))
+        return np.fromiter(map(self.vocabulary.get, words, repeat(-1)), np.int64, len(words))
 
     def hits(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(places, seed numbers) of a document's seeds."""
