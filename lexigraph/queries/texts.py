@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lexigraph.functions import text as T
 from lexigraph.operators import fuzzy as Z
 from lexigraph.operators import spectral as SP
+from lexigraph.operators.order import quantiles
 from lexigraph.shared import cut
 
 from .base import query, t
@@ -208,14 +209,16 @@ def f35(spark, d):
     p = t(spark, d, "lineitem").select(F.col("l_extendedprice").alias("y"), (F.col("l_quantity") * 1500).alias("p"))
     e, y = F.col("y") - F.col("p"), F.col("y")
     ape = F.abs(e) / y
+    # most values are different ones, which a median by itself would hold in one task
+    middle = quantiles(p.select(ape.alias("ape")), "ape", [0.5]).select(F.round(100 * F.col("q")[0], 4).alias("median_ape"))
     share = lambda x: F.round(100 * F.avg((ape <= x).cast("double")), 4)
     # the total sum of squares is that of the sample variance, so one pass is enough
     total = F.var_pop("y") * F.count(F.lit(1))
     return p.agg(
         F.round(F.avg(F.abs(e)), 4).alias("mae"), F.round(F.sqrt(F.avg(e * e)), 4).alias("rmse"), F.round(1 - F.sum(e * e) / total, 6).alias("r2"), F.round(100 * F.avg(ape), 4).alias("mape"),
-        F.round(100 * F.avg(2 * F.abs(e) / (F.abs(y) + F.abs("p"))), 4).alias("smape"), F.round(100 * F.sum(F.abs(e)) / F.sum(F.abs(y)), 4).alias("wmape"), F.round(100 * F.median(ape), 4).alias("median_ape"),
+        F.round(100 * F.avg(2 * F.abs(e) / (F.abs(y) + F.abs("p"))), 4).alias("smape"), F.round(100 * F.sum(F.abs(e)) / F.sum(F.abs(y)), 4).alias("wmape"),
         share(0.05).alias("within_5"), share(0.10).alias("within_10"), share(0.15).alias("within_15"),
-    )
+    ).crossJoin(middle).select("mae", "rmse", "r2", "mape", "smape", "wmape", "median_ape", "within_5", "within_10", "within_15")
 
 
 @query("f37_plain_summary", "select page_id, left(trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(html, '<(script|style)[^>]*>.*?</(script|style)>', ' ', 'gs'), '<!--.*?-->', ' ', 'gs'), '<[^>]+>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '[ \\t\\r\\n]+', ' ', 'g')), 220) summary from pages")
