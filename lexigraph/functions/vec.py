@@ -21,10 +21,9 @@ def norm(a: Column) -> Column:
 
 
 def unit(a: Column) -> Column:
-    """a over its length; zero or non-finite vectors become zero vectors."""
-    n = norm(a)
-    good = (n > EPS) & ~F.isnan(n) & (n < F.lit(float("inf")))
-    return F.when(good, F.transform(a, lambda x: x / n)).otherwise(F.transform(a, lambda x: F.lit(0.0)))
+    """a over its length; zero or non-finite vectors become zero vectors. The length is bound to a variable, as it would be computed again for each entry."""
+    good = lambda n: (n > EPS) & ~F.isnan(n) & (n < F.lit(float("inf")))
+    return F.transform(F.array(norm(a)), lambda n: F.when(good(n), F.transform(a, lambda x: x / n)).otherwise(F.transform(a, lambda x: F.lit(0.0))))[0]
 
 
 def scrub(a: Column) -> Column:
