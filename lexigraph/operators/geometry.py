@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,6 +51,72 @@ def pair_sums(e: DataFrame) -> DataFrame:
     return count.crossJoin(square([])).crossJoin(square(["id"]).withColumnRenamed("q", "own")).select("n", ((F.col("q") - F.col("own")) / 2).alias("total"))
 
 
+def moments(e: DataFrame, by: list[str], x: str, y: str | None = None) -> DataFrame:
+    """(by, n, sx, sxx and, with y, sy, syy, sxy): over the pairs of rows of a group, the sums of their dot products of x and of y, and of the squares and products of these; pairs whose lengths differ in x or y are unknown and left out.
+    No pairs are made: the squares of all dot products add up to the square of the matrix of sums of products, less each row with itself. A task gives a matrix for each group that it has rows of."""
+    cols = [x] if y is None else [x, y]
+
+    def entries(key, held):
+        for part, v in held.items():
+            v = np.ravel(v)
+            yield pa.table({**{k: pa.array([c] * len(v), kinds[k]) for k, c in zip(by, key, strict=False)}, "_sizes": pa.array([",".join(map(str, key[len(by) :]))] * len(v)), "_part": pa.array([part] * len(v)), "_at": np.arange(len(v)), "_v": v.astype(float)})
+
+    kinds = {}
+
+    def run(batches):
+        held = {}
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            kinds.update({k: t.schema.field(k).type for k in by})
+            vs = [metric.matrix(t[c]) for c in cols]
+            keys, at = list(zip(*(t[k].to_pylist() for k in by), *(n.tolist() for _, n in vs), strict=True)), {}
+            for i, k in enumerate(keys):
+                at.setdefault(k, []).append(i)
+            for k, i in at.items():
+                own = [m[i][:, :size] for (m, _), size in zip(vs, k[len(by) :], strict=True)]
+                a, c = own[0], own[-1]
+                qa, qc = (a**2).sum(1), (c**2).sum(1)
+                new = {"n": np.array(float(len(i))), "x": a.sum(0), "xx": a.T @ a, "ox": qa.sum(), "oxx": (qa**2).sum()}
+                if y is not None:
+                    new |= {"y": c.sum(0), "yy": c.T @ c, "xy": a.T @ c, "oy": qc.sum(), "oyy": (qc**2).sum(), "oxy": (qa * qc).sum()}
+                old = held.get(k)
+                held[k] = new if old is None else {p: v + new[p] for p, v in old.items()}
+            if len(held) > 256:  # many groups: those that are over, in the order of rows, are not held
+                last = keys[-1]
+                for k in [k for k in held if k != last]:
+                    for e_ in entries(k, held.pop(k)):
+                        yield from e_.to_batches()
+        for k, v in held.items():
+            for e_ in entries(k, v):
+                yield from e_.to_batches()
+
+    schema = ", ".join([*(f"`{k}` {e.schema[k].dataType.simpleString()}" for k in by), "_sizes string, _part string, _at long, _v double"])
+    rows = e.select(*by, *cols).where(" and ".join(f"`{c}` is not null" for c in cols))
+    if by:
+        rows = rows.sortWithinPartitions(*by)
+    total = rows.mapInArrow(run, schema).groupBy(*by, "_sizes", "_part", "_at").agg(F.sum("_v").alias("v"))
+    part = lambda p, v: F.coalesce(F.sum(F.when(F.col("_part") == p, v)), F.lit(0.0))
+    v = F.col("v")
+    half = {"n": (part("n", v * v) - part("n", v)) / 2} | {f"s{p}": (part(p, v * v) - part(f"o{p}", v)) / 2 for p in (["x", "xx"] if y is None else ["x", "xx", "y", "yy", "xy"])}
+    sized = total.groupBy(*by, "_sizes").agg(*(c.alias(k) for k, c in half.items()))
+    return sized.groupBy(*by).agg(F.sum("n").cast("long").alias("n"), *(F.sum(k).alias(k) for k in half if k != "n"))
+
+
+def pair_moments(e: DataFrame, x: str, y: str | None = None) -> DataFrame:
+    """The moments of the pairs of different ids, as one row; a missing one is 0."""
+    e = e.where("id is not null")
+    again = e.groupBy("id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("id")
+    own = moments(e.join(again, "id", "left_semi"), ["id"], x, y).drop("id")
+    signed = moments(e, [], x, y).withColumn("_sign", F.lit(1)).unionByName(own.withColumn("_sign", F.lit(-1)))
+    return signed.agg(*(F.coalesce(F.sum(F.col(c) * F.col("_sign")), F.lit(0)).alias(c) for c in signed.columns if c != "_sign"))
+
+
+def spread(n, s, ss):
+    """Population deviation from a count, a sum and a sum of squares; null for no values."""
+    mean = F.try_divide(s, n)
+    return F.when(n > 0, F.sqrt(F.greatest(F.try_divide(ss, n) - mean * mean, F.lit(0.0))))
+
+
 def nearest(a: DataFrame, b: DataFrame | None, k: int, by: metric.Metric = metric.ANGLE, far: bool = False) -> DataFrame:
     """(i, j, sim, rank): of each row of a the k rows of b (a itself if None), by another id, of greatest (or least) score; ties by id."""
     return metric.nearest(a, b, k, by, far)

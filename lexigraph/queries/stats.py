@@ -253,9 +253,14 @@ def a34(spark, d):
 @query("i14_geometry_agreement", f"with {U}, h as (select vec_id, u[1:32] a, u[33:64] b from u), p as (select list_cosine_similarity(x.a, y.a) s, list_cosine_similarity(x.b, y.b) z from h x join h y on x.vec_id < y.vec_id) select round(corr(s, z), 6) r, count(*) n from p")
 def i14(spark, d):
     e = t(spark, d, "embeddings")
-    one = lambda at: geo.all_pairs(geo.units(e.withColumn("half", F.slice("embedding", at, 32)), "vec_id", "half"))
-    p = one(1).select("i", "j", F.col("sim").alias("s")).join(one(33).select("i", "j", F.col("sim").alias("z")), ["i", "j"])
-    return p.agg(F.round(F.corr("s", "z"), 6).alias("r"), F.count(F.lit(1)).alias("n"))
+    half = lambda at: V.unit(V.doubles(F.slice("embedding", at, 32)))
+    h = e.where("embedding is not null and vec_id is not null").select(F.col("vec_id").alias("id"), half(1).alias("a"), half(33).alias("b"))
+    m = geo.pair_moments(h, "a", "b")
+    n = h.groupBy("id").agg(F.count(F.lit(1)).alias("c")).agg(F.coalesce((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2, F.lit(0)).cast("long").alias("pairs"))
+    k, x, y = F.col("n"), F.col("sx"), F.col("sy")
+    # sums of equal similarities differ in their last digits
+    vx, vy = (F.when(v > 1e-12 * k * ss, v) for v, ss in ((k * F.col("sxx") - x * x, F.col("sxx")), (k * F.col("syy") - y * y, F.col("syy"))))
+    return m.crossJoin(n).select(F.round(F.try_divide(k * F.col("sxy") - x * y, F.sqrt(vx) * F.sqrt(vy)), 6).alias("r"), F.col("pairs").alias("n"))
 
 
 @query("i15_axis_robustness")
