@@ -192,7 +192,11 @@ def a22(spark, d):
 
 @query("a23_global_coherence", f"with {E}, {P} select label, round(avg(sim), 6) mean, round(stddev_pop(sim), 6) std from p group by 1 having max(q) >= 3")
 def a23(spark, d):
-    return S.pairs(seq(spark, d)).groupBy(F.col("g").alias("label")).agg(F.round(F.avg("sim"), 6).alias("mean"), F.round(F.stddev_pop("sim"), 6).alias("std"), F.max("q").alias("n")).where("n >= 3").drop("n")
+    """From sums by label; no pairs are made."""
+    e = t(spark, d, "embeddings").where("label is not null")
+    whole = e.groupBy("label").agg(F.count(F.lit(1)).alias("rows")).where("rows >= 3")
+    m = whole.join(G.moments(units(spark, d), ["label"], "u"), "label", "left")
+    return m.select("label", F.round(F.try_divide("sx", "n"), 6).alias("mean"), F.round(G.spread(F.col("n"), F.col("sx"), F.col("sxx")), 6).alias("std"))
 
 
 @query("a24_cross_group_similarity", f"with {U}, {CENT} select a.label la, b.label lb, round(list_dot_product(a.c, b.c), 6) sim from c a join c b on a.label < b.label")
