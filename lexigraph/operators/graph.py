@@ -1,8 +1,8 @@
 """Operators on undirected weighted graphs given as nodes(id) and edges(src, dst, weight), src < dst.
 
-Counts, degrees, modularity, clustering and components are plans over the edge table. Shortest paths and betweenness run a source at a time over
-a broadcast adjacency whose size is checked (a graph past `most_edges` is refused there, as both are quadratic anyway); Louvain moves nodes in rounds on the driver
-under the same check.
+Counts, degrees, modularity, clustering and components are plans over the edge table. Shortest paths (1024 sources at a time) and betweenness (a source at a time) run over
+packed neighbours that are broadcast and whose size is checked (a graph past `most_edges` is refused there, as both are quadratic anyway). Sources are dealt in equal shares to a few tasks a core, whatever partitions the
+nodes have; Louvain moves nodes in rounds on the driver under a like check.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from __future__ import annotations
 import heapq
 from collections import defaultdict
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -77,25 +78,66 @@ def adjacency(edges: DataFrame, most_edges: int) -> dict:
     return {k: dict(sorted(v.items())) for k, v in sorted(out.items())}
 
 
-def path_lengths(nodes: DataFrame, edges: DataFrame, most_edges: int = 2_000_000) -> DataFrame:
-    """(id, reached, total): nodes reached and the sum of hops to them, a breadth-first search for each source."""
-    shared = nodes.sparkSession.sparkContext.broadcast(adjacency(edges, most_edges))
+def packed(nodes: DataFrame, edges: DataFrame, most_edges: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Ids in order, and of each its neighbours: where they begin, their places, the weights. Loops go; of repeated edges one stays."""
+    e = edges.select(*(F.col(c).cast("long").alias(c) for c in ("src", "dst")), F.col("weight").cast("double").alias("weight")).where("src is not null and dst is not null").limit(most_edges + 1).toArrow()
+    if len(e) > most_edges:
+        raise ValueError(f"over {most_edges} edges; take components or a subgraph first")
+    s, t, w = (e[c].to_numpy() for c in ("src", "dst", "weight"))
+    ids = np.unique(np.concatenate([nodes.select(F.col("id").cast("long").alias("id")).where("id is not null").toArrow()["id"].to_numpy(), s, t]))
+    s, t = np.searchsorted(ids, s), np.searchsorted(ids, t)
+    key, at = np.unique(np.r_[s, t][np.r_[s != t, s != t]] * len(ids) + np.r_[t, s][np.r_[s != t, s != t]], return_index=True)
+    w = np.r_[w, w][np.r_[s != t, s != t]][at]
+    return ids, np.searchsorted(key, np.arange(len(ids) + 1) * len(ids)), (key % max(1, len(ids))).astype(np.int32), w
+
+
+def dealt(spark, n: int) -> DataFrame:
+    """(id): 0 to n - 1, in equal shares to a few tasks a core."""
+    return spark.range(0, n, 1, max(1, min(n, 4 * spark.sparkContext.defaultParallelism)))
+
+
+def hops(ptr: np.ndarray, near: np.ndarray, sources: np.ndarray, gathered: int = 1 << 18):
+    """(nodes reached by each number of hops 1, 2, ...) from sources, as arrays of how many of the sources reach each node then. A source is a bit, a front an array of words, and a step the union of the neighbours' words."""
+    n, words = len(ptr) - 1, -(-len(sources) // 64)
+    front = np.zeros((n, words), np.uint64)
+    bit = np.arange(len(sources))
+    front[sources, bit // 64] = np.uint64(1) << (bit % 64).astype(np.uint64)
+    seen = front.copy()
+    rows = np.flatnonzero(np.diff(ptr))
+    # rows by shares of so many neighbours at most, or one row
+    cuts = np.unique(np.r_[np.searchsorted(ptr[rows], np.arange(0, ptr[-1], gathered)), len(rows)]) if len(rows) else np.zeros(1, int)
+    while True:
+        step = np.zeros_like(front)
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            at = ptr[rows[lo]]
+            step[rows[lo:hi]] = np.bitwise_or.reduceat(front[near[at : ptr[rows[hi - 1] + 1]]], ptr[rows[lo:hi]] - at, axis=0)
+        step &= ~seen
+        count = np.bitwise_count(step).sum(axis=1, dtype=np.int64)
+        if not count.any():
+            return
+        yield count
+        seen |= step
+        front = step
+
+
+def path_lengths(nodes: DataFrame, edges: DataFrame, most_edges: int = 1 << 24, batch: int = 1024) -> DataFrame:
+    """(id, reached, total): nodes reached and the sum of hops to them. As edges have no direction, what is added up is by how many sources a node is reached."""
+    ids, ptr, near, _ = packed(nodes, edges, most_edges)
+    spark = nodes.sparkSession
+    shared = spark.sparkContext.broadcast((ids, ptr, near))
 
     def run(batches):
-        near = shared.value
+        ids, ptr, near = shared.value
+        reached, total = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
         for pdf in batches:
-            rows = []
-            for s in pdf["id"]:
-                seen, front, total, hops = {s}, [s], 0, 0
-                while front:
-                    hops += 1
-                    front = [v for v in {v for u in front for v in near.get(u, ())} if v not in seen]
-                    seen.update(front)
-                    total += hops * len(front)
-                rows.append((s, len(seen) - 1, total))
-            yield pd.DataFrame(rows, columns=["id", "reached", "total"])
-
-    return nodes.select("id").mapInPandas(run, "id long, reached long, total long")
+            for k in pdf["id"]:
+                for h, count in enumerate(hops(ptr, near, np.arange(k * batch, min(len(ids), (k + 1) * batch))), 1):
+                    reached += count
+                    total += h * count
+        yield pd.DataFrame({"id": ids, "reached": reached, "total": total})
+
+    part = dealt(spark, -(-len(ids) // batch)).mapInPandas(run, "id long, reached long, total long").groupBy("id").agg(F.sum("reached").alias("reached"), F.sum("total").alias("total"))
+    return nodes.select("id").join(part, "id", "left").na.fill(0, ["reached", "total"])
 
 
 def betweenness(nodes: DataFrame, edges: DataFrame, most_edges: int = 2_000_000) -> DataFrame:
