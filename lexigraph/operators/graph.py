@@ -141,41 +141,49 @@ def path_lengths(nodes: DataFrame, edges: DataFrame, most_edges: int = 1 << 24,
 
 
 def betweenness(nodes: DataFrame, edges: DataFrame, most_edges: int = 2_000_000) -> DataFrame:
-    """(id, betweenness): Brandes' accumulation over weighted shortest paths, distance 1 - weight, normalised by (n - 1)(n - 2). Sources are dealt over tasks."""
-    shared = nodes.sparkSession.sparkContext.broadcast(adjacency(edges, most_edges))
+    """(id, betweenness): Brandes' accumulation over weighted shortest paths, distance 1 - weight, normalised by (n - 1)(n - 2)."""
+    ids, ptr, near, weight = packed(nodes, edges, most_edges)
+    spark = nodes.sparkSession
+    shared = spark.sparkContext.broadcast((ids, ptr, near, np.maximum(0.0, 1 - weight)))
     n = nodes.count()
+    sources = nodes.select(F.col("id").cast("long").alias("id")).where("id is not null").toArrow()["id"].to_numpy()
+    starts = spark.sparkContext.broadcast(np.searchsorted(ids, sources).astype(np.int32))
 
     def run(batches):
-        near = shared.value
-        score = defaultdict(float)
+        ids, ptr, near, far = shared.value
+        ptr, near, far = ptr.tolist(), near.tolist(), far.tolist()
+        links = [list(zip(near[a:b], far[a:b], strict=True)) for a, b in zip(ptr, ptr[1:], strict=False)]
+        inf, score = float("inf"), [0.0] * len(ids)
         for pdf in batches:
-            for s in pdf["id"]:
-                dist, paths, before, done, order = {s: 0.0}, defaultdict(float, {s: 1.0}), defaultdict(list), set(), []
+            for s in starts.value[pdf["id"].to_numpy()].tolist():
+                dist, paths, before, done, order = [inf] * len(ids), [0.0] * len(ids), [()] * len(ids), bytearray(len(ids)), []
+                dist[s], paths[s] = 0.0, 1.0
                 heap = [(0.0, s)]
                 while heap:
                     d, u = heapq.heappop(heap)
-                    if u in done:
+                    if done[u]:
                         continue
-                    done.add(u)
+                    done[u] = 1
                     order.append(u)
-                    for v, w in near.get(u, {}).items():
-                        x = d + max(0.0, 1 - w)
-                        old = dist.get(v)
-                        if old is None or x < old - 1e-12:
+                    for v, w in links[u]:
+                        x, old = d + w, dist[v]
+                        if x < old - 1e-12:
                             dist[v], paths[v], before[v] = x, paths[u], [u]
                             heapq.heappush(heap, (x, v))
-                        elif abs(x - old) <= 1e-12 and v not in done:
+                        elif x <= old + 1e-12 and not done[v]:
                             paths[v] += paths[u]
                             before[v].append(u)
-                load = defaultdict(float)
+                load = [0.0] * len(ids)
                 for v in reversed(order):
+                    share = (1 + load[v]) / paths[v]
                     for u in before[v]:
-                        load[u] += paths[u] / paths[v] * (1 + load[v])
+                        load[u] += paths[u] * share
                     if v != s:
                         score[v] += load[v]
-        yield pd.DataFrame({"id": list(score), "b": list(score.values())}).astype({"id": "int64", "b": "float64"})
+        at = np.flatnonzero(score)
+        yield pd.DataFrame({"id": ids[at], "b": np.array(score)[at]})
 
-    part = nodes.select("id").repartition("id").mapInPandas(run, "id long, b double").groupBy("id").agg(F.sum("b").alias("b"))
+    part = dealt(spark, len(sources)).mapInPandas(run, "id long, b double").groupBy("id").agg(F.sum("b").alias("b"))
     scale = 1.0 / max(1, (n - 1) * (n - 2))
     return nodes.select("id").join(part, "id", "left").select("id", (F.coalesce("b", F.lit(0.0)) * scale).alias("betweenness"))
 

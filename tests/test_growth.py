@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from lexigraph import queries as core
-from lexigraph.operators import geometry, metric
+from lexigraph.operators import graph, metric
 
 from tests.test_metric import frame, vectors
 
@@ -80,3 +80,27 @@ def test_shuffled_orders_meet_only_next_rows(spark):
 def test_median_error_is_not_held_in_one_task(spark):
     p = plan(core.queries()["f35_error_metrics"](spark, SF))
     assert "median(" not in p and "percentile" not in p
+
+
+def test_sources_are_dealt_to_all_cores(spark):
+    r = np.random.default_rng(9)
+    pairs = {(int(a), int(b)) for a, b in r.integers(0, 90, (160, 2)) if a < b}
+    nodes = spark.createDataFrame([(i,) for i in range(95)], "id long").coalesce(1)
+    edges = spark.createDataFrame([(a, b, 0.5) for a, b in sorted(pairs)], "src long, dst long, weight double").coalesce(1)
+    near = {}
+    for a, b in pairs:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    want = {}
+    for s in range(95):
+        dist, front = {s: 0}, [s]
+        while front:
+            front = [v for u in front for v in sorted(near.get(u, ())) if v not in dist and dist.setdefault(v, dist[u] + 1)]
+        want[s] = (len(dist) - 1, sum(dist.values()))
+    for batch in (1024, 70, 3):
+        assert {r["id"]: (r["reached"], r["total"]) for r in graph.path_lengths(nodes, edges, batch=batch).collect()} == want
+    assert graph.dealt(spark, 95).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    # what lies between is, added up, each pair's hops less one
+    total = sum(r["betweenness"] for r in graph.betweenness(nodes, edges).collect()) * 94 * 93
+    assert abs(total - sum(t - n for n, t in want.values())) < 1e-6
+    assert graph.path_lengths(nodes, edges.where("false")).agg({"total": "sum"}).first()[0] == 0
