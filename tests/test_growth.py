@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from lexigraph import queries as core
-from lexigraph.operators import graph, metric
+from lexigraph.operators import density, graph, metric
 
 from tests.test_metric import frame, vectors
 
@@ -104,3 +104,17 @@ def test_sources_are_dealt_to_all_cores(spark):
     total = sum(r["betweenness"] for r in graph.betweenness(nodes, edges).collect()) * 94 * 93
     assert abs(total - sum(t - n for n, t in want.values())) < 1e-6
     assert graph.path_lengths(nodes, edges.where("false")).agg({"total": "sum"}).first()[0] == 0
+
+
+def test_least_edges_do_not_take_differences_of_all_pairs(monkeypatch):
+    r = np.random.default_rng(3)
+    x, comp, core = 1e6 + r.normal(size=(900, 6)), r.integers(0, 40, 900), r.random(900)
+    part = lambda i: slice(30 * i, 30 * i + 30)
+    blocks = [{"block": i, "x": (x[part(i)], np.full(30, 6)), **{k: metric.pa.array(v[part(i)]) for k, v in (("id", np.arange(900)), ("core", core), ("comp", comp))}} for i in range(30)]
+    monkeypatch.setattr(metric, "nearness", None)
+    got = {e["comp"]: (e["lo"], e["hi"], e["other"]) for e in density.least_edges(blocks[4], blocks).to_pylist()}
+    w = np.maximum(np.sqrt(((x[part(4), None] - x) ** 2).sum(-1)), np.maximum(core[part(4), None], core))
+    w[comp[part(4), None] == comp] = np.inf
+    for c in set(comp[part(4)].tolist()):
+        i, j = min(((i, j) for i in range(30) if comp[120 + i] == c for j in range(900)), key=lambda p: (w[p], min(p[0] + 120, p[1]), max(p[0] + 120, p[1])))
+        assert got[c] == (min(i + 120, j), max(i + 120, j), comp[j])
