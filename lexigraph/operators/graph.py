@@ -68,16 +68,6 @@ def cross_fraction(edges: DataFrame, labels: DataFrame) -> DataFrame:
     return edges.join(s, "src").join(t, "dst").agg(F.avg((F.col("a") != F.col("b")).cast("double")).alias("cross_fraction"))
 
 
-def adjacency(edges: DataFrame, most_edges: int) -> dict:
-    rows = edges.select("src", "dst", "weight").limit(most_edges + 1).collect()
-    if len(rows) > most_edges:
-        raise ValueError(f"over {most_edges} edges; take components or a subgraph first")
-    out = defaultdict(dict)
-    for s, t, w in rows:
-        out[s][t] = out[t][s] = w
-    return {k: dict(sorted(v.items())) for k, v in sorted(out.items())}
-
-
 def packed(nodes: DataFrame, edges: DataFrame, most_edges: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Ids in order, and of each its neighbours: where they begin, their places, the weights. Loops go; of repeated edges one stays."""
     e = edges.select(*(F.col(c).cast("long").alias(c) for c in ("src", "dst")), F.col("weight").cast("double").alias("weight")).where("src is not null and dst is not null").limit(most_edges + 1).toArrow()
@@ -188,12 +178,12 @@ def betweenness(nodes: DataFrame, edges: DataFrame, most_edges: int = 2_000_000)
     return nodes.select("id").join(part, "id", "left").select("id", (F.coalesce("b", F.lit(0.0)) * scale).alias("betweenness"))
 
 
-def louvain(nodes: DataFrame, edges: DataFrame, most_edges: int = 2_000_000, rounds: int = 20) -> DataFrame:
+def louvain(nodes: DataFrame, edges: DataFrame, most_edges: int = 1 << 22, rounds: int = 20) -> DataFrame:
     """(id, label): communities by greedy modularity moves and contraction; nodes are visited in order of id, so the result is fixed."""
-    near = adjacency(edges, most_edges)
-    ids = sorted(r["id"] for r in nodes.select("id").collect())
+    ids, ptr, near, weight = packed(nodes, edges, most_edges)
+    ids = ids.tolist()
     member = {i: i for i in ids}
-    graph = {i: dict(near.get(i, {})) for i in ids}
+    graph = {i: dict(zip((ids[k] for k in near[a:b]), weight[a:b].tolist(), strict=True)) for i, a, b in zip(ids, ptr, ptr[1:], strict=False)}
     m2 = sum(sum(v.values()) for v in graph.values()) or 1.0
     for _ in range(rounds):
         label = {u: u for u in graph}
