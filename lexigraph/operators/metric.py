@@ -4,8 +4,8 @@ Rows go to the cell of their nearest pivot; pivots are centres of a bounded samp
 row each, with the least and greatest distance of the block's rows to every pivot. By the triangle inequality two rows are at least as far apart as the gap between their blocks' ranges at any pivot, and at most as far as the sum of
 the ranges' ends; what a score can't reach through that is never computed. Rows that the metric doesn't cover (zero vectors, other lengths, unknown coordinates) have blocks without bounds and meet all others.
 
-Blocks meet in tiles. A side of the table is at most SIDES tiles as long as a tile's side is within SIDE_CELLS, so what is shipped grows with the rows and not with their square. Neighbours: first each run of 16 blocks by itself, whose rows are near each other; the k-th best so far is a block's threshold, and
-only block pairs whose bound reaches it are multiplied. Which pairs do is found on a tree of ranges (256 children a node), from the root down, so the number of tests follows what survives. Where
+Blocks meet in tiles. A side of the table is SIDES tiles as soon as it has some blocks for each and as long as a tile's side is within SIDE_CELLS, and two sides meet in one tile both ways, so a block is shipped at most SIDES times, at any size in between: what is shipped, and the best rows that a tile leaves, grow with the
+rows and not with their square. Neighbours: first each run of 16 blocks by itself, whose rows are near each other; the k-th best so far is a block's threshold, and only block pairs whose bound reaches it are multiplied. Which pairs do is found on a tree of ranges (256 children a node), from the root down, so the number of tests follows what survives. Where
 vectors have no clusters the bounds cut nothing and what is left is the product of all blocks.
 """
 
@@ -27,10 +27,10 @@ from lexigraph.shared import cut
 
 #: Rows and numbers of a sample that pivots are fitted on, and pivots, at most.
 SAMPLE_ROWS, SAMPLE_CELLS, PIVOTS = 8192, 1 << 22, 512
-#: Numbers and rows of a block, blocks of a run of near ones (the least side of a tile) as a power of two, children of a node likewise.
+#: Numbers and rows of a block, blocks of a run of near ones as a power of two, children of a node likewise.
 BLOCK_CELLS, BLOCK_ROWS, TILE, FAN = 1 << 16, 256, 4, 8
-#: Tiles along a side of the table, and numbers of a tile's side, at most; the second goes first.
-SIDES, SIDE_CELLS = 24, 1 << 21
+#: Tiles along a side of the table, at most; blocks of a tile's side, at least; its numbers, at most. The last goes first.
+SIDES, SIDE_BLOCKS, SIDE_CELLS = 8, 4, 1 << 23
 #: By how much a score may pass its bound: rounding of distances, and of scores to nine digits.
 SLACK, ROUND = 1e-6, 2e-9
 
@@ -153,7 +153,7 @@ class Index:
         self.blocks = packed if len(before) < 2 else packed.withColumn("block", F.col("block") + F.create_map(*(F.lit(v).cast("long") for kv in before.items() for v in kv))[task])
         self.n_tiles = -(-self.n_blocks >> TILE)
         most = max(1, SIDE_CELLS // (self.rows * max(1, d)))
-        self.tile = max(TILE, min(most.bit_length() - 1, (max(0, self.n_blocks - 1) // SIDES).bit_length()))
+        self.tile = min(most, max(SIDE_BLOCKS, -(-self.n_blocks // SIDES)))
 
     def assigned(self, e: DataFrame) -> DataFrame:
         shared, metric, d = self.pivots, self.metric, self.d
@@ -284,15 +284,16 @@ class Index:
 
     def run(self, pairs: DataFrame, work: Callable, schema: str, near: bool = False, fold: Callable = pa.concat_tables) -> DataFrame:
         """work(block, blocks to match it with) as Arrow tables for each block a of the pairs, tile by tile, or run by run if all pairs are near; fold makes one table of a tile's."""
-        side = TILE if near else self.tile
-        tiled = pairs.select("a", "b", F.shiftright("a", side).alias("ta"), F.shiftright("b", side).alias("tb"))
+        side = lambda c: F.shiftright(c, TILE) if near else F.floor(F.col(c) / self.tile)
+        tiled = pairs.select("a", "b", F.least(side("a"), side("b")).alias("ta"), F.greatest(side("a"), side("b")).alias("tb"))
         need = tiled.select("ta", "tb", F.explode(F.array("a", "b")).alias("block")).distinct()
-        data = need.join(self.blocks.drop("lo", "hi"), "block").withColumnsRenamed({"ta": "ua", "tb": "ub"})
+        # need holds numbers alone, SIDES for a block of rows at most; by a shuffle the join would ship all blocks once more
+        data = self.blocks.drop("lo", "hi").join(F.broadcast(need), "block").withColumnsRenamed({"ta": "ua", "tb": "ub"})
         names = ["id", *self.more]
 
         def opened(t, at):
             n = t["n"][at].as_py()
-            x = np.frombuffer(t["x"][at].as_py(), float).reshape(n, -1) if n else np.zeros((0, 0))
+            x = np.frombuffer(t["x"][at].as_buffer(), float).reshape(n, -1) if n else np.zeros((0, 0))
             # an item of a list column is a view of its values
             return {"x": (x, np.array(t["sizes"][at].as_py(), np.int64)), "block": t["block"][at].as_py(), **{c: t[f"r_{c}"][at].values for c in names}}
 

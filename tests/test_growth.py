@@ -31,6 +31,19 @@ def test_tiles_along_a_side_are_few(spark):
     assert {(r["i"], r["rank"], r["j"]) for r in metric.nearest(frame(spark, x), None, 3, rows=4).collect()} == want
 
 
+def test_blocks_are_shipped_as_often_at_any_size(spark):
+    def counted(ts):
+        return metric.pa.table({"n": [len(metric.pa.concat_tables(ts)["n"].unique())]})
+
+    copies = []
+    for n in (300, 3000):
+        index = metric.Index(frame(spark, vectors("flat", n)), rows=4)
+        met = index.run(index.close(-np.inf, ordered=True), lambda one, others: metric.pa.table({"n": [one["block"], *(o["block"] for o in others)]}), "n long", fold=counted)
+        copies.append(sum(r["n"] for r in met.collect()) / index.n_blocks)
+        assert -(-index.n_blocks // index.tile) <= metric.SIDES
+    assert copies[1] <= 1.1 * copies[0] and max(copies) <= metric.SIDES
+
+
 def test_best_between_keeps_no_pairs_but_the_best(spark):
     x = vectors("copies", 200)
     got = {(r["g"], r["h"]): (r["i"], r["j"]) for r in metric.best_between(frame(spark, x), "label", rows=16).collect()}
