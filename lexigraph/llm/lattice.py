@@ -12,6 +12,8 @@ from functools import lru_cache
 from itertools import repeat
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 MARK, STAND_IN = "▁", "\ud800"
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -25,11 +27,24 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-def units(text: str | None) -> list[str]:
-    """The units of a text; their concatenation is the marked text. Null and empty texts have the bare mark."""
+def marked(text: str | None) -> str:
+    """The marked text, its units apart by spaces."""
     s = " " + (text or "").replace(MARK, STAND_IN)
     s = RUN.sub(lambda m: " " + MARK * len(m[0]), s) if "  " in s else s.replace(" ", " " + MARK)
-    return [u for u in s.replace("\n", " \n ").split(" ") if u]
+    return s.replace("\n", " \n ")
+
+
+def units(text: str | None) -> list[str]:
+    """The units of a text; their concatenation is the marked text. Null and empty texts have the bare mark."""
+    return [u for u in marked(text).split(" ") if u]
+
+
+def split(texts: list[str | None]) -> tuple[pa.Array, np.ndarray]:
+    """The units of texts one after the other, in UTF-8, and how many each has."""
+    lists = pc.split_pattern(pa.array([marked(x).encode("utf-8", "surrogatepass") for x in texts], pa.large_binary()), " ")
+    flat = lists.flatten()
+    full = pc.binary_length(flat).to_numpy() > 0
+    return flat.filter(pa.array(full)), np.add.reduceat(full, lists.offsets.to_numpy()[:-1], dtype=np.int64)
 
 
 class Vocabulary:
@@ -66,8 +81,7 @@ class Vocabulary:
             while self.row[at] >= 0:
                 at = at + 1 & (1 << self.bits) - 1
             self.row[at] = k
-        self.begin = np.cumsum([0, *map(len, self.raw)])
-        self.width, self.flat = np.diff(self.begin), np.frombuffer(b"".join(self.raw), np.uint8)
+        self.texts = pa.array(self.raw, pa.large_binary())
 
     @staticmethod
     def hash_of(piece: str) -> int:
@@ -82,13 +96,13 @@ class Vocabulary:
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Rows of hashes, -1 where no piece begins so."""
-        at, out, open_ = self.place(h), np.full(len(h), -1, np.int64), np.arange(len(h))
-        while len(open_):
-            row = self.row[at[open_]]
-            hit = (self.keys[row] == h[open_]) & (row >= 0)
-            out[open_[hit]] = row[hit]
-            open_ = open_[np.flatnonzero(~hit & (row >= 0))]
-            at[open_] = at[open_] + 1 & (1 << self.bits) - 1
+        at = self.place(h)
+        out = self.row.take(at)
+        wrong = np.flatnonzero((self.keys.take(out, mode="wrap") != h) & (out >= 0))
+        while len(wrong):
+            at[wrong] = at[wrong] + 1 & (1 << self.bits) - 1
+            out[wrong] = self.row[at[wrong]]
+            wrong = wrong[(self.keys[out[wrong]] != h[wrong]) & (out[wrong] >= 0)]
         return out
 
     def bytes_of(self, code: int) -> np.ndarray:
@@ -98,9 +112,9 @@ class Vocabulary:
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The text of piece ids (byte pieces included) in UTF-8."""
-        width = self.width[ids]
-        total = np.cumsum(width)
-        return self.flat[np.repeat(self.begin[ids] - (total - width), width) + np.arange(total[-1])].tobytes()[1:]
+        found = self.texts.take(pa.array(ids))
+        _, ends, data = found.buffers()
+        return data[1 : np.frombuffer(ends, np.int64)[len(ids)]].to_pybytes()
 
     def plain(self, ids: np.ndarray) -> np.ndarray:
         """Byte edges replaced by their byte pieces."""
@@ -111,6 +125,8 @@ class Vocabulary:
         short = odd[ids[odd] < self.size + 128]
         ids[short] = self.byte_ids[ids[short] - self.size]
         odd = odd[ids[odd] >= self.size]
+        if not len(odd):
+            return ids
         out, at = [], 0
         for k in odd.tolist():
             out += [ids[at:k], self.bytes_of(int(ids[k]) - self.size)]
@@ -128,7 +144,7 @@ def vocabulary(path: str) -> Vocabulary:
 
 class Lattice:
     """Edges (src, dst, piece) of all words, by source. Nodes are numbered by their place in the word, then by word, longer words first; so each place is a stretch of nodes, and the
-    edges from it are a stretch of edges. starts and ends are the words' first and last nodes."""
+    edges from it are a stretch of edges. starts and ends are the words' first and last nodes, nodes those of all characters, word by word."""
 
     def __init__(self, v: Vocabulary, words: list[str]):
         sizes = np.fromiter(map(len, words), np.int64, len(words))
@@ -142,34 +158,36 @@ class Lattice:
         self.place = np.repeat(np.arange(len(per_place)), per_place)
         self.rank = np.arange(self.n_nodes) - offset[self.place]  # of a node's word
         self.size = sizes[longest]
-        stop = np.repeat(np.cumsum(sizes), sizes)
         word = np.repeat(self.starts, sizes)
         at, h = np.arange(len(chars)), np.zeros(len(chars), np.uint64)
         place = at - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        left, codes = np.repeat(sizes, sizes) - place, chars + np.uint64(1)
+        self.nodes = offset[place] + word
         src, dst, piece, single = [], [], [], np.zeros(len(chars), bool)
         for n in range(1, v.longest + 1):
-            keep = np.flatnonzero(at + n <= stop[at])
-            at, h = at[keep], h[keep]
+            keep = np.flatnonzero(left.take(at) >= n)
+            at, h = at.take(keep), h.take(keep)
             if not len(at):
                 break
-            h = h * BASE + chars[at + n - 1] + np.uint64(1)
+            h *= BASE
+            h += codes.take(at + (n - 1))
             k = v.find(h)
             keep = np.flatnonzero(k >= 0)
-            at, h, ids = at[keep], h[keep], v.ids[k[keep]]
+            at, h, ids = at.take(keep), h.take(keep), v.ids.take(k.take(keep))
             hit = np.flatnonzero(ids >= 0)
-            here = at[hit]
-            src.append(offset[place[here]] + word[here])
-            dst.append(offset[place[here] + n] + word[here])
-            piece.append(ids[hit])
+            here = at.take(hit)
+            src.append(self.nodes.take(here))
+            dst.append(offset.take(place.take(here) + n) + word.take(here))
+            piece.append(ids.take(hit))
             if n == 1:
                 single[here] = True
         bare = np.flatnonzero(~single)
-        src.append(offset[place[bare]] + word[bare])
+        src.append(self.nodes[bare])
         dst.append(offset[place[bare] + 1] + word[bare])
         piece.append(chars[bare].astype(np.int64) + v.size)
         src, dst, piece = map(np.concatenate, (src, dst, piece))
         order = ranked(src)
-        self.src, self.dst, self.piece = src[order], dst[order], piece[order]
+        self.src, self.dst, self.piece = src.take(order), dst.take(order), piece.take(order)
         cuts = np.searchsorted(self.src, offset).tolist()
         #: the edges from each place, so that each step reads finished nodes only
         self.steps = [slice(a, b) for a, b in zip(cuts, cuts[1:]) if a < b]
@@ -228,7 +246,7 @@ class Lattice:
         return out
 
 
-def numbers(index: dict[str, int], words: list[str]) -> np.ndarray:
+def numbers(index: dict, words: list) -> np.ndarray:
     """Of each word, -1 where it has none."""
     return np.fromiter(map(index.get, words, repeat(-1)), np.int64, len(words))
 
@@ -240,7 +258,7 @@ def ranked(x: np.ndarray) -> np.ndarray:
 
 def edge_weights(v: Vocabulary, table: np.ndarray, piece: np.ndarray) -> np.ndarray:
     """Log weights of edges from those of pieces; a character's bytes count one by one."""
-    out = table[np.minimum(piece, v.size - 1)]
+    out = table.take(piece, axis=0, mode="clip")
     odd = np.flatnonzero(piece >= v.size)
     if len(odd):
         codes, back = np.unique(piece[odd] - v.size, return_inverse=True)

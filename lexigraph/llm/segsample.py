@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import in_blocks, table, utf8
-from .lattice import default_model, edge_weights, numbers, units, vocabulary
+from .lattice import default_model, edge_weights, numbers, split, vocabulary
 
 U64 = np.uint64
 
@@ -70,26 +70,25 @@ def row_seed(key, seed: int) -> int:
 
 
 class Words:
-    """Transition tables of words: per node its edges with cumulative and own conditional probability. Keeps up to about `most` edges."""
+    """Transition tables of words: per node its edges with cumulative and own conditional probability, the edges of a word together. Keeps up to about `most` edges; past that the words
+    that came in most blocks of late stay, with half as many."""
 
     EDGES = {"cum": np.float32, "own": np.int32, "next": np.int32, "piece": np.int32, "logq": np.float64, "rest": np.float32}
 
-    def __init__(self, path: str, shift: float = 100.0, temperature: float = 5.0, most: int = 2_000_000):
+    def __init__(self, path: str, shift: float = 100.0, temperature: float = 5.0, most: int = 6_000_000):
         self.v, self.most = vocabulary(path), most
         rank = np.arange(self.v.size, dtype=float)
         weight = -np.log(rank + shift)
         weight -= np.log(np.exp(weight).sum())
         self.weight = weight / temperature
-        self.reset()
-
-    def reset(self):
-        self.index: dict[str, int] = {}
+        self.index: dict[bytes, int] = {}
         self.n = 0
         self.first = np.zeros(1 << 16, np.int32)  # of a word: the first edge of its first node
+        self.used = np.zeros(1 << 16, np.int32)  # of a word: in how many blocks it came
         # of an edge: cumulative probability within its node, the likeliest edge first, 1 at the last; the first edge of its node, and of the node it leads to (-1 at the end);
         # its own probability, and that of the other edges of its node, as logarithms
         for name, kind in self.EDGES.items():
-            setattr(self, name, np.zeros(1 << 18, kind))
+            setattr(self, name, np.zeros(self.most * 5 // 4, kind))
 
     def room(self, name: str, n: int):
         """Makes an array hold n numbers; it grows by half, so that copies stay rare."""
@@ -99,49 +98,87 @@ class Words:
             new[: len(x)] = x
             setattr(self, name, new)
 
-    def add(self, new: list[str]):
-        lat = self.v.lattice(new)
+    def add(self, new: list[bytes]):
+        lat = self.v.lattice([x.decode("utf-8", "surrogatepass") for x in new])
         w = edge_weights(self.v, self.weight, lat.piece)
         b = lat.backward(w)
-        logq = w + b[lat.dst] - b[lat.src]
-        starts = lat.first
-        width = np.diff(np.r_[starts, len(lat.src)])
+        starts, dst, piece = lat.first, lat.dst, lat.piece
+        width = np.diff(starts, append=len(dst))
+        logq = b.take(dst)
+        logq += w
+        logq -= b.take(lat.src)
         logq[starts[width == 1]] = 0
         # the likeliest edge of a node comes first
         best = np.flatnonzero(logq == np.repeat(np.maximum.reduceat(logq, starts), width))
-        best = best[np.r_[True, lat.src[best][1:] != lat.src[best][:-1]]]
-        dst, piece = lat.dst, lat.piece
+        if len(best) > len(starts):
+            best = best[np.diff(lat.src[best], prepend=-1) != 0]
         for x in (logq, dst, piece):
             x[starts], x[best] = x[best], x[starts].copy()
         q = np.exp(logq)
         total = np.cumsum(q)
-        base = np.repeat(total[starts] - q[starts], width)
-        cum = (total - base) / np.repeat(total[starts + width - 1] - (total[starts] - q[starts]), width)
+        base = total[starts] - q[starts]
+        cum = total - np.repeat(base, width)
+        cum /= np.repeat(total[starts + width - 1] - base, width)
         cum[starts + width - 1] = 1
         with np.errstate(divide="ignore"):
             rest = np.log(np.maximum(1 - q, 0) * (q < 1 - 1e-12))
-        start = np.full(lat.n_nodes, -1)
-        start[lat.src[starts]] = starts + self.n
-        self.room("first", len(self.index) + len(new))
-        self.first[len(self.index) : len(self.index) + len(new)] = start[lat.starts]
-        self.index.update(zip(new, range(len(self.index), len(self.index) + len(new)), strict=True))
-        for name, x in {"cum": cum, "own": np.repeat(starts, width) + self.n, "next": start[dst], "piece": piece, "logq": logq, "rest": rest}.items():
+        # a node's edges go where those of the word's nodes before it end; the nodes with edges are those of characters
+        start, many = np.full(lat.n_nodes, -1), np.zeros(lat.n_nodes, np.int64)
+        many[lat.src[starts]] = width
+        many = many[lat.nodes]
+        start[lat.nodes] = np.cumsum(many) - many + self.n
+        own = np.repeat(start[lat.src[starts]], width)
+        at = own + np.arange(len(dst)) - np.repeat(starts, width)
+        lo, hi = len(self.index), len(self.index) + len(new)
+        self.room("first", hi)
+        self.room("used", hi)
+        self.first[lo:hi], self.used[lo:hi] = start[lat.starts], 0
+        self.index.update(zip(new, range(lo, hi), strict=True))
+        for name, x in {"cum": cum, "own": own, "next": start[dst], "piece": piece, "logq": logq, "rest": rest}.items():
             self.room(name, self.n + len(dst))
-            getattr(self, name)[self.n : self.n + len(dst)] = x
+            getattr(self, name)[at] = x
         self.n += len(dst)
 
-    def rows(self, words: list[str]) -> np.ndarray:
+    def shrink(self):
+        """Keeps the words that came in most blocks, of late ones first, up to half of `most` edges."""
+        begin = self.first[: len(self.index)]
+        width = np.diff(begin, append=self.n)
+        order = np.argsort(-self.used[: len(begin)], kind="stable")
+        keep = np.sort(order[np.cumsum(width[order], dtype=np.int64) <= self.most // 2])
+        width = width[keep]
+        to = np.cumsum(width) - width
+        shift = np.repeat(to - begin[keep], width)
+        self.n = len(shift)
+        old = np.arange(self.n) - shift
+        for name in self.EDGES:
+            x = getattr(self, name)
+            y = x[old]
+            if name in ("own", "next"):
+                y += np.where(y < 0, 0, shift).astype(y.dtype)
+            if len(x) > 2 * self.most:  # a long text was there
+                setattr(self, name, y)
+            else:
+                x[: self.n] = y
+        words = list(self.index)
+        self.index = {words[k]: i for i, k in enumerate(keep.tolist())}
+        self.used[: len(keep)] = self.used[keep] // 2
+        self.first[: len(keep)] = to
+
+    def rows(self, words: pa.Array) -> np.ndarray:
         """First edges of the words."""
         if self.n > self.most:
-            self.reset()
-        out = numbers(self.index, words)
-        missing = np.flatnonzero(out < 0).tolist()
-        if missing:
-            new = list({words[k] for k in missing})  # their order has no effect on results
-            for at in range(0, len(new), 5000):  # so few that their nodes are ranked by radix
-                self.add(new[at : at + 5000])
-            out[missing] = numbers(self.index, [words[k] for k in missing])
-        return self.first[out]
+            self.shrink()
+        coded = words.dictionary_encode()
+        different = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        out = numbers(self.index, different)
+        missing = np.flatnonzero(out < 0)
+        if len(missing):
+            new = [different[k] for k in missing.tolist()]  # their order has no effect on results
+            out[missing] = np.arange(len(self.index), len(self.index) + len(new))
+            for k in range(0, len(new), 5000):  # so few that their nodes are ranked by radix
+                self.add(new[k : k + 5000])
+        self.used[out] += 1
+        return self.first[out].take(coded.indices.to_numpy())
 
     def walk(self, e: np.ndarray, seed: np.ndarray, stream: int, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Draws a path from each node, given by its first edge, to its word's end: (edges, number of edges of each path), paths one after the other."""
@@ -264,9 +301,9 @@ SAMPLE = "array<struct<ids:array<int>,logp:double,perturbed:double,inclusion:dou
 
 def samples(words: Words, keys: list, texts: list, k: int, seed: int) -> list[list[dict]]:
     """For each text up to k segmentations, best perturbed value first. The texts' next leaves are drawn together; each uses the random numbers of its own row alone."""
-    each = [units(x) for x in texts]
-    firsts = words.rows([u for x in each for u in x])
-    cuts = np.cumsum([0, *map(len, each)]).tolist()
+    each, sizes = split(texts)
+    firsts = words.rows(each)
+    cuts = [0, *np.cumsum(sizes).tolist()]
     found = [Search(words, firsts[a:b], row_seed(i, seed)) for i, a, b in zip(keys, cuts[:-1], cuts[1:], strict=True)]
     now, leaf = found, 0
     while now and leaf < k:
@@ -290,10 +327,19 @@ def samples(words: Words, keys: list, texts: list, k: int, seed: int) -> list[li
             s.keep(tails[c:d], counts[a:b], logq[hi - n : hi], rest[hi - n : hi], r[hi - n : hi])
         leaf += 1
         now = [s for s in now if leaf < k and s.branch()]
+    paths = [p["edges"] for s in found for p in s.paths]
+    ids = words.piece.take(np.concatenate(paths)) if paths else np.zeros(0, np.int32)
+    stops = np.cumsum([0, *map(len, paths)])
+    odd = np.flatnonzero(ids >= words.v.size)  # bytes of characters, mostly one
+    short = odd[ids[odd] < words.v.size + 128]
+    ids[short] = words.v.byte_ids[ids[short] - words.v.size]
+    wide = np.zeros(len(paths), bool)
+    wide[np.searchsorted(stops, odd[ids[odd] >= words.v.size], side="right") - 1] = True
+    each = iter([words.v.plain(ids[a:b]) if x else ids[a:b] for a, b, x in zip(stops[:-1].tolist(), stops[1:].tolist(), wide.tolist(), strict=True)])
     out = []
     for s in found:
         kappa = s.left()[0]
-        out.append([{"ids": words.v.plain(words.piece.take(p["edges"])), "logp": p["logp"], "perturbed": p["g"], "inclusion": 1.0 if kappa == -np.inf else float(-np.expm1(-np.exp(min(50.0, p["logp"] - kappa))))} for p in s.paths])
+        out.append([{"ids": next(each), "logp": p["logp"], "perturbed": p["g"], "inclusion": 1.0 if kappa == -np.inf else float(-np.expm1(-np.exp(min(50.0, p["logp"] - kappa))))} for p in s.paths])
     return out
 
 

@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from lexigraph.llm import decontaminate, langid, licenses, mpegts, segsample, simhash, toxicity, warc, wavelet
+from lexigraph.llm import decontaminate, langid, lattice, licenses, mpegts, segsample, simhash, toxicity, warc, wavelet
 
 LONG = " ".join(f"word{i % 977}x" for i in range(30_000))
 TEXTS = [None, "", " ", "a", "the mit license\nand the Apache License", "né ñandú ▁ \t\r\n x", LONG, LONG + " end", "日本語 𝒳 <|endoftext|>", "dup text here", "dup text here"]
@@ -479,6 +479,28 @@ def test_word_probability_sums_all_segmentations():
     assert np.allclose(a, b) and np.isfinite(a).all() and np.allclose(a[:1], brute(long[0])) and np.allclose(a[3], brute(long[3]))
 
 
+def test_frequent_words_stay_when_others_go():
+    small, roomy, made = segsample.Words(segsample.default_model(), most=3000), segsample.Words(segsample.default_model()), []
+    add = small.add
+    small.add = lambda new: (made.extend(new), add(new))
+    r = random.Random(7)
+    for block in range(30):
+        texts = [" ".join(["the water", "".join(r.choice("abcdefgh") for _ in range(9)), "½▁\n"]) for _ in range(12)]
+        keys = list(range(block, block + 12))
+        got, want = segsample.samples(small, keys, texts, 3, 0), segsample.samples(roomy, keys, texts, 3, 0)
+        assert [[(x["ids"].tolist(), x["logp"], x["perturbed"], x["inclusion"]) for x in one] for one in got] == [[(x["ids"].tolist(), x["logp"], x["perturbed"], x["inclusion"]) for x in one] for one in want]
+        assert all(small.v.decode(x["ids"]).decode() == text for one, text in zip(got, texts, strict=True) for x in one)
+    assert len(made) > 200 and len(small.index) < 200 and small.n < 9000
+    assert sum(w in ("▁water", "▁water".encode()) for w in made) == 1
+
+
+def test_texts_split_together_have_their_units():
+    texts = [None, "", " a  b\n c", "x▁y", "\n\n", "½ 𝒳", "   "]
+    flat, sizes = lattice.split(texts)
+    assert [x.decode("utf-8", "surrogatepass") for x in flat.to_pylist()] == [u for t in texts for u in langid.units(t)]
+    assert sizes.tolist() == [len(langid.units(t)) for t in texts]
+
+
 def test_units_keep_runs_of_spaces():
     v = langid.vocabulary(langid.default_model())
     assert langid.units(" a  b\n c") == ["▁▁a", "▁▁b", "\n", "▁c"] and langid.units("") == ["▁"] and langid.units("a b") == ["▁a", "▁b"]
