@@ -1,6 +1,6 @@
 """Operators on undirected weighted graphs given as nodes(id) and edges(src, dst, weight), src < dst.
 
-Counts, degrees, modularity, clustering and components are plans over the edge table. Shortest paths (1024 sources at a time) and betweenness (a source at a time) run over
+Counts, degrees, modularity, clustering and components are plans over the edge table. Shortest paths (1024 sources at a time) and betweenness (a source at a time, its nodes as arrays) run over
 packed neighbours that are broadcast and whose size is checked (a graph past `most_edges` is refused there, as both are quadratic anyway). Sources are dealt in equal shares to a few tasks a core, whatever partitions the
 nodes have; Louvain moves nodes in rounds on the driver under a like check.
 """
@@ -8,6 +8,7 @@ nodes have; Louvain moves nodes in rounds on the driver under a like check.
 from __future__ import annotations
 
 import heapq
+import itertools
 from collections import defaultdict
 
 import numpy as np
@@ -130,8 +131,138 @@ def path_lengths(nodes: DataFrame, edges: DataFrame, most_edges: int = 1 << 24,
     return nodes.select("id").join(part, "id", "left").na.fill(0, ["reached", "total"])
 
 
+def by_degree(ptr: np.ndarray, near: np.ndarray, far: np.ndarray, wide: int = 24):
+    """(order, ptr, tail, near, far, columns, rest): nodes renumbered by falling degree, so those with a k-th neighbour come first and columns[k] is (their k-th neighbours, lengths); rest is (where they begin, neighbours, lengths) of what is past the last column."""
+    degree = np.diff(ptr)
+    order = np.argsort(-degree, kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    tail = np.repeat(place, degree)
+    by = np.argsort(tail, kind="stable")
+    tail, near, far, degree = tail[by], place[near[by]], far[by], degree[order]
+    ptr = np.r_[0, np.cumsum(degree)]
+    columns = []
+    for k in range(min(wide, int(degree.max(initial=0)))):
+        at = ptr[: np.count_nonzero(degree > k)] + k
+        columns.append((near[at], far[at]))
+    over = np.count_nonzero(degree > wide)
+    at = np.flatnonzero((tail < over) & (np.arange(len(tail)) - ptr[tail] >= wide))
+    return order, ptr, tail, near, far, columns, (ptr[:over] - wide * np.arange(over), near[at], far[at])
+
+
+def reach(ptr, near, far, columns, rest, s: int, rounds: int = 300) -> np.ndarray | None:
+    """Distances from s, None if they are not found in so many rounds. Few nodes that were brought nearer give it on along their links; of many, all nodes look at their neighbours, a column at a time."""
+    dist, room = np.full(len(ptr) - 1, np.inf), np.empty(len(ptr) - 1)
+    dist[s], front = 0.0, np.array([s])
+    for _ in range(rounds):
+        if not len(front):
+            return dist
+        n = ptr[front + 1] - ptr[front]
+        if n.sum() < len(near) // 8:
+            link = np.arange(n.sum())
+            link += np.repeat(ptr[front] - np.cumsum(n) + n, n)
+            to, x = near[link], np.repeat(dist[front], n) + far[link]
+            less = x < dist[to]
+            to = to[less]
+            np.minimum.at(dist, to, x[less])
+            front = np.unique(to)
+        else:
+            old = dist.copy()
+            for to, w in columns:
+                x = room[: len(to)]
+                np.take(dist, to, out=x, mode="clip")
+                x += w
+                np.minimum(dist[: len(to)], x, out=dist[: len(to)])
+            first, to, w = rest
+            if len(first):
+                dist[: len(first)] = np.minimum(dist[: len(first)], np.minimum.reduceat(dist[to] + w, first))
+            front = np.flatnonzero(dist < old)
+    return None
+
+
+def loads(ptr, tail, near, far, columns, rest, s: int, slack: float = 1e-12) -> np.ndarray | None:
+    """What lies behind each node on shortest paths from s, by shares of its paths; None if distances were not found. Edges must be longer than the slack."""
+    dist = reach(ptr, near, far, columns, rest, s)
+    if dist is None:
+        return None
+    n = len(dist)
+    limit, before, ways = np.where(dist < np.inf, dist + slack, -1.0), np.full(n, -1), np.zeros(n, np.int32)
+    for to, w in columns:
+        x = dist[to]
+        x += w
+        at = np.flatnonzero(x <= limit[: len(to)])
+        before[at] = to[at]
+        ways[at] += 1
+    first, to, w = rest
+    if len(first):
+        at = np.flatnonzero(dist[to] + w <= np.repeat(limit[: len(first)], np.diff(np.r_[first, len(to)])))
+        v = np.searchsorted(first, at, side="right") - 1
+        before[v] = to[at]
+        np.add.at(ways, v, 1)
+    ways[s], before[s] = 0, -1
+    v = np.flatnonzero(before >= 0)
+    u, several = before[v], bool((ways > 1).any())
+    # steps to s along any one way, by doubling
+    level = (before >= 0).astype(np.int32)
+    up = np.where(before < 0, np.arange(n), before)
+    while (more := level[up]).any():
+        level = level + more
+        up = up[up]
+    if several:
+        link = np.flatnonzero(dist[near] + far <= limit[tail])
+        link = link[tail[link] != s]
+        v, u = tail[link], near[link]
+        while (late := level[v] <= level[u]).any():
+            np.maximum.at(level, v[late], level[u[late]] + 1)
+    order = np.argsort(level[v].astype(np.int16) if len(v) and level.max() < 1 << 15 else level[v], kind="stable")
+    u, v = u[order], v[order]
+    steps = list(itertools.pairwise(np.unique(np.cumsum(np.bincount(level[v], minlength=1))).tolist()))
+    paths = np.zeros(n)
+    paths[s] = 1.0
+    if several:
+        for a, b in steps:
+            np.add.at(paths, v[a:b], paths[u[a:b]])
+    load = np.zeros(n)
+    for a, b in reversed(steps):
+        share = 1 + load[v[a:b]]
+        if several:
+            share *= paths[u[a:b]] / paths[v[a:b]]
+        np.add.at(load, u[a:b], share)
+    load[s] = 0.0
+    return load
+
+
+def searched(links: list, s: int) -> np.ndarray:
+    """Like loads, by a heap of nodes, for edges of any length."""
+    inf, n = float("inf"), len(links)
+    dist, paths, before, done, order = [inf] * n, [0.0] * n, [()] * n, bytearray(n), []
+    dist[s], paths[s] = 0.0, 1.0
+    heap = [(0.0, s)]
+    while heap:
+        d, u = heapq.heappop(heap)
+        if done[u]:
+            continue
+        done[u] = 1
+        order.append(u)
+        for v, w in links[u]:
+            x, old = d + w, dist[v]
+            if x < old - 1e-12:
+                dist[v], paths[v], before[v] = x, paths[u], [u]
+                heapq.heappush(heap, (x, v))
+            elif x <= old + 1e-12 and not done[v]:
+                paths[v] += paths[u]
+                before[v].append(u)
+    load = [0.0] * n
+    for v in reversed(order):
+        share = (1 + load[v]) / paths[v]
+        for u in before[v]:
+            load[u] += paths[u] * share
+    load[s] = 0.0
+    return np.array(load)
+
+
 def betweenness(nodes: DataFrame, edges: DataFrame, most_edges: int = 2_000_000) -> DataFrame:
-    """(id, betweenness): Brandes' accumulation over weighted shortest paths, distance 1 - weight, normalised by (n - 1)(n - 2)."""
+    """(id, betweenness): Brandes' accumulation over weighted shortest paths, distance 1 - weight, normalised by (n - 1)(n - 2). Graphs with edges of no length, and sources whose paths have hundreds of steps, are searched node by node."""
     ids, ptr, near, weight = packed(nodes, edges, most_edges)
     spark = nodes.sparkSession
     shared = spark.sparkContext.broadcast((ids, ptr, near, np.maximum(0.0, 1 - weight)))
@@ -141,37 +272,21 @@ def betweenness(nodes: DataFrame, edges: DataFrame, most_edges: int = 2_000_000)
 
     def run(batches):
         ids, ptr, near, far = shared.value
-        ptr, near, far = ptr.tolist(), near.tolist(), far.tolist()
-        links = [list(zip(near[a:b], far[a:b], strict=True)) for a, b in zip(ptr, ptr[1:], strict=False)]
-        inf, score = float("inf"), [0.0] * len(ids)
+        slow, links = bool(len(far)) and far.min() <= 2e-12, None
+        order, *arrays = by_degree(ptr, near, far)
+        place = np.argsort(order)
+        score = np.zeros(len(ids))
         for pdf in batches:
             for s in starts.value[pdf["id"].to_numpy()].tolist():
-                dist, paths, before, done, order = [inf] * len(ids), [0.0] * len(ids), [()] * len(ids), bytearray(len(ids)), []
-                dist[s], paths[s] = 0.0, 1.0
-                heap = [(0.0, s)]
-                while heap:
-                    d, u = heapq.heappop(heap)
-                    if done[u]:
-                        continue
-                    done[u] = 1
-                    order.append(u)
-                    for v, w in links[u]:
-                        x, old = d + w, dist[v]
-                        if x < old - 1e-12:
-                            dist[v], paths[v], before[v] = x, paths[u], [u]
-                            heapq.heappush(heap, (x, v))
-                        elif x <= old + 1e-12 and not done[v]:
-                            paths[v] += paths[u]
-                            before[v].append(u)
-                load = [0.0] * len(ids)
-                for v in reversed(order):
-                    share = (1 + load[v]) / paths[v]
-                    for u in before[v]:
-                        load[u] += paths[u] * share
-                    if v != s:
-                        score[v] += load[v]
+                load = None if slow else loads(*arrays, place[s])
+                if load is not None:
+                    score[order] += load
+                    continue
+                if links is None:
+                    links = [list(zip(near[a:b].tolist(), far[a:b].tolist(), strict=True)) for a, b in itertools.pairwise(ptr.tolist())]
+                score += searched(links, s)
         at = np.flatnonzero(score)
-        yield pd.DataFrame({"id": ids[at], "b": np.array(score)[at]})
+        yield pd.DataFrame({"id": ids[at], "b": score[at]})
 
     part = dealt(spark, len(sources)).mapInPandas(run, "id long, b double").groupBy("id").agg(F.sum("b").alias("b"))
     scale = 1.0 / max(1, (n - 1) * (n - 2))

@@ -131,3 +131,35 @@ def test_least_edges_do_not_take_differences_of_all_pairs(monkeypatch):
     for c in set(comp[part(4)].tolist()):
         i, j = min(((i, j) for i in range(30) if comp[120 + i] == c for j in range(900)), key=lambda p: (w[p], min(p[0] + 120, p[1]), max(p[0] + 120, p[1])))
         assert got[c] == (min(i + 120, j), max(i + 120, j), comp[j])
+
+
+def test_shortest_paths_are_taken_as_arrays(spark, monkeypatch):
+    r = np.random.default_rng(11)
+    heap = graph.searched
+
+    def arrays(n, m, lengths):
+        key = np.unique([(min(a, b), max(a, b)) for a, b in r.integers(0, n, (m, 2)) if a != b], axis=0)
+        s, t = np.r_[key[:, 0], key[:, 1]], np.r_[key[:, 1], key[:, 0]]
+        w = lengths(len(key))
+        by = np.argsort(s, kind="stable")
+        return np.searchsorted(s[by], np.arange(n + 1)), t[by].astype(np.int32), np.r_[w, w][by]
+
+    # many ties, none, a hub past the columns, parts that are not joined, no edge
+    for n, m, lengths in [(60, 150, lambda k: r.integers(1, 3, k) / 4), (200, 700, lambda k: r.random(k) + 0.01), (90, 3000, lambda k: r.integers(1, 9, k) / 8), (80, 40, lambda k: r.random(k) + 0.1), (3, 0, lambda k: r.random(k))]:
+        ptr, near, far = arrays(n, m, lengths) if m else (np.zeros(n + 1, int), np.zeros(0, np.int32), np.zeros(0))
+        links = [list(zip(near[a:b].tolist(), far[a:b].tolist(), strict=True)) for a, b in zip(ptr, ptr[1:], strict=False)]
+        order, *rows = graph.by_degree(ptr, near, far)
+        place = np.argsort(order)
+        for s in range(0, n, 7):
+            want = heap(links, s)
+            with monkeypatch.context() as m_:
+                m_.setattr(graph, "heapq", None)
+                got = np.zeros(n)
+                got[order] = graph.loads(*rows, place[s])
+            assert np.allclose(got, want, atol=1e-9)
+    # a path of more steps than rounds, and edges without length, go node by node
+    for n, weight in ((330, 0.5), (9, 1.0)):
+        nodes = spark.createDataFrame([(i,) for i in range(n)], "id long")
+        edges = spark.createDataFrame([(i, i + 1, weight) for i in range(n - 1)], "src long, dst long, weight double")
+        got = {x["id"]: x["betweenness"] * (n - 1) * (n - 2) for x in graph.betweenness(nodes, edges).collect()}
+        assert all(abs(got[i] - 2 * i * (n - 1 - i)) < 1e-6 for i in range(n))
