@@ -163,3 +163,12 @@ def test_shortest_paths_are_taken_as_arrays(spark, monkeypatch):
         edges = spark.createDataFrame([(i, i + 1, weight) for i in range(n - 1)], "src long, dst long, weight double")
         got = {x["id"]: x["betweenness"] * (n - 1) * (n - 2) for x in graph.betweenness(nodes, edges).collect()}
         assert all(abs(got[i] - 2 * i * (n - 1 - i)) < 1e-6 for i in range(n))
+
+
+def test_a_tile_holds_one_result_of_its_blocks(spark):
+    def one_by_one(ts):
+        return metric.pa.table({"n": [int(hasattr(ts, "__len__")), *(len(t) for t in ts)]})
+
+    index = metric.Index(frame(spark, vectors("flat", 300)), rows=16)
+    met = index.run(index.close(-np.inf), lambda one, others: metric.pa.table({"n": [7]}), "n long", fold=one_by_one)
+    assert {r["n"] for r in met.collect()} == {0, 1}
