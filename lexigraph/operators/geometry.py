@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexigraph.functions import vec as V
+from lexigraph.shared import cut
 
 from . import metric
 
@@ -122,6 +123,38 @@ def nearest(a: DataFrame, b: DataFrame | None, k: int, by: metric.Metric = metri
     return metric.nearest(a, b, k, by, far)
 
 
+def cross(a: DataFrame, b: DataFrame, i: str = "i", j: str = "j", digits: int = 6, rows: int = 512) -> DataFrame:
+    """(i, j, sim) for all rows of a(id, u) with all rows of b(id, u): products of blocks, whose rows leave a batch at a time; null where lengths differ. As many rows as there are pairs, none of which is held or shuffled."""
+
+    def packed(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, rows):
+                ids, u = batch.slice(lo, rows).columns
+                x, n = metric.matrix(u)
+                lists = pa.ListArray.from_arrays(pa.array([0, len(n)], pa.int32()), ids)
+                yield pa.RecordBatch.from_arrays([lists, pa.array([x.tobytes()], pa.binary()), pa.array([n.tolist()], pa.list_(pa.int64()))], ["id", "x", "n"])
+
+    def products(batches):
+        def side(row, at):
+            n = row[at + 2][0].values.to_numpy()
+            return row[at][0].values, (np.frombuffer(row[at + 1][0].as_buffer(), float).reshape(len(n), -1), n)
+
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).columns
+                (p, x), (q, y) = side(row, 0), side(row, 3)
+                s = metric.cosine(x, y)
+                r = np.floor(np.abs(s) * 10.0**digits + 0.5) / 10.0**digits
+                r = (np.copysign(r, s) + 0.0).ravel()
+                at, to = np.repeat(np.arange(len(p)), len(q)), np.tile(np.arange(len(q)), len(p))
+                yield pa.RecordBatch.from_arrays([p.take(pa.array(at)), q.take(pa.array(to)), pa.array(r, mask=np.isnan(r))], [i, j, "sim"])
+
+    kind = lambda e: e.schema["id"].dataType.simpleString()
+    block = lambda e: cut(e.select("id", "u").mapInArrow(packed, f"id array<{kind(e)}>, x binary, n array<long>"), "cross-blocks")
+    left = block(a).withColumnsRenamed({"id": "_id", "x": "_x", "n": "_n"}).repartition(4 * a.sparkSession.sparkContext.defaultParallelism)
+    return left.crossJoin(block(b).coalesce(1)).mapInArrow(products, f"`{i}` {kind(a)}, `{j}` {kind(b)}, sim double")
+
+
 def knn(e: DataFrame, k: int, far: bool = False) -> DataFrame:
     """(i, j, sim, rank): the k nearest (or farthest) rows of each row; ties by id."""
     return nearest(e, None, k, far=far)

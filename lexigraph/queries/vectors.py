@@ -344,8 +344,7 @@ def j13(spark, d):
 @query("j14_cross_corpus", f"with {U} select a.vec_id i, b.vec_id j, round(list_dot_product(a.u, b.u), 6) sim from u a, u b where a.label = 0 and b.label = 1")
 def j14(spark, d):
     e = units(spark, d)
-    a, b = e.where("label = 0").select(F.col("id").alias("i"), F.col("u").alias("a")), e.where("label = 1").select(F.col("id").alias("j"), F.col("u").alias("b"))
-    return a.crossJoin(b).select("i", "j", F.round(V.dot(F.col("a"), F.col("b")), 6).alias("sim"))
+    return G.cross(e.where("label = 0"), e.where("label = 1"))
 
 
 @query("j15_adjacent_pairs", f"with {KIND} select vec_id, round(sim, 6) sim from a where sim is not null")

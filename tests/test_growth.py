@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from lexigraph import queries as core
-from lexigraph.operators import density, graph, metric
+from lexigraph.operators import density, geometry, graph, metric
 
 from tests.test_metric import frame, vectors
 
@@ -172,3 +172,17 @@ def test_a_tile_holds_one_result_of_its_blocks(spark):
     index = metric.Index(frame(spark, vectors("flat", 300)), rows=16)
     met = index.run(index.close(-np.inf), lambda one, others: metric.pa.table({"n": [7]}), "n long", fold=one_by_one)
     assert {r["n"] for r in met.collect()} == {0, 1}
+
+
+def test_cross_pairs_are_products_of_blocks(spark):
+    r = np.random.default_rng(8)
+    x = r.normal(size=(50, 6))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(None, x[0].tolist()), (3, [0.0] * 6), (60, [1.0]), (61, [])]
+    a = spark.createDataFrame(rows, "id long, u array<double>")
+    got = geometry.cross(a, a, rows=7)
+    assert "zip_with" not in plan(core.queries()["j14_cross_corpus"](spark, SF)) and got.count() == 54 * 54
+    key = lambda p: (repr(p[0]), repr(p[1]), repr(p[2]))
+    want = [(i, j, None if len(u) != len(v) else round(float(np.dot(u, v)), 6) + 0.0) for i, u in rows for j, v in rows]
+    assert sorted(map(tuple, got.collect()), key=key) == sorted(want, key=key)
+    assert geometry.cross(a.where("false"), a).count() == 0 == geometry.cross(a, a.where("false")).count()
