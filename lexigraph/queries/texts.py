@@ -347,11 +347,13 @@ def m04d(spark, d):
     k = t(spark, d, "documents").select("source", T.tokens(F.col("text")).alias("k"))
     pairs = F.zip_with("k", F.slice("k", 2, 1 << 30), lambda a, b: F.concat(a, F.lit(" "), b))
     w = k.select("source", F.explode(F.concat("k", F.filter(pairs, lambda x: x.isNotNull()))).alias("w")).groupBy("source", "w").agg(F.count(F.lit(1)).alias("tf"))
-    f = w.groupBy("w").agg(F.sum("tf").alias("f"), F.count(F.lit(1)).alias("c")).where("c >= 3").drop("c")
-    x = w.join(f, "w")
+    every = W.partitionBy("w")
+    # terms meet once, and what three classes have is kept as a table, as it is read twice
+    x = w.withColumn("f", F.sum("tf").over(every)).withColumn("c", F.count(F.lit(1)).over(every)).where("c >= 3").drop("c")
+    x = cut(x, "terms")
     size = x.groupBy("source").agg(F.sum("tf").alias("l"))
     a = size.agg(F.avg("l").alias("a"))
-    x = x.join(size, "source").crossJoin(F.broadcast(a)).withColumn("x", F.col("tf") / F.col("l") * F.ln(1 + F.col("a") / F.col("f")))
+    x = x.join(F.broadcast(size), "source").crossJoin(F.broadcast(a)).withColumn("x", F.col("tf") / F.col("l") * F.ln(1 + F.col("a") / F.col("f")))
     top = x.withColumn("rn", F.row_number().over(W.partitionBy("source").orderBy(F.desc(F.round("x", 9)), "w"))).where("rn <= 10")
     return top.select("source", "w", F.round("x", 8).alias("weight"))
 

@@ -186,3 +186,8 @@ def test_cross_pairs_are_products_of_blocks(spark):
     want = [(i, j, None if len(u) != len(v) else round(float(np.dot(u, v)), 6) + 0.0) for i, u in rows for j, v in rows]
     assert sorted(map(tuple, got.collect()), key=key) == sorted(want, key=key)
     assert geometry.cross(a.where("false"), a).count() == 0 == geometry.cross(a, a.where("false")).count()
+
+
+def test_topic_terms_are_counted_once(spark):
+    p = plan(core.queries()["m04_topic_terms"](spark, SF))
+    assert "regexp_extract_all" not in p and "terms" in str(core.queries()["m04_topic_terms"](spark, SF).inputFiles())
