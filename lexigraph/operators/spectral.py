@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Entries that are multiplied at a time.
 STEP = 1 << 16
+#: Columns up to which the product of all columns is made, in one pass, and rows of it at a time.
+GRAM, GRAM_ROWS = 2048, 1024
 
 
 def added(rows: DataFrame, run, cells: int) -> np.ndarray:
@@ -49,9 +51,28 @@ def times(row: np.ndarray, col: np.ndarray, val: np.ndarray, n: int, q: np.ndarr
     return out
 
 
+def gram(rows: DataFrame, d: int, at: str = "at", x: str = "x") -> np.ndarray:
+    """A'A of the rows, in one pass; a task holds d x d numbers and a few rows with all their columns."""
+
+    def run(batches):
+        total = np.zeros((d, d))
+        for b in batches:
+            row, col, val, n = sparse(b, at, x)
+            for lo in range(0, n, GRAM_ROWS):
+                k = slice(*np.searchsorted(row, (lo, lo + GRAM_ROWS)))
+                m = min(GRAM_ROWS, n - lo)
+                dense = np.bincount((row[k] - lo) * d + col[k], val[k], m * d).reshape(m, d)
+                total += dense.T @ dense
+        return total[np.triu_indices(d)]
+
+    upper = np.zeros((d, d))
+    upper[np.triu_indices(d)] = added(rows, run, d * (d + 1) // 2)
+    return upper + np.triu(upper, 1).T
+
+
 def components(rows: DataFrame, d: int, k: int, oversample: int = 10, tolerance: float = 1e-7, seed: int = 7, at: str = "at", x: str = "x") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(mean, variances, axes as columns) of rows given by the columns of their entries and the entries. A pass adds up A'(A q) over the rows; A's mean is taken off afterwards, as (A - 1 m)'(A - 1 m) = A'A - n m m'.
-    Block Krylov: each pass multiplies the block that the last one brought, and the whole basis so far gives the eigenpairs, until the first k have residuals within the tolerance of the distance to their neighbours, or the basis spans all
+    Up to GRAM columns A'A itself is made in one pass. Beyond, block Krylov: each pass multiplies the block that the last one brought, and the whole basis so far gives the eigenpairs, until the first k have residuals within the tolerance of the distance to their neighbours, or the basis spans all
     columns. A pass is as wide as the first, whatever the basis. Signs make an axis's largest loading positive."""
 
     def first(batches):
@@ -68,6 +89,11 @@ def components(rows: DataFrame, d: int, k: int, oversample: int = 10, tolerance:
         return np.zeros(d), np.zeros(0), np.zeros((d, 0))
     mean, k = sums[:d] / n, min(k, d)
 
+    if d <= GRAM:
+        e, w = np.linalg.eigh(gram(rows, d, at, x) / n - np.outer(mean, mean))
+        u = w[:, ::-1][:, :k]
+        return mean, np.maximum(e[::-1][:k], 0), u * np.sign(u[np.abs(u).argmax(0), np.arange(k)])
+
     def apply(q):
         def run(batches):
             total = np.zeros(q.shape)

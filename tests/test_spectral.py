@@ -47,3 +47,16 @@ def test_term_weights(spark):
         raw = {k: Counter(t.split())[w] * (math.log(5 / (1 + n)) + 1) for k, (w, n) in at.items() if w in t.split()}
         size = math.sqrt(sum(v * v for v in raw.values()))
         assert got[i].keys() == raw.keys() and all(abs(got[i][k] - raw[k] / size) < 1e-12 for k in raw)
+
+
+def test_few_columns_take_one_more_pass(spark, monkeypatch):
+    r = np.random.default_rng(4)
+    rows = [(i, sorted(map(int, r.choice(40, 5, replace=False))), r.random(5).tolist()) for i in range(90)] + [(90, [], [])]
+    df = spark.createDataFrame(rows, "id long, at array<int>, x array<double>")
+    passes, added = [], spectral.added
+    monkeypatch.setattr(spectral, "added", lambda *a: passes.append(1) or added(*a))
+    mean, values, axes = spectral.components(df, 40, 3)
+    assert len(passes) == 2
+    monkeypatch.setattr(spectral, "GRAM", 0)
+    other = spectral.components(df, 40, 3)
+    assert len(passes) > 4 and all(np.allclose(a, b, atol=1e-6) for a, b in zip((mean, values, axes), other, strict=True))
